@@ -29,11 +29,11 @@ def load() -> None:
     from rowworth.registry import (  # noqa: F401
         #apps,
         #features,
-        #filters,
+        filters,
         #joins,
         metrics,
         #models,
-        #ordering,
-        #sources,
+        ordering,
+        sources,
         #valuation,
     )
