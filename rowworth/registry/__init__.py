@@ -35,5 +35,5 @@ def load() -> None:
         #models,
         ordering,
         sources,
-        #valuation,
+        valuation,
     )
