@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowworth.functions.blocks import matrix, vector
-from rowworth.operators.ordering import rank_rows, running_totals
+from rowworth.operators.ordering import Ordered
 from rowworth.operators.pairs import _TILE, Block, reference_blocks, similarity
 from rowworth.session import settle
 
@@ -74,15 +74,14 @@ def _exact(train: DataFrame, block: Block, k: int) -> DataFrame:
                 )
 
     pairs = train.mapInArrow(run, _PAIR_SCHEMA)
-    ranked = rank_rows(pairs, ["distance", "id"], ["val_id"], "r")
+    ordered = Ordered.of(pairs, ["distance", "id"], ["val_id"]).with_rank("r")
     r = F.col("r")
     # what a row at rank r takes from every row in front of it
     taken = F.when((r > k) & (F.col("match") == 1), 1 / (r * (r - 1))).otherwise(F.lit(0.0))
-    behind = running_totals(
-        ranked.select("val_id", "id", "match", "r", taken.alias("taken")), [r.desc()], {"behind": "taken"}, ["val_id"]
-    )
+    weighted = Ordered(ordered.rows.withColumn("taken", taken), ordered.by)
+    summed = weighted.with_totals({"from_here": "taken"}, backwards=True).plain()
     own = F.col("match") * F.least(F.lit(k), r) / (k * r)
-    return behind.select("id", (own - (F.col("behind") - F.col("taken"))).alias("s"))
+    return summed.select("id", (own - (F.col("from_here") - F.col("taken"))).alias("s"))
 
 
 def _nearest(train: DataFrame, block: Block, k: int, epsilon: float) -> DataFrame:

@@ -8,6 +8,7 @@ as many tasks as it needs. What crosses partitions is one small row per (partiti
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,67 +20,86 @@ from rowworth.session import settle
 _PARTITION_SHIFT = 33
 
 
-def _placed(df: DataFrame, order: Sequence, by: Sequence[str]) -> DataFrame:
-    """Rows in final order; `_at` rises along it. Written once, as range bounds are sampled."""
-    keys = [F.col(b) for b in by] + [F.col(o) if isinstance(o, str) else o for o in order]
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return settle(placed.withColumn("_at", F.monotonically_increasing_id()))
+@dataclass(frozen=True)
+class Ordered:
+    """Rows laid out along an order; `_at` in `rows` rises along it.
 
+    The layout is written once, because range bounds are sampled and must not change between
+    the passes that read it. Ranks and running sums of one layout need no further sort.
+    """
 
-def _with_runs(placed: DataFrame, by: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
-    """Attach to each row its partition's first `_at` and the sums of the group's earlier partitions."""
-    part = F.shiftright("_at", _PARTITION_SHIFT)
-    runs = placed.groupBy(*by, part.alias("_part")).agg(
-        F.min("_at").alias("_first"), *[c.alias(name) for name, c in aggs.items()]
-    )
-    # one row per partition and group: bounded by partitions for a single group
-    earlier = (
-        Window.partitionBy(*(by or [F.lit(0)]))
-        .orderBy("_part")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    runs = runs.select(
-        *[F.col(b).alias(f"_run_{b}") for b in by],
-        F.col("_part").alias("_run_part"),
-        "_first",
-        *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_before_{name}") for name in aggs],
-    )
-    if not by:
-        runs = F.broadcast(runs)
-    match = reduce(
-        lambda a, b: a & b,
-        [F.col(b).eqNullSafe(F.col(f"_run_{b}")) for b in by],
-        part == F.col("_run_part"),
-    )
-    return placed.join(runs, match)
+    rows: DataFrame
+    by: tuple[str, ...]
+
+    @classmethod
+    def of(cls, df: DataFrame, order: Sequence, by: Sequence[str] = ()) -> Ordered:
+        keys = [F.col(b) for b in by] + [F.col(o) if isinstance(o, str) else o for o in order]
+        placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        return cls(settle(placed.withColumn("_at", F.monotonically_increasing_id())), tuple(by))
+
+    def with_rank(self, out: str = "rank") -> Ordered:
+        """Add the 1-based row number within the group."""
+        joined = self._with_runs({"n": F.count(F.lit(1))}, backwards=False)
+        rank = F.col("_at") - F.col("_first") + 1 + F.col("_other_n")
+        return Ordered(joined.select(*self.rows.columns, rank.alias(out)), self.by)
+
+    def with_totals(self, totals: dict[str, str], backwards: bool = False) -> Ordered:
+        """Add inclusive running sums `{new column: summed column}`, from the end if `backwards`."""
+        joined = self._with_runs({out: F.sum(col) for out, col in totals.items()}, backwards)
+        # a (partition, group) run never exceeds one range partition
+        local = Window.partitionBy("_run_part", *self.by).orderBy("_at")
+        local = (
+            local.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+            if backwards
+            else local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        sums = [(F.sum(col).over(local) + F.col(f"_other_{out}")).alias(out) for out, col in totals.items()]
+        return Ordered(joined.select(*self.rows.columns, *sums), self.by)
+
+    def plain(self) -> DataFrame:
+        return self.rows.drop("_at")
+
+    def _with_runs(self, aggs: dict[str, Column], backwards: bool) -> DataFrame:
+        """Attach the first `_at` of the row's run (its group within its partition), and as
+        `_other_*` the sums over the group's runs in earlier (or later) partitions."""
+        part = F.shiftright("_at", _PARTITION_SHIFT)
+        runs = self.rows.groupBy(*self.by, part.alias("_part")).agg(
+            F.min("_at").alias("_first"), *[c.alias(name) for name, c in aggs.items()]
+        )
+        # a group has at most one run per partition
+        other = Window.partitionBy(*(self.by or [F.lit(0)])).orderBy("_part")
+        other = (
+            other.rowsBetween(1, Window.unboundedFollowing)
+            if backwards
+            else other.rowsBetween(Window.unboundedPreceding, -1)
+        )
+        runs = runs.select(
+            *[F.col(b).alias(f"_run_{b}") for b in self.by],
+            F.col("_part").alias("_run_part"),
+            "_first",
+            *[F.coalesce(F.sum(name).over(other), F.lit(0)).alias(f"_other_{name}") for name in aggs],
+        )
+        if not self.by:
+            # as many rows as there are partitions
+            runs = F.broadcast(runs)
+        match = reduce(
+            lambda a, b: a & b,
+            [F.col(b).eqNullSafe(F.col(f"_run_{b}")) for b in self.by],
+            part == F.col("_run_part"),
+        )
+        return self.rows.join(runs, match)
 
 
 def rank_rows(df: DataFrame, order: Sequence, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """1-based row number along `order` (which must end in a unique column), per `by` group."""
-    by = list(by)
-    ranked = _with_runs(_placed(df, order, by), by, {"n": F.count(F.lit(1))})
-    return ranked.select(
-        *df.columns, (F.col("_at") - F.col("_first") + 1 + F.col("_before_n")).alias(out)
-    )
+    return Ordered.of(df, order, by).with_rank(out).plain()
 
 
 def running_totals(
     df: DataFrame, order: Sequence, totals: dict[str, str], by: Sequence[str] = ()
 ) -> DataFrame:
     """Inclusive running sums `{new column: summed column}` along `order`, per `by` group."""
-    by = list(by)
-    placed = _placed(df, order, by)
-    joined = _with_runs(placed, by, {out: F.sum(col) for out, col in totals.items()})
-    # a (partition, group) run never exceeds one range partition
-    local = (
-        Window.partitionBy("_run_part", *by)
-        .orderBy("_at")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return joined.select(
-        *df.columns,
-        *[(F.sum(col).over(local) + F.col(f"_before_{out}")).alias(out) for out, col in totals.items()],
-    )
+    return Ordered.of(df, order, by).with_totals(totals).plain()
 
 
 def attach_totals(df: DataFrame, totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -78,17 +78,41 @@ def level_counts(n_rows: int, levels: int = LEVELS) -> list[int]:
 
 
 def removal_schedule(valued: DataFrame, label: str = "primary", levels: int = LEVELS) -> DataFrame:
-    """Per level: rows to remove and rows kept on either side.
+    """Per level and side: rows to remove, rows kept, and the mean value of the kept negatives.
 
-    Each negative survives the levels below its place, so one bin count per row and a running
-    sum over the few bins replace a scan per level.
+    A negative survives the levels whose count is below its place. So each row is put once in
+    the bin of its last level, and sums over the few bins replace a scan per level.
     """
-    totals = valued.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(label) == 0).alias("_q"))
-    level = F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level")
-    plan = totals.select(level, "_n", "_q")
-    k = F.floor(F.col("_n") * LEVEL_SHARE * F.col("level") + 1e-9)
-    kept = (F.col("_n") - F.least(k, F.col("_q"))).cast("bigint")
-    return plan.select("level", k.alias("n_removed"), kept.alias("kept_low"), kept.alias("kept_high"))
+    ranked = ranked_negatives(valued, label)
+    totals = valued.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(label) == 1).alias("_p"))
+    counts = F.transform(
+        F.sequence(F.lit(1), F.lit(levels)), lambda j: F.floor(F.col("_n") * LEVEL_SHARE * j + 1e-9)
+    )
+    planned = totals.withColumn("_counts", counts)
+    negatives = attach_totals(ranked.where(F.col(label) == 0), planned)
+    sides = negatives.select(
+        "value",
+        "_counts",
+        F.explode(
+            F.array(
+                F.struct(F.lit("low").alias("side"), F.col("from_low").alias("place")),
+                F.struct(F.lit("high").alias("side"), F.col("from_high").alias("place")),
+            )
+        ).alias("_s"),
+    ).select("value", "_counts", "_s.side", "_s.place")
+    last = F.size(F.filter("_counts", lambda c: c < F.col("place")))
+    bins = sides.groupBy("side", last.alias("_last")).agg(
+        F.count(F.lit(1)).alias("_c"), F.sum("value").alias("_v")
+    )
+    plan = planned.select("_p", F.posexplode("_counts").alias("level", "n_removed")).select(
+        "_p", (F.col("level") + 1).alias("level"), "n_removed", F.explode(F.array(F.lit("low"), F.lit("high"))).alias("side")
+    )
+    # at most levels + 1 bins per side
+    bins = F.broadcast(bins.withColumnRenamed("side", "_side"))
+    joined = plan.join(bins, (F.col("side") == F.col("_side")) & (F.col("_last") >= F.col("level")), "left")
+    return joined.groupBy("level", "side", "n_removed", "_p").agg(
+        F.coalesce(F.sum("_c"), F.lit(0)).alias("_kept"), (F.sum("_v") / F.sum("_c")).alias("mean_kept")
+    ).select("level", "side", "n_removed", (F.col("_p") + F.col("_kept")).alias("kept"), "mean_kept")
 
 
 def corruption_curve(

@@ -1,0 +1,150 @@
+"""Values read off an MLlib boosted ensemble, for any number of features.
+
+`GBTClassifier` trees add up to a margin F on labels -1/+1, so p = 1 / (1 + exp(-2 F)). Leaf
+indices come from the model's own `leafCol`; the leaf values, one short list per tree, are model
+data and travel with the task.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from rowworth.functions.blocks import matrix, sigmoid, vector
+
+_VECTOR = "_vector"
+_PREDICTED = re.compile(r"Predict: (\S+)")
+
+
+@dataclass(frozen=True)
+class Ensemble:
+    model: GBTClassificationModel
+    steps: np.ndarray  # (trees, widest) doubled, weighted leaf values, padded with 0
+    sizes: np.ndarray  # leaves per tree
+
+    @property
+    def leaf_norms(self) -> np.ndarray:
+        return np.abs(self.steps).sum(axis=1)
+
+
+def fit_ensemble(
+    df: DataFrame, label: str = "y", features: str = "features", rounds: int = 20, depth: int = 5, seed: int = 0
+) -> Ensemble:
+    rows = df.select(F.col(label).cast("double").alias(label), array_to_vector(features).alias(_VECTOR))
+    model = GBTClassifier(
+        labelCol=label, featuresCol=_VECTOR, maxIter=rounds, maxDepth=depth, seed=seed
+    ).fit(rows)
+    listed = [
+        # leaves are printed in the order in which they are numbered
+        2 * weight * np.array([float(v) for v in _PREDICTED.findall(tree.toDebugString)])
+        for tree, weight in zip(model.trees, model.treeWeights)
+    ]
+    sizes = np.array([len(v) for v in listed])
+    steps = np.zeros((len(listed), sizes.max()))
+    for t, values in enumerate(listed):
+        steps[t, : len(values)] = values
+    return Ensemble(model, steps, sizes)
+
+
+def with_leaves(df: DataFrame, ensemble: Ensemble, features: str = "features") -> DataFrame:
+    """Add `leaves`, the leaf number of each tree."""
+    kept = df.columns
+    model = ensemble.model.copy().setLeafCol("_leaves")
+    scored = model.transform(df.withColumn(_VECTOR, array_to_vector(features)))
+    return scored.select(*kept, vector_to_array("_leaves").cast("array<int>").alias("leaves"))
+
+
+def _margins(steps: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """(rows, trees + 1) margin before each tree, and the final one."""
+    added = steps[np.arange(len(steps))[None, :], leaves]
+    return np.hstack([np.zeros((len(leaves), 1)), np.cumsum(added, axis=1)])
+
+
+def _row_gradients(steps: np.ndarray, leaves: np.ndarray, y: np.ndarray):
+    p = sigmoid(_margins(steps, leaves)[:, :-1])
+    return p - y[:, None], p * (1 - p)
+
+
+def value_mvs(
+    rows: DataFrame, ensemble: Ensemble, label: str = "y", features: str = "features"
+) -> DataFrame:
+    """Minus the summed sampling weight min(1, sqrt(g^2 + l1 h^2)), staged over the trees."""
+    steps, norms = ensemble.steps, ensemble.leaf_norms
+
+    @F.arrow_udf("double")
+    def run(leaves: pa.Array, y: pa.Array) -> pa.Array:
+        if not len(y):
+            return pa.array([], pa.float64())
+        g, h = _row_gradients(steps, matrix(leaves).astype(int), vector(y).astype(float))
+        return pa.array(-np.minimum(1.0, np.sqrt(g**2 + norms[None, :] * h**2)).sum(axis=1))
+
+    leafed = with_leaves(rows, ensemble, features)
+    return leafed.withColumn("value", run("leaves", label)).drop("leaves")
+
+
+def _leaf_sums(leafed: DataFrame, terms: Column) -> np.ndarray:
+    """Sum of per-tree terms over rows, by (tree, leaf). Size of the model, not of the table."""
+    cells = leafed.select(F.posexplode(F.arrays_zip(F.col("leaves"), terms.alias("term"))).alias("tree", "cell"))
+    summed = cells.groupBy("tree", F.col("cell.leaves").alias("leaf")).agg(F.sum("cell.term").alias("x"))
+    return np.array([tuple(r) for r in summed.collect()], dtype=float).reshape(-1, 3)
+
+
+def value_leaf_influence(
+    rows: DataFrame,
+    ensemble: Ensemble,
+    target: DataFrame,
+    label: str = "y",
+    target_label: str | None = None,
+    features: str = "features",
+    penalty: float = 1.0,
+) -> DataFrame:
+    """Leaf influence on the target rows' loss with the trees as they are.
+
+    First the target gradients and the training curvature are summed per (tree, leaf), then each
+    row adds its own step in its leaves. No (row, target) pair is formed.
+    """
+    steps = ensemble.steps
+
+    @F.arrow_udf("array<double>")
+    def pull(leaves: pa.Array, y: pa.Array) -> pa.Array:
+        if not len(y):
+            return pa.array([], pa.list_(pa.float64()))
+        at = matrix(leaves).astype(int)
+        g = sigmoid(_margins(steps, at)[:, -1]) - vector(y).astype(float)
+        return pa.array(np.repeat(g[:, None], at.shape[1], axis=1).tolist(), pa.list_(pa.float64()))
+
+    @F.arrow_udf("array<double>")
+    def curvature(leaves: pa.Array, y: pa.Array) -> pa.Array:
+        if not len(y):
+            return pa.array([], pa.list_(pa.float64()))
+        _, h = _row_gradients(steps, matrix(leaves).astype(int), vector(y).astype(float))
+        return pa.array(h.tolist(), pa.list_(pa.float64()))
+
+    def table(sums: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(steps)
+        out[sums[:, 0].astype(int), sums[:, 1].astype(int)] = sums[:, 2]
+        return out
+
+    target_leaves = with_leaves(target, ensemble, features)
+    leafed = with_leaves(rows, ensemble, features)
+    pulls = table(_leaf_sums(target_leaves, pull("leaves", target_label or label)))
+    curves = table(_leaf_sums(leafed, curvature("leaves", label)))
+
+    @F.arrow_udf("double")
+    def run(leaves: pa.Array, y: pa.Array) -> pa.Array:
+        if not len(y):
+            return pa.array([], pa.float64())
+        leaf = matrix(leaves).astype(int)
+        g, h = _row_gradients(steps, leaf, vector(y).astype(float))
+        at = np.arange(len(steps))[None, :], leaf
+        shift = -(g + steps[at] * h) / (curves[at] + penalty)
+        return pa.array(-(pulls[at] * shift).sum(axis=1))
+
+    return leafed.withColumn("value", run("leaves", label)).drop("leaves")

@@ -27,12 +27,12 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from rowworth.registry import (  # noqa: F401
-        #apps,
-        #features,
+        apps,
+        features,
         filters,
-        #joins,
+        joins,
         metrics,
-        #models,
+        models,
         ordering,
         sources,
         valuation,

@@ -11,7 +11,6 @@ from rowworth.operators.labels import label_views
 from rowworth.registry import bindings as B
 from rowworth.registry import query
 from rowworth.registry.sources import SPLIT_SQL
-from rowworth.sources.readers import group_assays  # noqa: F401
 
 
 @query(
@@ -93,13 +92,14 @@ def remove_k(spark, folder):
     "removal_schedule",
     f"""WITH {B.PARTS_SQL}, {VALUED_SQL},
 k AS (SELECT j, CAST(floor((p + q) * 0.05 * j + 1e-9) AS BIGINT) AS k FROM n, range(1, 20) s(j))
-SELECT CAST(j AS INTEGER) AS level, k AS n_removed,
-  count(*) FILTER (WHERE prim = 1 OR lo > k) AS kept_low, count(*) FILTER (WHERE prim = 1 OR hi > k) AS kept_high
-FROM k, valued GROUP BY j, k""",
+SELECT CAST(j AS INTEGER) AS level, side, k AS n_removed,
+  count(*) FILTER (WHERE prim = 1 OR CASE WHEN side = 'low' THEN lo ELSE hi END > k) AS kept,
+  round(avg(value) FILTER (WHERE prim = 0 AND CASE WHEN side = 'low' THEN lo ELSE hi END > k), 2) AS mean_kept
+FROM k, valued, (VALUES ('low'), ('high')) s(side) GROUP BY j, k, side""",
 )
 def removal_schedule(spark, folder):
     valued = value_score(B.parts_screen(spark, folder)).select("id", "primary", "value")
-    return removal.removal_schedule(valued)
+    return removal.removal_schedule(valued).withColumn("mean_kept", F.round("mean_kept", 2))
 
 
 @query(
