@@ -59,16 +59,20 @@ def tokenize(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
 
 def hashed_fingerprint(tokens: Column, radius: int = 2, bits: int = 1024) -> Column:
     """Sorted distinct set bits: every run of 1..radius+1 tokens is hashed into `bits` slots."""
-    runs = []
-    for width in range(1, radius + 2):
-        starts = F.when(
-            F.size(tokens) >= width, F.sequence(F.lit(1), F.size(tokens) - (width - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, w=width: F.array_join(F.slice(tokens, i, w), " ")))
-    # distinct runs first, so that each is hashed once per row
-    gram = F.array_distinct(F.concat(*runs))
-    slot = F.transform(gram, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % bits)
-    return F.array_sort(F.array_distinct(slot))
+
+    def runs(t: Column, width: int) -> Column:
+        starts = F.when(F.size(t) >= width, F.sequence(F.lit(1), F.size(t) - (width - 1))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, width), " "))
+
+    def fingerprint(t: Column) -> Column:
+        grams = F.array_distinct(F.concat(*[runs(t, width) for width in range(1, radius + 2)]))
+        slots = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % bits)
+        return F.array_sort(F.array_distinct(slots))
+
+    # bound to a variable, so that the tokens are not worked out again for every run
+    return F.transform(F.array(tokens), fingerprint)[0]
 
 
 def tanimoto_bits(a: Column, b: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from rowworth.functions.columns import class_weight
 from rowworth.operators.metrics import class_totals
@@ -15,6 +19,16 @@ from rowworth.operators.ordering import attach_totals
 _VECTOR, _WEIGHT = "_vector", "_weight"
 
 
+# fits submitted at a time; each is a Spark job of its own
+PARALLEL_FITS = 4
+
+
+def fit_all(spark, tasks: list[Callable]) -> list:
+    """Run independent fits from a few driver threads, so that small jobs overlap."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks))
+
+
 def default_classifier() -> Estimator:
     return LogisticRegression(maxIter=20, regParam=0.01)
 

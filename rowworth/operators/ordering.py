@@ -74,7 +74,7 @@ class Ordered:
             else other.rowsBetween(Window.unboundedPreceding, -1)
         )
         runs = runs.select(
-            *[F.col(b).alias(f"_run_{b}") for b in self.by],
+            *[F.col(b).alias(f"_run_by{i}") for i, b in enumerate(self.by)],
             F.col("_part").alias("_run_part"),
             "_first",
             *[F.coalesce(F.sum(name).over(other), F.lit(0)).alias(f"_other_{name}") for name in aggs],
@@ -84,7 +84,7 @@ class Ordered:
             runs = F.broadcast(runs)
         match = reduce(
             lambda a, b: a & b,
-            [F.col(b).eqNullSafe(F.col(f"_run_{b}")) for b in self.by],
+            [F.col(b).eqNullSafe(F.col(f"_run_by{i}")) for i, b in enumerate(self.by)],
             part == F.col("_run_part"),
         )
         return self.rows.join(runs, match)

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from rowworth.functions.blocks import matrix, vector
 from rowworth.functions.columns import seeded_key
+from rowworth.operators.models import fit_all
 from rowworth.operators.pairs import similarity
+from rowworth.session import settle
 
 MAX_LANDMARKS = 500
 _JITTER = 1e-6
@@ -28,15 +30,17 @@ def surrogate_gbt(
     seed: int = 0,
 ) -> DataFrame:
     """Add `mean` and population `variance` over boosted regressors that differ in seed and subsample."""
-    rows = pool.select(F.col(value).cast("double").alias("label"), _vector(features).alias("_x"))
+    rows = settle(pool.select(F.col(value).cast("double").alias("label"), _vector(features).alias("_x")))
+    names = [f"_p{i}" for i in range(n_models)]
+
+    def fit(i: int):
+        learner = GBTRegressor(
+            featuresCol="_x", labelCol="label", predictionCol=names[i], maxIter=rounds, subsamplingRate=0.8, seed=seed + i
+        )
+        return learner.fit(rows)
+
     out = rest.withColumn("_x", _vector(features))
-    names = []
-    for i in range(n_models):
-        names.append(f"_p{i}")
-        model = GBTRegressor(
-            featuresCol="_x", labelCol="label", predictionCol=names[-1], maxIter=rounds,
-            subsamplingRate=0.8, seed=seed + i,
-        ).fit(rows)
+    for model in fit_all(pool.sparkSession, [lambda i=i: fit(i) for i in range(n_models)]):
         out = model.transform(out)
     mean = sum((F.col(c) for c in names), F.lit(0.0)) / n_models
     spread = sum(((F.col(c) - F.col("mean")) ** 2 for c in names), F.lit(0.0)) / n_models

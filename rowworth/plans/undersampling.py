@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from rowworth.operators.metrics import accuracy, auroc, average_precision, rmspe
-from rowworth.operators.models import fit_classifier, predict
+from rowworth.operators.models import fit_all, fit_classifier, predict
 from rowworth.operators.ordering import attach_totals, rank_rows
 from rowworth.operators.removal import LEVEL_SHARE, LEVELS, keep_after_removal, level_counts, ranked_negatives
 from rowworth.session import settle
 
-# fits submitted at a time; each is a Spark job of its own
-_PARALLEL_FITS = 4
-
-
-def _fit_all(spark, tasks: list[Callable]) -> list:
-    """Run independent fits from a few driver threads, so that small jobs overlap."""
-    with ThreadPoolExecutor(_PARALLEL_FITS) as pool:
-        return list(pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks))
-
-
 def undersample_sweep(
     valued: DataFrame,
     val: DataFrame,
@@ -47,7 +33,7 @@ def undersample_sweep(
             runs.append((side, level, keep_after_removal(ranked, k, side, label)))
     # class weights are those of the full table at every level
     weighted = _with_class_weight(ranked, label)
-    models = _fit_all(
+    models = fit_all(
         valued.sparkSession,
         [
             lambda rows=rows: fit_classifier(
@@ -122,7 +108,7 @@ def remove_high_low(
         ]
     ).first()
     runs = [(s, b, ranked.where(place[s] > k)) for s in place for b, k in enumerate(cuts) if spread[f"{s}_{b}"]]
-    models = _fit_all(
+    models = fit_all(
         valued.sparkSession, [lambda rows=rows: fit_classifier(rows, estimator, label) for _, _, rows in runs]
     )
     target = valid.select("id", F.col(label).alias("truth"), "features", F.lit("valid").alias("part")).unionByName(

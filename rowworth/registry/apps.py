@@ -37,19 +37,20 @@ def fp_score(spark, folder):
 @query("false_positives_methods")
 def fp_methods(spark, folder):
     """Rules, booster and gradient tracing side by side on the documents screen."""
-    screen = settle(
-        B.docs_screen(spark, folder).select(
-            "*",
-            F.length("key").cast("double").alias("f_length"),
-            F.size(F.split("key", " ")).cast("double").alias("f_words"),
-            F.regexp_count("key", F.lit("[0-9]")).cast("double").alias("f_digits"),
-            F.regexp_count("key", F.lit("[.]")).cast("double").alias("f_stops"),
-        )
+    text = F.col("text")
+    counts = B.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"),
+        "text",
+        F.col("n_chars").cast("double").alias("f_length"),
+        F.size(F.split(text, " ")).cast("double").alias("f_words"),
+        F.regexp_count(text, F.lit("[0-9]")).cast("double").alias("f_digits"),
+        F.regexp_count(text, F.lit("[.]")).cast("double").alias("f_stops"),
     )
+    screen = settle(B.docs_screen(spark, folder).join(counts, "id"))
     names = ["f_length", "f_words", "f_digits", "f_stops"]
 
     def rules(df, seed):
-        return value_rules(df, ALERTS)
+        return value_rules(df, ALERTS, "text")
 
     def booster(df, seed):
         return T.value_mvs(df, T.fit_stumps(df, names, label="primary", rounds=40), label="primary")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowworth.functions.columns import canonical_key
 from rowworth.operators.clean import clean_screen, merge_screens
 from rowworth.operators.flags import percentile_flags
 from rowworth.operators.baseline import value_score
@@ -40,9 +41,14 @@ def docs_trusted_raw(spark: SparkSession, folder: str) -> DataFrame:
     return texts.join(labels, "id").select("id", "key", outcome.alias("outcome"))
 
 
+def text_digest(key: Column) -> Column:
+    """Whole texts are long keys, so their digests are grouped, shuffled and joined instead."""
+    return F.sha2(canonical_key(key), 256)
+
+
 def docs_screen(spark: SparkSession, folder: str) -> DataFrame:
-    primary = clean_screen(docs_raw(spark, folder), "primary", keep=["id", "source"])
-    trusted = clean_screen(docs_trusted_raw(spark, folder), "confirmatory", score=None)
+    primary = clean_screen(docs_raw(spark, folder), "primary", keep=["id", "source"], canonical=text_digest)
+    trusted = clean_screen(docs_trusted_raw(spark, folder), "confirmatory", score=None, canonical=text_digest)
     return merge_screens(primary, trusted)
 
 
@@ -105,7 +111,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_CANON = r"trim(regexp_replace(lower(key), '[ \t\r\n]+', ' ', 'g'))"
+_CANON = r"sha256(trim(regexp_replace(lower(key), '[ \t\r\n]+', ' ', 'g')))"
 
 DOCS_RAW_SQL = """
 docs_raw AS (

@@ -204,7 +204,7 @@ bits AS (SELECT DISTINCT id, lang, CAST(('0x' || substr(md5(g), 1, 8)) AS BIGINT
 first_doc AS (SELECT lang, min(id) AS ref FROM docs GROUP BY lang),
 size AS (SELECT id, lang, count(*) AS n FROM bits GROUP BY id, lang),
 shared AS (SELECT a.id, count(*) AS s FROM bits a JOIN first_doc f ON a.lang = f.lang JOIN bits b ON b.id = f.ref AND a.bit = b.bit GROUP BY a.id)
-SELECT d.id, round(coalesce(s / (z.n + r.n - s), 0), 6) AS similarity
+SELECT d.id, coalesce(s / (z.n + r.n - s), 0) AS similarity
 FROM docs d JOIN first_doc f ON d.lang = f.lang LEFT JOIN size z ON z.id = d.id LEFT JOIN size r ON r.id = f.ref
 LEFT JOIN shared ON shared.id = d.id""",
 )
@@ -214,7 +214,7 @@ def tanimoto_bits(spark, folder):
     bits = settle(texts.select("id", "lang", C.hashed_fingerprint(listed, radius=0).alias("bits")))
     first = bits.groupBy("lang").agg(F.min_by("bits", "id").alias("ref"))
     similarity = C.tanimoto_bits(F.col("bits"), F.col("ref"))
-    return bits.join(first, "lang").select("id", F.round(similarity, 6).alias("similarity"))
+    return bits.join(first, "lang").select("id", similarity.alias("similarity"))
 
 
 @query(

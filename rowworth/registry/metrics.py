@@ -12,6 +12,7 @@ from rowworth.operators.ordering import attach_totals
 from rowworth.operators.split import top_score_split
 from rowworth.registry import query
 from rowworth.registry import bindings as B
+from rowworth.session import settle
 from rowworth.sources.readers import read_multi_assay
 
 
@@ -151,7 +152,7 @@ a AS ({bedroc_sql("judged", "y_f", "value, id", "fp")}), b AS ({bedroc_sql("judg
 SELECT round(fp, 6) AS bedroc_fp, round(tp, 6) AS bedroc_tp FROM a, b""",
 )
 def bedroc(spark, folder):
-    judged = B.docs_flagged(spark, folder).where(F.col("is_eval") == 1)
+    judged = settle(B.docs_flagged(spark, folder).where(F.col("is_eval") == 1).select("id", "value", "y_f", "y_c"))
     fp = M.bedroc(judged, "y_f", out="bedroc_fp")
     tp = M.bedroc(judged, "y_c", descending=True, out="bedroc_tp")
     return _rounded(attach_totals(fp, tp))
