@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowworth.session import settle
+from rowworth.session import broadcast_if_small, settle
 
 # monotonically_increasing_id keeps the partition number above this bit
 _PARTITION_SHIFT = 33
@@ -79,9 +79,8 @@ class Ordered:
             "_first",
             *[F.coalesce(F.sum(name).over(other), F.lit(0)).alias(f"_other_{name}") for name in aggs],
         )
-        if not self.by:
-            # as many rows as there are partitions
-            runs = F.broadcast(runs)
+        # without groups there are as many rows as partitions
+        runs = broadcast_if_small(settle(runs)) if self.by else F.broadcast(runs)
         match = reduce(
             lambda a, b: a & b,
             [F.col(b).eqNullSafe(F.col(f"_run_by{i}")) for i, b in enumerate(self.by)],
@@ -103,14 +102,24 @@ def running_totals(
 
 
 def attach_totals(df: DataFrame, totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Join per-group totals to rows; without groups `totals` is a one-row aggregate."""
+    """Join per-group totals to rows; without groups `totals` is a one-row aggregate.
+
+    Totals are written and measured first, so that few groups are broadcast and the rows need not
+    be shuffled onto them, which would put a hot group in one task.
+    """
     if not by:
         return df.crossJoin(F.broadcast(totals))
     renamed = totals.select(
         *[F.col(c).alias(f"_tot_{c}") if c in by else F.col(c) for c in totals.columns]
     )
     match = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_tot_{b}")) for b in by])
-    return df.join(renamed, match, "left").drop(*[f"_tot_{b}" for b in by])
+    return df.join(broadcast_if_small(settle(renamed)), match, "left").drop(*[f"_tot_{b}" for b in by])
+
+
+# sketch precision; its rank error is at most n / _ACCURACY
+_ACCURACY = 10000
+# the exact place is looked for this far, as a share of n, on both sides of the sketch's answer
+_MARGIN = 10 / _ACCURACY
 
 
 def exact_percentiles(
@@ -118,25 +127,50 @@ def exact_percentiles(
 ) -> DataFrame:
     """Linear-interpolated percentiles, one row per `by` group, column per entry of `probs`.
 
-    Equal values are counted before the sort, and the sort is distributed, so neither a hot
-    value nor a large group has to fit in one aggregation buffer.
+    A quantile sketch brackets each place; one more scan counts what lies below the bracket and
+    the values inside it, and only those are sorted. So the table is not shuffled, and neither a
+    hot value nor a large group has to fit in one buffer.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    cumulative = settle(running_totals(counts, [value], {"_cum": "_c"}, by))
-    sizes = cumulative.groupBy(*by).agg(F.max("_cum").alias("_n"))
-    rows = attach_totals(cumulative, sizes, by)
-    bounds = []
-    for name, p in probs.items():
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    edges = [min(max(p + side, 0.0), 1.0) for p in probs.values() for side in (-_MARGIN, _MARGIN)]
+    # interpolation reaches one row further than the sketch's own place; where the margin is less
+    # than a few rows, all values are in the bracket
+    tiny = F.count(F.lit(1)) * _MARGIN < 4
+    ends = F.flatten(F.array_repeat(F.array(F.min("_v"), F.max("_v")), len(probs)))
+    sketch = settle(
+        rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.when(tiny, ends).otherwise(F.percentile_approx("_v", edges, _ACCURACY)).alias("_edges"),
+        )
+    )
+    cells = []
+    for i in range(len(probs)):
+        low, high = F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]
+        # null stands for all values below the bracket
+        inside = F.when(F.col("_v") >= low, F.col("_v"))
+        cells.append(F.when(F.col("_v") <= high, F.struct(F.lit(i).alias("i"), inside.alias("v"))))
+    exploded = attach_totals(rows, sketch, by).select(*by, F.explode(F.array_compact(F.array(*cells))).alias("_cell"))
+    counts = exploded.groupBy(*by, F.col("_cell.i").alias("_i"), F.col("_cell.v").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c")
+    )
+    cumulative = running_totals(counts, [F.col("_v").asc_nulls_first()], {"_cum": "_c"}, [*by, "_i"])
+    placed = attach_totals(cumulative, sketch.select(*by, "_n"), by)
+    picks = []
+    for i, (name, p) in enumerate(probs.items()):
         at = F.lit(p) * (F.col("_n") - 1)
-        bounds += [
-            F.min(F.when(F.col("_cum") > F.floor(at), F.col(value))).alias(f"_lo_{name}"),
-            F.min(F.when(F.col("_cum") > F.ceil(at), F.col(value))).alias(f"_hi_{name}"),
-        ]
-    picked = rows.groupBy(*by).agg(F.max("_n").alias("_n"), *bounds)
+        for bound, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            reached = (F.col("_i") == i) & (F.col("_cum") > place)
+            picks.append(F.min(F.when(reached, F.col("_v"))).alias(f"_{bound}_{name}"))
+            # the smallest cumulative count must start above the values below the bracket
+            short = (F.col("_i") == i) & F.col("_v").isNull() & reached
+            picks.append(F.max(short.cast("int")).alias(f"_{bound}_short_{name}"))
+    picked = placed.groupBy(*by).agg(F.max("_n").alias("_n"), *picks)
     out = []
     for name, p in probs.items():
         at = F.lit(p) * (F.col("_n") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+        missed = lo.isNull() | hi.isNull() | (F.col(f"_lo_short_{name}") == 1) | (F.col(f"_hi_short_{name}") == 1)
+        exact = lo + (hi - lo) * (at - F.floor(at))
+        out.append(F.when(missed, F.raise_error(F.lit("percentile sketch missed its place"))).otherwise(exact).alias(name))
     return picked.select(*by, *out)

@@ -11,6 +11,7 @@ from rowworth.operators.flags import percentile_flags
 from rowworth.operators.baseline import value_score
 from rowworth.operators.labels import label_views
 from rowworth.operators.split import exclude_split, random_split
+from rowworth.session import settle
 from rowworth.sources.readers import read_assay
 
 
@@ -18,6 +19,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy per row: a table of a few files is read by as few tasks, so its rows
+    are dealt out to all cores. With at least as many files as cores nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def docs_raw(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as a noisy screen: long texts count as active."""
     return read_assay(
@@ -53,7 +61,8 @@ def docs_screen(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def docs_flagged(spark: SparkSession, folder: str) -> DataFrame:
-    return percentile_flags(value_score(label_views(docs_screen(spark, folder))))
+    # thresholds and flags both read the screen, which is far smaller than the texts behind it
+    return percentile_flags(settle(value_score(label_views(docs_screen(spark, folder)))))
 
 
 def parts_raw(spark: SparkSession, folder: str) -> DataFrame:

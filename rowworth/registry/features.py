@@ -18,12 +18,12 @@ TOKENS_SQL = f"regexp_extract_all(text, '{_PATTERN_SQL}', 1)"
 
 
 def tokens(spark, folder):
-    texts = B.table(spark, folder, "documents")
+    texts = B.spread(B.table(spark, folder, "documents").select("doc_id", "text"))
     return texts.select(F.col("doc_id").alias("id"), C.tokenize(F.col("text")).alias("tokens"))
 
 
 def words(spark, folder):
-    texts = B.table(spark, folder, "documents")
+    texts = B.spread(B.table(spark, folder, "documents").select("doc_id", "text"))
     return texts.select(F.col("doc_id").alias("id"), C.tokenize(F.col("text"), "([^ \\n]+)").alias("tokens"))
 
 
@@ -209,7 +209,7 @@ FROM docs d JOIN first_doc f ON d.lang = f.lang LEFT JOIN size z ON z.id = d.id
 LEFT JOIN shared ON shared.id = d.id""",
 )
 def tanimoto_bits(spark, folder):
-    texts = B.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    texts = B.spread(B.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang", "text"))
     listed = C.tokenize(F.col("text"), "([^ \\n]+)")
     bits = settle(texts.select("id", "lang", C.hashed_fingerprint(listed, radius=0).alias("bits")))
     first = bits.groupBy("lang").agg(F.min_by("bits", "id").alias("ref"))
@@ -252,5 +252,5 @@ def acq_ucb(spark, folder):
 FROM (SELECT doc_id AS id, text AS key, n_chars FROM documents)""",
 )
 def alerts(spark, folder):
-    texts = B.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "n_chars")
+    texts = B.spread(B.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "n_chars"))
     return rule_alerts(texts, ALERTS, ranges={"n_chars": (200, 5000)}).select("id", "alerts", "alert")

@@ -11,6 +11,7 @@ from rowworth.operators.labels import label_views
 from rowworth.registry import bindings as B
 from rowworth.registry import query
 from rowworth.registry.sources import SPLIT_SQL
+from rowworth.session import settle
 
 
 @query(
@@ -80,7 +81,7 @@ UNION ALL SELECT 'high', id, prim FROM valued, n WHERE prim = 1 OR hi > q - floo
 UNION ALL SELECT 'random', id, prim FROM valued, n WHERE prim = 1 OR rnd > q - floor(p / 0.5)""",
 )
 def remove_k(spark, folder):
-    valued = value_score(B.parts_screen(spark, folder)).select("id", "primary", "value")
+    valued = settle(value_score(B.parts_screen(spark, folder)).select("id", "primary", "value"))
     parts = [
         removal.remove_k(valued, ratio=0.5, mode=mode, seed=3).select(F.lit(mode).alias("mode"), "id", "primary")
         for mode in ("low", "high", "random")
@@ -98,7 +99,7 @@ SELECT CAST(j AS INTEGER) AS level, side, k AS n_removed,
 FROM k, valued, (VALUES ('low'), ('high')) s(side) GROUP BY j, k, side""",
 )
 def removal_schedule(spark, folder):
-    valued = value_score(B.parts_screen(spark, folder)).select("id", "primary", "value")
+    valued = settle(value_score(B.parts_screen(spark, folder)).select("id", "primary", "value"))
     return removal.removal_schedule(valued).withColumn("mean_kept", F.round("mean_kept", 2))
 
 

@@ -6,11 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# applications that have the package
+_SHIPPED: set[str] = set()
+
+
 def build_session(app: str = "rowworth", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; `conf` wins over them."""
     builder = SparkSession.builder.appName(app)
@@ -26,7 +32,25 @@ def build_session(app: str = "rowworth", master: str | None = None, **conf: str)
     }
     for name, value in settings.items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it inside Arrow functions."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    folder = tempfile.mkdtemp(prefix="rowworth-zip-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = Path(__file__).resolve().parent
+    archive = Path(folder) / "rowworth.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for source in sorted(root.rglob("*.py")):
+            packed.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
