@@ -119,7 +119,7 @@ def wilcoxon_signed_rank(
     z = (F.col("w_plus") - n * (n + 1) / 4) / spread
     p = (
         F.when(n.isNull() | (F.col("_total") == 0), F.lit(1.0))
-        .when(F.col("_ways").isNotNull(), exact)
+        .when(n <= exact_up_to, exact)
         .otherwise(_normal_upper_tail(z))
     )
     return rows.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -57,12 +59,13 @@ def _landmarks(pool: DataFrame, features: str, id_col: str, count: int, seed: in
     return matrix(keyed.orderBy("_draw", id_col).limit(min(count, MAX_LANDMARKS)).toArrow()[features])
 
 
-def _kernel_sums(
-    pool: DataFrame, landmarks: np.ndarray, shift: float, value: str, features: str
+def _fit_on_landmarks(
+    pool: DataFrame, landmarks: np.ndarray, shift: float, value: str, features: str, solve: Callable
 ) -> tuple[np.ndarray, np.ndarray]:
-    """K K' and K (y - shift) over all pool rows, for K the landmark-by-row kernel.
+    """Apply `solve(K K', K (y - shift))`, for K the landmark-by-row kernel of all pool rows.
 
-    Each task sums its own rows; then row i of the sums of all tasks is added up on its own.
+    Each task sums its own rows, and row i of all tasks' sums is added up on its own. The solve
+    needs the sums together: as many rows as landmarks, so one small task does it.
     """
     m = len(landmarks)
 
@@ -83,13 +86,17 @@ def _kernel_sums(
     def add_up(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": [part["i"].iloc[0]], "line": [np.sum(np.stack(part["line"]), axis=0)]})
 
+    def solved(part: pd.DataFrame) -> pd.DataFrame:
+        full = np.stack(part.sort_values("i")["line"])
+        alpha, inner = solve(full[:, :m], full[:, m])
+        return pd.DataFrame({"i": np.arange(m), "alpha": alpha, "inner": list(inner)})
+
     lines = pool.select(F.col(value).cast("double"), features).mapInArrow(partial, "i bigint, line array<double>")
     # one line per task in each group, of the number of landmarks
-    summed = lines.groupBy("i").applyInPandas(add_up, "i bigint, line array<double>").collect()
-    full = np.zeros((m, m + 1))
-    for row in summed:
-        full[row["i"]] = row["line"]
-    return full[:, :m], full[:, m]
+    summed = lines.groupBy("i").applyInPandas(add_up, "i bigint, line array<double>")
+    rows = summed.groupBy().applyInPandas(solved, "i bigint, alpha double, inner array<double>").toPandas()
+    rows = rows.sort_values("i")
+    return rows["alpha"].to_numpy(), np.stack(rows["inner"])
 
 
 def _predicted(
@@ -123,10 +130,14 @@ def surrogate_kernel_gp(
     """
     z = _landmarks(pool, features, id_col, landmarks, seed)
     shift = float(pool.agg(F.avg(value)).first()[0])
-    gram, target = _kernel_sums(pool, z, shift, value, features)
-    k = similarity(z, z, "tanimoto") + _JITTER * np.eye(len(z))
-    posterior = np.linalg.inv(noise * k + gram + _JITTER * np.eye(len(z)))
-    return _predicted(rest, z, posterior @ target, shift, np.linalg.inv(k) - noise * posterior, features)
+
+    def solve(gram, target):
+        k = similarity(z, z, "tanimoto") + _JITTER * np.eye(len(z))
+        posterior = np.linalg.inv(noise * k + gram)
+        return posterior @ target, np.linalg.inv(k) - noise * posterior
+
+    alpha, inner = _fit_on_landmarks(pool, z, shift, value, features, solve)
+    return _predicted(rest, z, alpha, shift, inner, features)
 
 
 def surrogate_kernel_ridge(
@@ -142,9 +153,12 @@ def surrogate_kernel_ridge(
     """Ridge regression on the same landmark kernel; it has no variance, so `variance` is 0."""
     z = _landmarks(pool, features, id_col, landmarks, seed)
     shift = float(pool.agg(F.avg(value)).first()[0])
-    gram, target = _kernel_sums(pool, z, shift, value, features)
-    k = similarity(z, z, "tanimoto")
-    alpha = np.linalg.solve(gram + penalty * k + _JITTER * np.eye(len(z)), target)
+
+    def solve(gram, target):
+        k = similarity(z, z, "tanimoto") + _JITTER * np.eye(len(z))
+        return np.linalg.solve(gram + penalty * k, target), np.zeros((len(z), 0))
+
+    alpha, _ = _fit_on_landmarks(pool, z, shift, value, features, solve)
     return _predicted(rest, z, alpha, shift, None, features)
 
 

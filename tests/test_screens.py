@@ -14,9 +14,8 @@ def screen(spark, rows):
 
 def test_tie_is_inactive(spark):
     raw = spark.createDataFrame([("k", "Active", 1.0), ("k", "Inactive", 3.0)], "key string, outcome string, score double")
-    assert clean.clean_screen(raw, "primary").collect() == [("k", 0, 2.0)] or clean.clean_screen(
-        raw, "primary"
-    ).select("key", "primary", "score").collect() == [("k", 0, 2.0)]
+    got = clean.clean_screen(raw, "primary").select("key", "primary", "score").collect()
+    assert got == [("k", 0, 2.0)]
 
 
 def test_unmeasured_row_counts_in_thresholds_only(spark):
@@ -28,7 +27,7 @@ def test_unmeasured_row_counts_in_thresholds_only(spark):
 
 
 def test_flat_values_are_in_both_tails(spark):
-    flagged = flags.percentile_flags(labels.label_views(screen(spark, [(i, i % 3 != 0, 1.0, 1) for i in range(9)])))
+    flagged = flags.percentile_flags(labels.label_views(screen(spark, [(i, int(i % 3 != 0), 1.0, 1) for i in range(9)])))
     got = flagged.groupBy("primary").agg(F.sum("flag_hi"), F.sum("flag_lo"), F.count(F.lit(1))).collect()
     assert {tuple(r) for r in got} == {(1, 6, 6, 6), (0, 0, 0, 3)}
 
@@ -167,6 +166,6 @@ def test_projections_accept_a_stream(spark, tmp_path):
 
 
 def test_fingerprint_of_repeats_is_small(spark):
-    df = spark.createDataFrame([(["a"] * 50,), (["a", "b"],), ([],)], "t array<string>")
-    sizes = [r[0] for r in df.select(F.size(C.hashed_fingerprint(F.col("t")))).collect()]
-    assert sizes == [3, 3, 0]
+    df = spark.createDataFrame([(["a"] * 50,), (["a"] * 3,), ([],)], "t array<string>")
+    many, few, none = [r[0] for r in df.select(C.hashed_fingerprint(F.col("t"))).collect()]
+    assert many == few and 0 < len(few) <= 3 and none == []
