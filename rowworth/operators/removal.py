@@ -55,14 +55,19 @@ def remove_k(
     ratio: float | None = None,
     mode: str = "low",
     seed: int = 0,
-    label: str = "primary",
+    label: str | None = "primary",
     id_col: str = "id",
 ) -> DataFrame:
     """Drop negatives: lowest- or highest-valued, or seeded random ones.
 
-    Give their number, or the positive-to-negative ratio to be left.
+    Give their number, or the positive-to-negative ratio to be left. With `label=None` rows of
+    either label are dropped.
     """
     side = "high" if mode == "high" else "low"
+    if label is None:
+        # any label may go, so the whole table is one group without exempt rows
+        everything = valued.withColumn("_any", F.lit(0))
+        return remove_k(everything, n_removed, ratio, mode, seed, "_any", id_col).drop("_any")
     ranked = ranked_negatives(valued, label, "random" if mode == "random" else "value", seed, id_col)
     if ratio is None:
         return keep_after_removal(ranked, n_removed, side, label).select(*valued.columns)

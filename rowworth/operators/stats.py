@@ -41,7 +41,7 @@ def dataset_mean(
         rate = F.when(F.col("metric") == precision[0], F.col("fp_rate")).when(
             F.col("metric") == precision[1], F.col("tp_rate")
         )
-        rows = rows.join(rates.select("dataset", "fp_rate", "tp_rate"), "dataset", "left")
+        rows = attach_totals(rows, rates.select("dataset", "fp_rate", "tp_rate"), ["dataset"])
         rows = rows.withColumn("value", F.col("value") - F.coalesce(rate, F.lit(0.0)))
     per_replicate = rows.groupBy("method", "metric", "replicate").agg(F.avg("value").alias("value"))
     return per_replicate.groupBy("method", "metric").agg(

@@ -15,7 +15,7 @@ from rowworth.operators.ordering import attach_totals
 from rowworth.operators.removal import rank_batch
 from rowworth.operators.split import random_order, random_split
 from rowworth.operators.surrogate import SURROGATES
-from rowworth.session import settle
+from rowworth.session import broadcast_if_small, settle
 
 # pool rows -> pool rows with `value`
 PoolValuer = Callable[[DataFrame], DataFrame]
@@ -34,8 +34,9 @@ def _rounds(train: DataFrame, picker: Picker, share: float, steps: int, seed: in
     first = random_split(train.select("id"), share, seed)
     sampled = settle(first.select("id", F.lit(0).alias("round")))
     for i in range(1, steps + 1):
-        pool = train.join(sampled.select("id"), "id", "left_semi")
-        rest = train.join(sampled.select("id"), "id", "left_anti")
+        taken = broadcast_if_small(sampled.select("id"))
+        pool = train.join(taken, "id", "left_semi")
+        rest = train.join(taken, "id", "left_anti")
         batch = rank_batch(picker(pool, rest).select("id", "acquisition"), "acquisition", share, total)
         sampled = grow_pool(sampled, batch, i)
     return sampled
@@ -88,6 +89,31 @@ def active_learning(
     return actives_found(train, _rounds(train, pick, step_share, steps, seed), label)
 
 
+def active_learning_grid(
+    train: DataFrame,
+    valuers: dict[str, PoolValuer],
+    surrogates: list[str],
+    acquisitions: list[str],
+    replicates: int = 1,
+    step_share: float = 0.01,
+    steps: int = 6,
+    label: str = "y",
+) -> DataFrame:
+    """Curves of every value method, surrogate and acquisition, the replicate being the seed."""
+    out = None
+    for replicate in range(replicates):
+        for name, valuer in valuers.items():
+            for surrogate in surrogates:
+                for acquisition in acquisitions:
+                    curve = active_learning(
+                        train, valuer, surrogate, acquisition, step_share, steps, replicate, label
+                    ).select(
+                        F.lit(f"{name}_{surrogate}_{acquisition}").alias("method"), F.lit(replicate).alias("replicate"), "*"
+                    )
+                    out = curve if out is None else out.unionByName(curve)
+    return out
+
+
 def active_learning_greedy(
     train: DataFrame,
     step_share: float = 0.01,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +68,28 @@ def undersample_sweep(
     )
 
 
+def undersample_assays(
+    long: DataFrame,
+    aids: list[str],
+    valuer: Callable[[DataFrame], DataFrame],
+    estimator: Estimator | None = None,
+    levels: int = LEVELS,
+) -> DataFrame:
+    """The sweep for several assays of `(id, aid, activity, split, features)` rows, with `aid` in front.
+
+    Stored by assay, each sweep reads its own partition only.
+    """
+    out = None
+    for aid in aids:
+        rows = long.where(F.col("aid") == aid).withColumn("y", (F.col("activity") > 0.5).cast("int"))
+        train = settle(rows.where(F.col("split") == "train"))
+        val = settle(rows.where(F.col("split") == "validation"))
+        part = undersample_sweep(settle(valuer(train)), val, estimator=estimator, levels=levels)
+        part = part.select(F.lit(aid).alias("aid"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _with_class_weight(df: DataFrame, label: str) -> DataFrame:
     """`(label, class_weight)`: two rows, sqrt(n / n_class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))

@@ -91,6 +91,29 @@ def active_learning_ucb(spark, folder):
     return A.active_learning(train, _tracin_valuer, "gp", "ucb", step_share=0.05, steps=3)
 
 
+@query("active_learning_grid")
+def active_learning_grid(spark, folder):
+    train, _ = _rare_class(spark, folder)
+    return A.active_learning_grid(
+        train, {"tracin_self": _tracin_valuer}, ["ridge", "gp"], ["greedy"], step_share=0.05, steps=1
+    )
+
+
+@query("undersample_assays")
+def undersample_assays(spark, folder):
+    """Two classes of the vectors as two assays."""
+    rows = B.table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), "label", F.col("embedding").alias("features")
+    )
+    val = random_split(rows, 0.2, seed=7).select("id", F.lit("validation").alias("split"))
+    marked = rows.join(val, "id", "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    cells = F.explode(
+        F.array(*[F.struct(F.lit(str(c)).alias("aid"), (F.col("label") % 2 == c).cast("double").alias("activity")) for c in (0, 1)])
+    )
+    long = settle(marked.select("id", "features", "split", cells.alias("c")).select("id", "features", "split", "c.*"))
+    return U.undersample_assays(long, ["0", "1"], _tracin_valuer, levels=2)
+
+
 @query("active_learning_greedy")
 def active_learning_greedy(spark, folder):
     train, _ = _rare_class(spark, folder)

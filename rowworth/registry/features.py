@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowworth.functions import columns as C
 from rowworth.operators import features as X
+from rowworth.operators.ordering import attach_totals
 from rowworth.operators.rules import rule_alerts
 from rowworth.registry import bindings as B
 from rowworth.registry import query
@@ -192,7 +193,7 @@ def tanimoto(spark, folder):
         .groupBy("label")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "c")))["c"].alias("centre"))
     )
-    joined = rows.join(centres, "label")
+    joined = attach_totals(rows, centres, ["label"])
     return joined.select("id", F.round(C.tanimoto(F.col("embedding"), F.col("centre")), 6).alias("similarity"))
 
 
@@ -214,7 +215,7 @@ def tanimoto_bits(spark, folder):
     bits = settle(texts.select("id", "lang", C.hashed_fingerprint(listed, radius=0).alias("bits")))
     first = bits.groupBy("lang").agg(F.min_by("bits", "id").alias("ref"))
     similarity = C.tanimoto_bits(F.col("bits"), F.col("ref"))
-    return bits.join(first, "lang").select("id", similarity.alias("similarity"))
+    return attach_totals(bits, first, ["lang"]).select("id", similarity.alias("similarity"))
 
 
 @query(

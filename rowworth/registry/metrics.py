@@ -205,7 +205,7 @@ FROM lineitem l JOIN m ON l.l_quantity = m.l_quantity GROUP BY l.l_returnflag"""
 def rmspe(spark, folder):
     rows = B.table(spark, folder, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
     hat = rows.groupBy("l_quantity").agg(F.avg("l_extendedprice").alias("hat"))
-    return _rounded(M.rmspe(rows.join(hat, "l_quantity"), "l_extendedprice", "hat", by=["l_returnflag"]))
+    return _rounded(M.rmspe(attach_totals(rows, hat, ["l_quantity"]), "l_extendedprice", "hat", by=["l_returnflag"]))
 
 
 @query(
@@ -338,7 +338,8 @@ def wilcoxon(spark, folder):
         .groupBy(F.col("s_nationkey").alias("dataset"))
         .agg(F.avg("s_acctbal").alias("reference"))
     )
-    diffs = balance_metrics(spark, folder).join(reference, "dataset")
+    diffs = attach_totals(balance_metrics(spark, folder), reference, ["dataset"])
+    diffs = diffs.where(F.col("reference").isNotNull())
     diffs = diffs.select("dataset", "method", (F.col("value") - F.col("reference")).alias("diff"))
     return _rounded(S.wilcoxon_signed_rank(diffs, by=["dataset", "method"]))
 

@@ -28,6 +28,13 @@ def fit_classifier(spark, folder):
     return attach_totals(auroc(scored, "y", "probability"), accuracy(scored, "y", "predicted"))
 
 
+@query("predict")
+def predict(spark, folder):
+    train, val = settled_split(spark, folder)
+    scored = M.predict(M.fit_classifier(train), val)
+    return scored.select("id", "y", "probability", "predicted")
+
+
 @query("fit_weighted")
 def fit_weighted(spark, folder):
     train, val = settled_split(spark, folder)

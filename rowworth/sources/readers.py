@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowworth.session import broadcast_if_small
+
 # Column names of the public raw assay exports.
 RAW_COLUMNS = {
     "key": "PUBCHEM_EXT_DATASOURCE_SMILES",
@@ -115,4 +117,6 @@ def read_multi_assay(wide: DataFrame, ids: Sequence[str], prefix: str = "activit
 
 def group_assays(long: DataFrame, mapping: DataFrame, group: str) -> DataFrame:
     """Cells of the assays whose `group` flag is 1 in the mapping table."""
-    return long.join(mapping.where(F.col(group) == 1).select("aid"), "aid", "left_semi")
+    # an assay may hold a large share of all cells, so they are not shuffled onto it
+    wanted = broadcast_if_small(mapping.where(F.col(group) == 1).select("aid"))
+    return long.join(wanted, "aid", "left_semi")

@@ -169,3 +169,9 @@ def test_fingerprint_of_repeats_is_small(spark):
     df = spark.createDataFrame([(["a"] * 50,), (["a"] * 3,), ([],)], "t array<string>")
     many, few, none = [r[0] for r in df.select(C.hashed_fingerprint(F.col("t"))).collect()]
     assert many == few and 0 < len(few) <= 3 and none == []
+
+
+def test_removing_from_all_labels(spark):
+    df = spark.createDataFrame([(i, int(i < 2), float(i)) for i in range(6)], "id int, primary int, value double")
+    left = removal.remove_k(df, 3, label=None).select("id").collect()
+    assert {r[0] for r in left} == {3, 4, 5}
