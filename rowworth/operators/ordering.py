@@ -137,40 +137,38 @@ def exact_percentiles(
     # interpolation reaches one row further than the sketch's own place; where the margin is less
     # than a few rows, all values are in the bracket
     tiny = F.count(F.lit(1)) * _MARGIN < 4
-    ends = F.flatten(F.array_repeat(F.array(F.min("_v"), F.max("_v")), len(probs)))
+    whole = F.flatten(F.array_repeat(F.array(F.min("_v"), F.max("_v")), len(probs)))
     sketch = settle(
         rows.groupBy(*by).agg(
             F.count(F.lit(1)).alias("_n"),
-            F.when(tiny, ends).otherwise(F.percentile_approx("_v", edges, _ACCURACY)).alias("_edges"),
+            F.when(tiny, whole).otherwise(F.percentile_approx("_v", edges, _ACCURACY)).alias("_edges"),
         )
     )
-    cells = []
-    for i in range(len(probs)):
-        low, high = F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]
-        # null stands for all values below the bracket
-        inside = F.when(F.col("_v") >= low, F.col("_v"))
-        cells.append(F.when(F.col("_v") <= high, F.struct(F.lit(i).alias("i"), inside.alias("v"))))
-    exploded = attach_totals(rows, sketch, by).select(*by, F.explode(F.array_compact(F.array(*cells))).alias("_cell"))
-    counts = exploded.groupBy(*by, F.col("_cell.i").alias("_i"), F.col("_cell.v").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
+    ends = [(F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]) for i in range(len(probs))]
+    inside = reduce(lambda a, b: a | b, [F.col("_v").between(low, high) for low, high in ends])
+    # values between brackets are only counted, under the bracket end before them (null: before all)
+    before = [F.when(high < F.col("_v"), high) for _, high in ends]
+    gap = before[0] if len(before) == 1 else F.greatest(*before)
+    counts = (
+        attach_totals(rows, sketch, by)
+        .groupBy(*by, F.when(inside, F.col("_v")).otherwise(gap).alias("_v"), (~inside).cast("int").alias("_gap"))
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    cumulative = running_totals(counts, [F.col("_v").asc_nulls_first()], {"_cum": "_c"}, [*by, "_i"])
+    cumulative = running_totals(counts, [F.col("_v").asc_nulls_first(), "_gap"], {"_cum": "_c"}, by)
     placed = attach_totals(cumulative, sketch.select(*by, "_n"), by)
     picks = []
-    for i, (name, p) in enumerate(probs.items()):
+    for name, p in probs.items():
         at = F.lit(p) * (F.col("_n") - 1)
         for bound, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            reached = (F.col("_i") == i) & (F.col("_cum") > place)
-            picks.append(F.min(F.when(reached, F.col("_v"))).alias(f"_{bound}_{name}"))
-            # the smallest cumulative count must start above the values below the bracket
-            short = (F.col("_i") == i) & F.col("_v").isNull() & reached
-            picks.append(F.max(short.cast("int")).alias(f"_{bound}_short_{name}"))
+            # cumulative counts are distinct, so the smallest one beyond the place is its row
+            first = F.min_by(F.struct("_v", "_gap"), F.when(F.col("_cum") > place, F.col("_cum")))
+            picks.append(first.alias(f"_{bound}_{name}"))
     picked = placed.groupBy(*by).agg(F.max("_n").alias("_n"), *picks)
     out = []
     for name, p in probs.items():
         at = F.lit(p) * (F.col("_n") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        missed = lo.isNull() | hi.isNull() | (F.col(f"_lo_short_{name}") == 1) | (F.col(f"_hi_short_{name}") == 1)
-        exact = lo + (hi - lo) * (at - F.floor(at))
+        missed = (lo["_gap"] == 1) | (hi["_gap"] == 1)
+        exact = lo["_v"] + (hi["_v"] - lo["_v"]) * (at - F.floor(at))
         out.append(F.when(missed, F.raise_error(F.lit("percentile sketch missed its place"))).otherwise(exact).alias(name))
     return picked.select(*by, *out)
