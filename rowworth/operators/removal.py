@@ -39,7 +39,7 @@ def ranked_negatives(
     ranked = rank_rows(valued.withColumn("_key", key), ["_key", id_col], [label], "from_low").drop("_key")
     ranked = settle(ranked)
     sizes = ranked.groupBy(label).agg(F.max("from_low").alias("_n"))
-    both = attach_totals(ranked, F.broadcast(sizes), [label])
+    both = attach_totals(ranked, sizes, [label])
     return both.withColumn("from_high", F.col("_n") - F.col("from_low") + 1).drop("_n")
 
 
