@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowworth.llm import near_text
-from rowworth.session import ship_package
+from rowworth.llm import near_text, packing, token_store
+from rowworth.session import scratch_folder, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +59,16 @@ FROM sets d LEFT JOIN alike k ON len(d.s) > 0 AND md5(array_to_string(list_sort(
 """)
 def minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
+
+
+@query("op6_nnls_packing")
+def packing_nnls(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op8_perfect_hash_tokens")
+def tokens_perfect_hash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    target = scratch_folder(spark)
+    token_store.write_tokens(docs, target)
+    return token_store.token_digests(spark, target, docs.select(docs["doc_id"].alias("key")))
