@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowworth.llm.components import components
+from rowworth.llm.keeping import Keeper
 from rowworth.llm.text import ORDER, SALT, U64, batches, mix, shingles, word_hashes
 from rowworth.session import broadcast_if_small, settle
 
 BANDS = 30
 ROWS = 5
+# nodes of a bucket that are compared with all its others in the second round
+HUBS = 16
 _BINS = BANDS * ROWS
 # the order in which an empty bin tries the others, fixed for all texts
 _PROBES = np.array([np.random.RandomState(7919 + b).permutation(_BINS) for b in range(_BINS)])
@@ -118,8 +121,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Texts with equal sets become one node first. Nodes whose sketches agree in a whole band share
     a bucket, and each round links every bucket as a star around its smallest node: pairs grow
-    with the rows of buckets, never with their squares. Confirmed or not, the hub then leaves; a
+    with the rows of buckets, never with their squares. Confirmed or not, hubs then leave; a
     bucket is done when its other nodes lie in one component, so no pair that matters is dropped.
+    Buckets that are not done after the first round get about HUBS hubs in the second and four
+    times as many in each further one.
     At the threshold a pair misses all 30 bands of 5 with a chance of 7e-6.
 
     Null and empty texts have no shingles, are linked with nothing and kept. Rows with a null
@@ -128,34 +133,50 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     docs = docs.select("doc_id", "text")
     schema = "doc_id long, n_shingles long, digest binary, bands array<long>"
+    keeper = Keeper(docs.sparkSession)
     sketches = settle(docs.mapInArrow(_sketches(size), schema))
     nodes = settle(
         sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("digest")
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
-    members = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
-    links, tested = None, None
-    labels = nodes.select("node", F.col("node").alias("component")).limit(0)
+    members = nodes.select("node", "n", F.explode("bands").alias("bucket")).distinct()
+    labels = members.select("node", F.col("node").alias("component")).limit(0)
+    links = tested = None
+    hubs_each = 1
     while True:
         # buckets of one component are done; at first every node is its own
         own = F.coalesce("component", "node")
-        marked = members.join(labels, "node", "left").select("bucket", "node", own.alias("component"))
-        hubs = marked.groupBy("bucket").agg(
-            F.min("node").alias("hub"), F.min_by("component", "node").alias("hub_component"),
+        marked = members.join(labels, "node", "left").select("bucket", "node", "n", own.alias("component"))
+        buckets = marked.groupBy("bucket").agg(
+            F.min("node").alias("least"), F.count(F.lit(1)).alias("rows"),
             F.min("component").alias("low"), F.max("component").alias("high"),
         )
-        stars = settle(marked.join(hubs.where("low < high"), "bucket").where("node <> hub"))
+        drawn = F.lit(False) if hubs_each == 1 else F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("rows") / hubs_each)) == 0
+        stars = keeper.keep(
+            marked.join(buckets.where("low < high"), "bucket")
+            .select("bucket", "node", "n", "component", ((F.col("node") == F.col("least")) | drawn).alias("hub"))
+        )
         if stars.isEmpty():
             break
-        pairs = stars.where("component <> hub_component").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        hubs = stars.where("hub").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
+        pairs = (
+            hubs.join(stars, "bucket")
+            .where("component <> of_a AND node <> a AND (NOT hub OR node > a)")
+            .where(F.greatest("n", "n_a") * percent <= F.least("n", "n_a") * 100)
+            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+            .distinct()
+        )
+        pairs = keeper.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.union(pairs)
-        confirmed = _confirm(docs, nodes, pairs, size, percent)
-        links = settle(confirmed if links is None else links.union(confirmed))
-        labels = components(links)
-        members = stars.select("bucket", "node")
+        found = keeper.keep(_confirm(docs, nodes, pairs, size, percent))
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links)
+        members = stars.where("NOT hub").select("bucket", "node", "n")
+        hubs_each = HUBS if hubs_each == 1 else 4 * hubs_each
     of_set = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    whole = sketches.join(of_set, "digest", "left")
+    whole = sketches.join(settle(of_set), "digest", "left")
+    keeper.clear()
     component = F.coalesce("component_id", "doc_id")
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
