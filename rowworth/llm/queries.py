@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowworth.llm import near_text, packing, token_store
+from rowworth.llm import near_text, near_vectors, packing, token_store, warc
 from rowworth.session import scratch_folder, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,16 @@ def tokens_perfect_hash(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_folder(spark)
     token_store.write_tokens(docs, target)
     return token_store.token_digests(spark, target, docs.select(docs["doc_id"].alias("key")))
+
+
+@query("op5_kmeans_near_vectors")
+def vectors_kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"), threshold=0.93)
+
+
+@query("op10_warc_archive")
+def warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    target = scratch_folder(spark)
+    warc.write_archives(table(spark, folder, "pages"), target)
+    found = warc.read_archives(spark, target, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

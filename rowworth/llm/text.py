@@ -83,7 +83,9 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return mix(total + U64(width * int(SALT) % (1 << 64)))
 
 
-def batches(columns: list[str], rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
-    """Arrow batches as lists of Python values, one list for each column."""
+def batches(columns: list[str], rows: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[list, ...]]:
+    """Arrow batches as lists of Python values, one list for each column, `size` rows at a time."""
     for batch in rows:
-        yield tuple(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns)
+        found = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+        for at in range(0, batch.num_rows, size):
+            yield tuple(c.slice(at, size).to_pylist() for c in found)

@@ -198,9 +198,7 @@ def _digests(folder: str, starts: dict[int, int]):
     read = _read_ids(folder)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a few hundred documents at a time, as payloads are as long as texts
-        small = (b.slice(i, 256) for b in rows for i in range(0, b.num_rows, 256))
-        for keys, shard, at, payloads in batches(["key", "shard", "at", "payload"], read(small)):
+        for keys, shard, at, payloads in batches(["key", "shard", "at", "payload"], read(rows)):
             yield pa.record_batch(
                 {
                     "doc_id": pa.array(keys, pa.int64()),
