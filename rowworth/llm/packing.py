@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowworth.llm.text import batches
-from rowworth.llm.tokens import PieceEncoder
+from rowworth.llm.tokens import shared_encoder
 from rowworth.session import scratch_folder, settle
 
 VOCABULARY = "word_bpe_49k.json"
@@ -99,20 +98,17 @@ def plan_repeats(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
 def _encode(vocabulary: str, end: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(vocabulary, words_only=True)
+        encoder = shared_encoder(vocabulary, words_only=True)
         key = TaskContext.get().partitionId() << _PART
-        closing = struct.pack("<I", end)
+        width = encoder.width
+        closing = end.to_bytes(width, "little")
         for ids, texts in batches(["doc_id", "text"], rows):
             payloads = [encoder.encode(t) + closing for t in texts]
-            # vocabularies of up to 2^16 ids are kept in two bytes an id
-            narrow = [np.frombuffer(p, dtype="<u4") for p in payloads]
-            wide = any(len(p) and p.max() > 0xFFFF for p in narrow)
-            kept = payloads if wide else [p.astype("<u2").tobytes() for p in narrow]
             yield pa.record_batch(
                 {
                     "key": pa.array(range(key, key + len(ids)), pa.int64()), "doc_id": pa.array(ids, pa.int64()),
-                    "doc_tokens": pa.array([len(p) for p in narrow], pa.int64()),
-                    "width": pa.array([4 if wide else 2] * len(ids), pa.int32()), "ids": pa.array(kept, pa.binary()),
+                    "doc_tokens": pa.array([len(p) // width for p in payloads], pa.int64()),
+                    "width": pa.array([width] * len(ids), pa.int32()), "ids": pa.array(payloads, pa.binary()),
                 }
             )
             key += len(ids)

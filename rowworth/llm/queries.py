@@ -6,8 +6,10 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowworth.llm import near_text, near_vectors, packing, token_store, warc
+from rowworth.llm import decontaminate, near_text, near_vectors, packing, secrets, token_store, warc
+from rowworth.llm.text import lean_batches
 from rowworth.session import scratch_folder, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +21,7 @@ def query(name: str, sql: str | None = None):
         @functools.wraps(fn)
         def run(spark: SparkSession, folder: str) -> DataFrame:
             ship_package(spark)
+            lean_batches(spark)
             return fn(spark, folder)
 
         QUERIES[name] = run
@@ -85,3 +88,15 @@ def warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     warc.write_archives(table(spark, folder, "pages"), target)
     found = warc.read_archives(spark, target, with_payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_simhash_decontamination")
+def decontamination_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op4_secret_ownership")
+def secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = secrets.find_secrets(docs, "source", F.concat_ws("/", docs["source"], docs["lang"]))
+    return secrets.digest_columns(found)

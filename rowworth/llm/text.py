@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -89,3 +90,10 @@ def batches(columns: list[str], rows: Iterator[pa.RecordBatch], size: int = 256)
         found = [batch.column(batch.schema.get_field_index(c)) for c in columns]
         for at in range(0, batch.num_rows, size):
             yield tuple(c.slice(at, size).to_pylist() for c in found)
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches of this session to 8 MB and 2000 rows: texts are long, and a task's JVM
+    and Python sides each hold a batch several times over."""
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))

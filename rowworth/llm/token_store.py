@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -16,18 +15,18 @@ from pyspark.sql import functions as F
 from rowworth.llm.files import open_store, read_json, write_json, write_whole
 from rowworth.llm.perfect_hash import PerfectHash, fingerprints
 from rowworth.llm.text import U64, batches
-from rowworth.llm.tokens import PieceEncoder
+from rowworth.llm.tokens import shared_encoder, vocabulary_width
 from rowworth.session import settle
 
 VOCABULARY = "byte_bpe_50k.json"
 # keys in one index file; a task holds one at a time
 BUCKET_KEYS = 100_000
 _ENTRY = np.dtype([("print", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("ids", "<u8")])
-_DIRECTORY = "key long, shard long, at long, ids long, bytes long"
+_DIRECTORY = "key long, shard long, at long, ids long, total long"
 
 
 def _shard(folder: str, number: int) -> str:
-    return f"{folder}/ids/shard-{number:06d}.u32"
+    return f"{folder}/ids/shard-{number:06d}.ids"
 
 
 def _bucket(folder: str, number: int) -> str:
@@ -36,9 +35,10 @@ def _bucket(folder: str, number: int) -> str:
 
 def _write_shard(folder: str, vocabulary: str, end: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(vocabulary, words_only=False)
+        encoder = shared_encoder(vocabulary, words_only=False)
+        width = encoder.width
         store, root = open_store(folder)
-        number, closing = TaskContext.get().partitionId(), struct.pack("<I", end)
+        number, closing = TaskContext.get().partitionId(), end.to_bytes(encoder.width, "little")
         first = next(rows, None)
         while first is not None and not first.num_rows:
             first = next(rows, None)
@@ -53,15 +53,15 @@ def _write_shard(folder: str, vocabulary: str, end: int):
                     payload = encoder.encode(text) + closing
                     stream.write(payload)
                     if keys and keys[-1] == key:
-                        counts[-1] += len(payload) // 4
+                        counts[-1] += len(payload) // width
                     else:
                         keys.append(key)
                         starts.append(at)
-                        counts.append(len(payload) // 4)
-                    at += len(payload) // 4
+                        counts.append(len(payload) // width)
+                    at += len(payload) // width
 
         write_whole(store, _shard(root, number), write)
-        size = sum(counts) * 4
+        size = sum(counts)
         for part in range(0, len(keys), 10_000):
             cut = slice(part, part + 10_000)
             here = len(keys[cut])
@@ -69,7 +69,7 @@ def _write_shard(folder: str, vocabulary: str, end: int):
                 {
                     "key": pa.array(keys[cut], pa.int64()), "shard": pa.array([number] * here, pa.int64()),
                     "at": pa.array(starts[cut], pa.int64()), "ids": pa.array(counts[cut], pa.int64()),
-                    "bytes": pa.array([size] * here, pa.int64()),
+                    "total": pa.array([size] * here, pa.int64()),
                 }
             )
 
@@ -120,7 +120,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
     """Encode `docs(doc_id, text)` into `folder`; the manifest, also written there as the last file.
 
     Rows are range-partitioned by doc_id, so shards follow each other in ascending order and a
-    partition is one file `ids/shard-N.u32`: the bare little-endian 32-bit ids, document after
+    partition is one file `ids/shard-N.ids`: the bare little-endian ids (of two
+    bytes if the vocabulary has at most 65,536, else of four), document after
     document, each with `end`. The index is split by key hash into buckets of about BUCKET_KEYS;
     `index/bucket-N.mph` holds a minimal perfect hash and, at each slot, fingerprint, shard,
     first id and number of ids. Files appear by rename, the manifest last: a folder without
@@ -132,11 +133,11 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     directory = settle(ordered.mapInArrow(_write_shard(folder, vocabulary, end), _DIRECTORY))
-    sums = directory.groupBy("shard").agg(F.max("bytes").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
+    sums = directory.groupBy("shard").agg(F.max("total").alias("total"), F.min("key").alias("low"), F.max("key").alias("high"))
     shards, start = [], 0
     for row in sums.orderBy("shard").collect():
-        shards.append({"shard": row.shard, "start": start, "ids": row.bytes // 4, "low": row.low, "high": row.high})
-        start += row.bytes // 4
+        shards.append({"shard": row.shard, "start": start, "ids": row.total, "low": row.low, "high": row.high})
+        start += row.total
     keyed = directory.where("key IS NOT NULL")
     buckets = max(1, -(-keyed.count() // BUCKET_KEYS))
     indexed = (
@@ -146,7 +147,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
         .mapInArrow(_write_index(folder), "bucket long, keys long")
     )
     keys = indexed.agg(F.sum("keys")).first()[0] or 0
-    manifest = {"vocabulary": vocabulary, "end": end, "shards": shards, "buckets": buckets, "keys": keys, "ids": start}
+    width = vocabulary_width(vocabulary)
+    manifest = {"vocabulary": vocabulary, "width": width, "end": end, "shards": shards, "buckets": buckets, "keys": keys, "ids": start}
     write_json(f"{folder}/manifest.json", manifest)
     return manifest
 
@@ -172,7 +174,7 @@ def _look_up(folder: str):
     return run
 
 
-def _read_ids(folder: str):
+def _read_ids(folder: str, width: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
         number, stream = None, None
@@ -183,7 +185,7 @@ def _read_ids(folder: str):
                     if stream:
                         stream.close()
                     number, stream = s, store.open_input_file(_shard(root, s))
-                payloads.append(stream.read_at(4 * count, 4 * first))
+                payloads.append(stream.read_at(width * count, width * first))
             yield pa.record_batch(
                 {"key": pa.array(keys, pa.int64()), "shard": pa.array(shard, pa.int64()), "at": pa.array(at, pa.int64()),
                  "payload": pa.array(payloads, pa.binary())}
@@ -194,8 +196,8 @@ def _read_ids(folder: str):
     return run
 
 
-def _digests(folder: str, starts: dict[int, int]):
-    read = _read_ids(folder)
+def _digests(folder: str, width: int, starts: dict[int, int]):
+    read = _read_ids(folder, width)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, shard, at, payloads in batches(["key", "shard", "at", "payload"], read(rows)):
@@ -203,8 +205,8 @@ def _digests(folder: str, starts: dict[int, int]):
                 {
                     "doc_id": pa.array(keys, pa.int64()),
                     "start": pa.array([starts[s] + a for s, a in zip(shard, at)], pa.int64()),
-                    "n_tokens": pa.array([len(p) // 4 for p in payloads], pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(p) for p in payloads], pa.int64()),
+                    "n_tokens": pa.array([len(p) // width for p in payloads], pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(np.frombuffer(p, dtype=f"<u{width}").astype("<u4")) for p in payloads], pa.int64()),
                 }
             )
 
@@ -224,12 +226,14 @@ def locate(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
 
 def read_tokens(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     """(key, shard, at, payload) of the given keys: index, then one positioned read each."""
+    width = read_json(f"{folder}/manifest.json")["width"]
     places = locate(spark, folder, keys).repartitionByRange("shard", "at").sortWithinPartitions("shard", "at")
-    return places.mapInArrow(_read_ids(folder), "key long, shard long, at long, payload binary")
+    return places.mapInArrow(_read_ids(folder, width), "key long, shard long, at long, payload binary")
 
 
 def token_digests(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the given keys, from the files."""
-    starts = {s["shard"]: s["start"] for s in read_json(f"{folder}/manifest.json")["shards"]}
+    manifest = read_json(f"{folder}/manifest.json")
+    starts = {s["shard"]: s["start"] for s in manifest["shards"]}
     places = locate(spark, folder, keys).repartitionByRange("shard", "at").sortWithinPartitions("shard", "at")
-    return places.mapInArrow(_digests(folder, starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return places.mapInArrow(_digests(folder, manifest["width"], starts), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -16,13 +16,15 @@ _PIECES = re.compile(r"\s+(?=\s\S)|[ \n]?\S+|\s+")
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece and remembers the ids of up to `remember` pieces.
+    """Encodes texts piece by piece and remembers the ids of pieces in two generations.
 
-    Words recur, so a dictionary hit replaces most of the merging. `words_only` is for
-    vocabularies that drop white space: their pieces are the words.
+    Words recur, so a dictionary hit replaces most of the merging. When the young generation
+    holds `remember` pieces it becomes the old one, and the old one goes; a piece that is met
+    again moves back. `words_only` is for vocabularies that drop white space: their pieces are
+    the words.
     """
 
-    def __init__(self, vocabulary: str, words_only: bool, remember: int = 300_000):
+    def __init__(self, vocabulary: str, words_only: bool, remember: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -30,28 +32,59 @@ class PieceEncoder:
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._words_only = words_only
         self._remember = remember
-        self._known: dict[str, bytes] = {}
+        #: ids fit in two bytes
+        self.width = vocabulary_width(vocabulary)
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
+        code = "H" if self.width == 2 else "I"
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        return [array(code, e.ids).tobytes() for e in found]
 
     def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; null counts as empty."""
+        """The ids as little-endian unsigned integers of `width` bytes; null counts as empty."""
         if not text:
             return b""
         if _ODD.search(text) or any(s in text for s in self._special):
             return self._plain([text])[0]
         pieces = text.split() if self._words_only else _PIECES.findall(text)
-        new = list(set(pieces).difference(self._known))
-        if new:
-            if len(self._known) + len(new) > self._remember:
-                self._known = {}
-                new = list(set(pieces))
-            self._known.update(zip(new, self._plain(new)))
-        return b"".join([self._known[p] for p in pieces])
+        found = list(map(self._young.get, pieces))
+        if None in found:
+            missing = {p for p, ids in zip(pieces, found) if ids is None}
+            if len(self._young) + len(missing) > self._remember:
+                self._old, self._young = self._young, {}
+                missing = set(pieces)
+            new = []
+            for piece in missing:
+                ids = self._old.get(piece)
+                if ids is None:
+                    new.append(piece)
+                else:
+                    self._young[piece] = ids
+            self._young.update(zip(new, self._plain(new)))
+            found = map(self._young.__getitem__, pieces)
+        return b"".join(found)
+
+
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
+
+
+def shared_encoder(vocabulary: str, words_only: bool) -> PieceEncoder:
+    """One encoder for all tasks that a Python worker runs."""
+    key = (vocabulary, words_only)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(vocabulary, words_only)
+    return _ENCODERS[key]
 
 
 def vocabulary_path(name: str) -> str:
     """A path as it is, or a name among the installed vocabularies."""
     return name if os.path.isabs(name) else public_tokenizers.path(name)
+
+
+def vocabulary_width(vocabulary: str) -> int:
+    """Bytes of an id."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(vocabulary_path(vocabulary)).get_vocab_size() <= 1 << 16 else 4
