@@ -77,6 +77,23 @@ def _sets(size: int):
     return run
 
 
+def _shared_sizes(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, alone): how many shingles of each node no other of these nodes has."""
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(broadcast_if_small(nodes), "node", "left_semi")
+    sets = texts.mapInArrow(_sets(size), "node long, words binary").dropDuplicates(["node"])
+    words = sets.mapInArrow(_unpacked, "node long, word long")
+    alone = words.groupBy("word").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).where("times = 1")
+    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    return nodes.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def _unpacked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for nodes, sets in batches(["node", "words"], rows, 64):
+        words = [np.frombuffer(s, dtype=np.int64) for s in sets]
+        named = np.repeat(np.asarray(nodes, dtype=np.int64), [len(w) for w in words])
+        yield pa.record_batch({"node": pa.array(named), "word": pa.array(np.concatenate(words))})
+
+
 def _overlaps(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact intersections; the hub's set stays decoded while its rows follow each other."""
     hub_raw, hub = b"", np.empty(0, dtype=U64)
@@ -124,7 +141,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     with the rows of buckets, never with their squares. Confirmed or not, hubs then leave; a
     bucket is done when its other nodes lie in one component, so no pair that matters is dropped.
     Buckets that are not done after the first round get about HUBS hubs in the second and four
-    times as many in each further one.
+    times as many in each further one. Pairs whose intersection can't be large enough, by their
+    sizes and by the shingles that no other unfinished node has, are left out before they are made.
     At the threshold a pair misses all 30 bands of 5 with a chance of 7e-6.
 
     Null and empty texts have no shingles, are linked with nothing and kept. Rows with a null
@@ -142,12 +160,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     members = nodes.select("node", "n", F.explode("bands").alias("bucket")).distinct()
     labels = members.select("node", F.col("node").alias("component")).limit(0)
+    # of a node's n shingles, `shared` are such that another unfinished node has them too
+    members = members.withColumn("shared", F.col("n"))
     links = tested = None
     hubs_each = 1
     while True:
         # buckets of one component are done; at first every node is its own
         own = F.coalesce("component", "node")
-        marked = members.join(labels, "node", "left").select("bucket", "node", "n", own.alias("component"))
+        marked = members.join(labels, "node", "left").select("bucket", "node", "n", "shared", own.alias("component"))
         buckets = marked.groupBy("bucket").agg(
             F.min("node").alias("least"), F.count(F.lit(1)).alias("rows"),
             F.min("component").alias("low"), F.max("component").alias("high"),
@@ -155,15 +175,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         drawn = F.lit(False) if hubs_each == 1 else F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("rows") / hubs_each)) == 0
         stars = keeper.keep(
             marked.join(buckets.where("low < high"), "bucket")
-            .select("bucket", "node", "n", "component", ((F.col("node") == F.col("least")) | drawn).alias("hub"))
+            .select("bucket", "node", "n", "shared", "component", ((F.col("node") == F.col("least")) | drawn).alias("hub"))
         )
         if stars.isEmpty():
             break
-        hubs = stars.where("hub").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
+        hubs = stars.where("hub").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"), F.col("component").alias("of_a"))
         pairs = (
             hubs.join(stars, "bucket")
             .where("component <> of_a AND node <> a AND (NOT hub OR node > a)")
-            .where(F.greatest("n", "n_a") * percent <= F.least("n", "n_a") * 100)
+            .where(F.least("shared", "shared_a") * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent)
             .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
             .distinct()
         )
@@ -173,7 +193,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links)
-        members = stars.where("NOT hub").select("bucket", "node", "n")
+        members = stars.where("NOT hub").select("bucket", "node", "n", "shared")
+        if hubs_each == 1:
+            # what no other unfinished node has can't be in an intersection: that bounds it from above
+            alone = keeper.keep(_shared_sizes(docs, keeper.keep(members.select("node").distinct()), size))
+            members = members.join(alone, "node").withColumn("shared", F.col("n") - F.col("alone")).drop("alone")
+            members = members.where(F.col("shared") * 100 >= F.col("n") * percent)
         hubs_each = HUBS if hubs_each == 1 else 4 * hubs_each
     of_set = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     whole = sketches.join(settle(of_set), "digest", "left")
