@@ -95,8 +95,8 @@ def find_leaks(
     report once; rows sharing a doc_id are searched apart. Items may have up to 2^20 words.
     """
     need = 2 * similarity / (1 + similarity)
-    items = with_shingles(benchmark.select("item_id", "text"), size, "item").drop("text")
-    items = settle(items.where(F.size("item") > 0).distinct().withColumn("long", F.size("item")))
+    items = settle(with_shingles(benchmark.select("item_id", "text"), size, "item").drop("text"))
+    items = items.where(F.size("item") > 0).distinct().withColumn("long", F.size("item"))
     longest = items.agg(F.max("long")).first()[0] or 0
     if longest >= 1 << (_LANES - 1):
         raise ValueError("an item has more than 2^20 words")
@@ -104,8 +104,10 @@ def find_leaks(
     known = broadcast_if_small(starts.select("h").distinct())
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    # an outer explode: a plain one puts a filter on the array, which is moved below the words and
+    # has them made anew for every shingle; the join drops what is null
     hashed = with_shingles(keyed, size, "hashes")
-    hits = hashed.select("doc_id", "version", F.posexplode("hashes").alias("at", "h")).join(known, "h")
+    hits = hashed.select("doc_id", "version", F.posexplode_outer("hashes").alias("at", "h")).join(known, "h")
     by_doc = hits.distinct().groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("hits"))
     ahead = by_doc.select(
         "doc_id", "version",
@@ -122,7 +124,7 @@ def find_leaks(
     found = with_shingles(found.dropDuplicates(["doc_id", "version"]), size, "hashes")
     cut = found.select(
         "doc_id",
-        F.explode(F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["long"].alias("long"), F.slice(F.col("hashes"), p["at"] + 1, p["long"]).alias("window")))).alias("w"),
+        F.explode_outer(F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["long"].alias("long"), F.slice(F.col("hashes"), p["at"] + 1, p["long"]).alias("window")))).alias("w"),
     ).select("doc_id", "w.*")
 
     def printed(df, column):
