@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowworth.llm import decontaminate, near_text, near_vectors, packing, secrets, token_store, warc
+from rowworth.llm import decontaminate, near_text, near_vectors, packing, quality, secrets, token_store, toxicity, warc
 from rowworth.llm.text import lean_batches
 from rowworth.session import scratch_folder, ship_package
 
@@ -100,3 +100,13 @@ def secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = secrets.find_secrets(docs, "source", F.concat_ws("/", docs["source"], docs["lang"]))
     return secrets.digest_columns(found)
+
+
+@query("op7_importance_resampling")
+def quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.importance_resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op2_weak_toxicity")
+def toxicity_weak(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
