@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rowworth.llm.files import open_store, read_json, write_json, write_whole
 from rowworth.llm.text import batches
-from rowworth.session import settle
+from rowworth.session import broadcast_if_small, settle
 
 ROLL_BYTES = 64 << 20
 # records carry a date that does not depend on when they are written
@@ -192,8 +192,10 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= min_bytes, F.sha1("payload")))
-    first = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"))
-    marked = rows.join(first, "digest", "left")
+    first = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("times"))
+    # payloads only travel for this join where the repeated ones are too many to broadcast
+    first = settle(first.where("times > 1").drop("times"))
+    marked = rows.join(broadcast_if_small(first), "digest", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     ordered = (
         marked.select("page_id", "url", "payload", refers.alias("refers_to"), F.col("page_id").isNull().alias("last"))
