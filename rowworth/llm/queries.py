@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowworth.llm import decontaminate, near_text, near_vectors, packing, quality, secrets, token_store, toxicity, warc
+from rowworth.llm import decontaminate, html_text, near_text, near_vectors, packing, quality, secrets, token_store, toxicity, warc
 from rowworth.llm.text import lean_batches
 from rowworth.session import scratch_folder, ship_package
 
@@ -110,3 +110,8 @@ def quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_weak_toxicity")
 def toxicity_weak(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_lstm_html_text")
+def html_lstm(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages"))
