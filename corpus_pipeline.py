@@ -1,7 +1,87 @@
-"""Corpus preparation in stages."""
-STAGES = []
+"""Corpus preparation in stages: each works on all rows that its predecessor kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowworth.llm import decontaminate, near_text, packing, quality, secrets
+from rowworth.llm.text import lean_batches
+from rowworth.session import broadcast_if_small, scratch_folder, ship_package
+
+#: SQL has no n-gram models, sketches or tokenizers: tests hold each stage against a brute-force version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is not among the rejected; rows without a doc_id stay."""
+    return docs.join(broadcast_if_small(rejected.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps."""
+    lean_batches(spark)
+    found = quality.importance_resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, found.where("NOT kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words a shingle, similarity of 0.8."""
+    lean_batches(spark)
+    found = near_text.near_duplicates(docs, size=5, percent=80)
+    return _without(docs, found.where("NOT kept"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    lean_batches(spark)
+    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced: live-looking ones and copied examples by marks of their own."""
+    version = F.xxhash64("text")
+    found = secrets.find_secrets(docs.withColumn("_version", version), "source", F.concat_ws("/", docs["source"], docs["lang"]), carry=("_version",))
+    # equal rows have equal spans
+    spans = broadcast_if_small(found.where(F.size("spans") > 0).dropDuplicates(["doc_id", "_version"]))
+    marked = docs.withColumn("_version", version).alias("d").join(
+        spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("d._version").eqNullSafe(F.col("s._version")), "left"
+    )
+    hit = F.col("s.spans").isNotNull()
+    text = F.when(hit, secrets.redact(F.col("d.text"), F.col("s.spans"))).otherwise(F.col("d.text"))
+    columns = []
+    for name in docs.columns:
+        column = F.col(f"d.`{name}`")
+        if name == "text":
+            column = text
+        elif name == "n_chars":
+            column = F.when(hit, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(column)
+        columns.append(column.alias(name))
+    return marked.select(*columns)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of all documents."""
+    lean_batches(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("secrets", redact_secrets),
+    ("packing", pack_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what a stage returns is written and reread for the next one."""
+    ship_package(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        path = scratch_folder(spark)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
