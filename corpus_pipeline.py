@@ -13,6 +13,11 @@ from rowworth.session import broadcast_if_small, scratch_folder, ship_package
 ORACLE_SQL = None
 
 
+def _ready(spark: SparkSession) -> None:
+    ship_package(spark)
+    lean_batches(spark)
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rows of `docs` whose doc_id is not among the rejected; rows without a doc_id stay."""
     return docs.join(broadcast_if_small(rejected.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
@@ -20,27 +25,28 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
-    lean_batches(spark)
+    _ready(spark)
     found = quality.importance_resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _without(docs, found.where("NOT kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words a shingle, similarity of 0.8."""
-    lean_batches(spark)
+    _ready(spark)
     found = near_text.near_duplicates(docs, size=5, percent=80)
     return _without(docs, found.where("NOT kept"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    lean_batches(spark)
+    _ready(spark)
     found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced: live-looking ones and copied examples by marks of their own."""
+    _ready(spark)
     version = F.xxhash64("text")
     found = secrets.find_secrets(docs.withColumn("_version", version), "source", F.concat_ws("/", docs["source"], docs["lang"]), carry=("_version",))
     # equal rows have equal spans
@@ -63,7 +69,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of all documents."""
-    lean_batches(spark)
+    _ready(spark)
     return packing.pack(docs)
 
 
@@ -78,7 +84,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what a stage returns is written and reread for the next one."""
-    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         path = scratch_folder(spark)
