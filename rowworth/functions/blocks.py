@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """An array-of-numbers column as a 2-D float64 matrix."""
+    """An array-of-numbers column as a 2-D float64 matrix; rows must be filled and equally long."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
+    if column.null_count or (rows and pc.count_distinct(pc.list_value_length(column)).as_py() > 1):
+        raise ValueError("arrays of a feature column must not be null and must have one length")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
 

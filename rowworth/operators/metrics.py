@@ -134,8 +134,8 @@ def auroc(df: DataFrame, truth: str, score: str, by: Sequence[str] = (), out: st
 
 
 def rmspe(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    """Root mean squared relative error."""
-    error = (F.col(truth) - F.col(predicted)) / F.col(truth)
+    """Root mean squared relative error; rows whose truth is 0 have none and are left out."""
+    error = F.try_divide(F.col(truth) - F.col(predicted), F.col(truth))
     return df.groupBy(*by).agg(F.sqrt(F.avg(error * error)).alias("rmspe"))
 
 

@@ -125,7 +125,8 @@ def corruption_curve(
 ) -> DataFrame:
     """Share of the known noisy rows met when rows are inspected from low value, per 5 % step.
 
-    `optimal` and `random` are the curves of a perfect and of a blind order.
+    `optimal` and `random` are the curves of a perfect and of a blind order. Without noisy rows
+    `found` and `optimal` are null.
     """
     ranked = settle(rank_rows(valued.select(id_col, value, noisy), [value, id_col], out="_rank"))
     totals = ranked.agg(F.max("_rank").alias("_n"), F.sum(noisy).alias("_bad"))
@@ -143,7 +144,7 @@ def corruption_curve(
     step = F.col("bin") / bins
     return summed.select(
         "bin",
-        (F.col("_sum") / F.col("_bad")).alias("found"),
-        F.least(step / (F.col("_bad") / F.col("_n")), F.lit(1.0)).alias("optimal"),
+        F.try_divide("_sum", "_bad").alias("found"),
+        F.when(F.col("_bad") > 0, F.least(step / F.nullif(F.col("_bad") / F.col("_n"), F.lit(0.0)), F.lit(1.0))).alias("optimal"),
         step.alias("random"),
     )

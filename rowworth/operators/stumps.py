@@ -57,7 +57,7 @@ def pattern_column(features: Sequence[str], means: Sequence[float]) -> Column:
 
 def _cells(df: DataFrame, features: Sequence[str], means: Sequence[float], label: str) -> np.ndarray:
     """(pattern, label, count) of the rows; combined map-side to at most 2^(d+1) rows."""
-    counted = df.groupBy(pattern_column(features, means).alias("p"), F.col(label).cast("int").alias("y")).count()
+    counted = df.where(F.col(label).isNotNull()).groupBy(pattern_column(features, means).alias("p"), F.col(label).cast("int").alias("y")).count()
     return np.array([tuple(r) for r in counted.collect()], dtype=np.int64).reshape(-1, 3)
 
 
@@ -76,6 +76,8 @@ def fit_stumps(
     cells = _cells(df, features, means, label)
     patterns, y, n = cells[:, 0], cells[:, 1].astype(float), cells[:, 2].astype(float)
     share = (y * n).sum() / n.sum()
+    if not 0 < share < 1:
+        raise ValueError("rows of both labels are needed")
     base = float(np.log(share / (1 - share)))
     margin = np.full(len(n), base)
     split_on = np.arange(rounds) % len(features)
@@ -113,7 +115,8 @@ def _looked_up(rows: DataFrame, model: StumpModel, label: str, values: np.ndarra
     match = (pattern_column(model.features, model.means) == F.col("_p")) & (
         F.col(label).cast("int") == F.col("_y")
     )
-    return rows.join(F.broadcast(cells), match).drop("_p", "_y")
+    # a null label has no cell, hence a null value
+    return rows.join(F.broadcast(cells), match, "left").drop("_p", "_y")
 
 
 def value_mvs(rows: DataFrame, model: StumpModel, label: str = "y") -> DataFrame:

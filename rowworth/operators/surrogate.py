@@ -18,7 +18,6 @@ from rowworth.operators.models import fit_all
 from rowworth.operators.pairs import similarity
 from rowworth.session import settle
 
-MAX_LANDMARKS = 500
 _JITTER = 1e-6
 
 
@@ -54,9 +53,9 @@ def _vector(features: str):
 
 
 def _landmarks(pool: DataFrame, features: str, id_col: str, count: int, seed: int) -> np.ndarray:
-    """A seeded handful of pool rows: at most MAX_LANDMARKS, so they are model data."""
+    """`count` seeded pool rows. They are model data: the driver holds them and a square matrix of them."""
     keyed = pool.select(id_col, features).withColumn("_draw", seeded_key(F.col(id_col), seed))
-    return matrix(keyed.orderBy("_draw", id_col).limit(min(count, MAX_LANDMARKS)).toArrow()[features])
+    return matrix(keyed.orderBy("_draw", id_col).limit(count).toArrow()[features])
 
 
 def _fit_on_landmarks(

@@ -43,7 +43,7 @@ def _rounds(train: DataFrame, picker: Picker, share: float, steps: int, seed: in
 
 
 def actives_found(train: DataFrame, sampled: DataFrame, label: str = "y") -> DataFrame:
-    """`(step, n_sampled, found, share)`: sizes and actives of the pool after each step."""
+    """`(step, n_sampled, found, share)`: sizes and actives of the pool after each step; no actives at all: null share."""
     per_round = (
         train.select("id", label)
         .join(sampled, "id")
@@ -60,7 +60,7 @@ def actives_found(train: DataFrame, sampled: DataFrame, label: str = "y") -> Dat
     )
     all_actives = train.agg(F.sum(label).alias("_all"))
     return attach_totals(summed, all_actives).select(
-        "step", "n_sampled", "found", (F.col("found") / F.col("_all")).alias("share")
+        "step", "n_sampled", "found", F.try_divide("found", "_all").alias("share")
     )
 
 
@@ -138,7 +138,8 @@ def active_learning_random(
     placed = random_order(train.select("id", label), seed)
     n = train.agg(F.count(F.lit(1)).alias("_n"))
     first = F.ceil(F.col("_n") * F.lit(step_share))
-    batch = F.floor(F.col("_n") * F.lit(step_share))
+    # at least a row each round
+    batch = F.greatest(F.floor(F.col("_n") * F.lit(step_share)), F.lit(1))
     beyond = F.ceil((F.col("position") - first) / batch)
     rounds = attach_totals(placed, n).select("id", F.greatest(beyond, F.lit(0)).cast("int").alias("round"))
     return actives_found(train, rounds.where(F.col("round") <= steps), label)

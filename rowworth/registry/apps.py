@@ -82,13 +82,13 @@ def _tracin_valuer(pool):
 @query("active_learning")
 def active_learning(spark, folder):
     train, _ = _rare_class(spark, folder)
-    return A.active_learning(train, _tracin_valuer, "ridge", step_share=0.05, steps=3)
+    return A.active_learning(train, _tracin_valuer, "ridge", step_share=0.05, steps=6)
 
 
 @query("active_learning_ucb")
 def active_learning_ucb(spark, folder):
     train, _ = _rare_class(spark, folder)
-    return A.active_learning(train, _tracin_valuer, "gp", "ucb", step_share=0.05, steps=3)
+    return A.active_learning(train, _tracin_valuer, "gp", "ucb", step_share=0.05, steps=6)
 
 
 @query("active_learning_grid")
@@ -117,7 +117,7 @@ def undersample_assays(spark, folder):
 @query("active_learning_greedy")
 def active_learning_greedy(spark, folder):
     train, _ = _rare_class(spark, folder)
-    return A.active_learning_greedy(train, step_share=0.05, steps=3)
+    return A.active_learning_greedy(train, step_share=0.05, steps=6)
 
 
 RANDOM_SQL = """WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS y FROM orders),
@@ -192,7 +192,7 @@ def remove_high_low(spark, folder):
 def learn_with_values(spark, folder):
     valued, val = _valued_vectors(spark, folder)
     valid = settle(random_split(val, 0.5, seed=1))
-    removal = U.remove_high_low(valued, valid, exclude_split(val, valid), bins=5)
+    removal = U.remove_high_low(valued, valid, exclude_split(val, valid))
     return U.learn_with_values(removal)
 
 

@@ -92,15 +92,18 @@ def align_logs(spark, folder):
     return W.align_logs(two_methods_log(spark, folder), ["price", "quantity"])
 
 
+METHODS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+_AVERAGES = ", ".join(f"round(avg(value) FILTER (WHERE method = '{m}'), 6) AS \"{m}\"" for m in METHODS)
+
+
 @query(
     "summary_join",
     f"""WITH {BALANCE_SQL}
-SELECT dataset, metric, round(avg(value) FILTER (WHERE method = 'BUILDING'), 6) AS "BUILDING",
-  round(avg(value) FILTER (WHERE method = 'MACHINERY'), 6) AS "MACHINERY"
+SELECT dataset, metric, {_AVERAGES}
 FROM balance GROUP BY dataset, metric""",
 )
 def summary_join(spark, folder):
-    return _rounded(W.summary_join(balance_metrics(spark, folder), ["BUILDING", "MACHINERY"]))
+    return _rounded(W.summary_join(balance_metrics(spark, folder), METHODS))
 
 
 @query(

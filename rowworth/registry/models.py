@@ -38,7 +38,7 @@ def predict(spark, folder):
 @query("fit_weighted")
 def fit_weighted(spark, folder):
     train, val = settled_split(spark, folder)
-    valued = value_reinforce(train, val, steps=3)
+    valued = value_reinforce(train, val)
     model = M.fit_classifier(valued, weight="value")
     return M.predict(model, val).select("id", "y", "probability", "predicted")
 

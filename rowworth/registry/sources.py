@@ -29,10 +29,12 @@ def read_assay_csv(spark, folder):
         "p_type": R.RAW_COLUMNS["outcome"],
         "p_size": R.RAW_COLUMNS["score"],
     }
-    part = B.table(spark, folder, "part").select(*[F.col(a).alias(b) for a, b in raw.items()])
+    # as in raw exports, other columns stand in front of and between those that are read
+    part = B.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("PUBCHEM_CID"), *[F.col(a).alias(b) for a, b in reversed(raw.items())], F.col("p_brand").alias("OTHER")
+    )
     part.write.option("header", True).csv(path)
-    schema = ", ".join(f"{name} {kind}" for name, kind in zip(raw.values(), ["string", "string", "double"]))
-    return R.read_assay(spark, path, schema=schema)
+    return R.read_assay(spark, path)
 
 
 def brand_registry(spark, folder):

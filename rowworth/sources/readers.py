@@ -18,29 +18,34 @@ RAW_COLUMNS = {
 _RAW_TYPES = {"key": "string", "outcome": "string", "score": "double"}
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A table by its file ending; text formats need a schema, so that no inference pass runs."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
+def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A table by its file ending.
+
+    Columns of CSV files are strings under the names of the header, whatever their order; only the
+    header is read ahead, and files of one folder whose headers differ are refused. Files are
+    split among tasks unless records may hold line breaks (`multi_line`).
+    """
     if path.rstrip("/").endswith(".csv"):
-        if schema is None:
-            raise ValueError("give a schema for csv")
-        # records hold quoted line breaks; columns are matched by header
-        return reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return reader.parquet(path)
+        reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
+        return reader.option("multiLine", multi_line).csv(path)
+    return spark.read.parquet(path)
 
 
 def read_assay(
     spark: SparkSession,
     path: str,
     mapping: dict[str, str | Column] = RAW_COLUMNS,
-    schema: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """`(key, outcome, score, ...)` from a raw assay table; only mapped columns are scanned."""
-    raw = read_table(spark, path, schema)
+    """`(key, outcome, score, ...)` from a raw assay table; other columns are ignored.
+
+    Columns are taken by name; a score that is no number becomes null.
+    """
+    raw = read_table(spark, path, multi_line)
     picked = []
     for name, source in mapping.items():
         column = F.col(source) if isinstance(source, str) else source
-        picked.append(column.cast(_RAW_TYPES[name]).alias(name) if name in _RAW_TYPES else column.alias(name))
+        picked.append(column.try_cast(_RAW_TYPES[name]).alias(name) if name in _RAW_TYPES else column.alias(name))
     return raw.select(*picked)
 
 
@@ -74,10 +79,13 @@ def read_prepared(spark: SparkSession, path: str, dataset: str) -> tuple[DataFra
 
 
 def read_features(rows: DataFrame, features: DataFrame | None, id_col: str = "id") -> DataFrame:
-    """Rows with their stored `features`, matched by id; without a table the key itself is passed on."""
+    """Rows with their stored `features`, matched by id; without a table the key itself is passed on.
+
+    Rows without stored features stay, with null features.
+    """
     if features is None:
         return rows.withColumn("features", F.col("key"))
-    return rows.join(features.select(id_col, "features"), id_col)
+    return rows.join(features.select(id_col, "features"), id_col, "left")
 
 
 def from_columns(

@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_splits(train: DataFrame, val: DataFrame, path: str, dataset: str, mode: str = "append") -> None:
+def _replace(rows: DataFrame, path: str, *by: str) -> None:
+    """Write partitions, in place of those that are there under the same names."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def write_splits(train: DataFrame, val: DataFrame, path: str, dataset: str) -> None:
+    """A second write of a dataset replaces the first."""
     both = train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
-    both.withColumn("dataset", F.lit(dataset)).write.mode(mode).partitionBy("dataset", "split").parquet(path)
+    _replace(both.withColumn("dataset", F.lit(dataset)), path, "dataset", "split")
 
 
-def write_features(features: DataFrame, path: str, dataset: str, mode: str = "append") -> None:
-    features.withColumn("dataset", F.lit(dataset)).write.mode(mode).partitionBy("dataset").parquet(path)
+def write_features(features: DataFrame, path: str, dataset: str) -> None:
+    """A second write of a dataset replaces the first."""
+    _replace(features.withColumn("dataset", F.lit(dataset)), path, "dataset")
 
 
 def write_report(metrics: DataFrame, path: str, mode: str = "append") -> None:
