@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,6 +91,16 @@ def batches(columns: list[str], rows: Iterator[pa.RecordBatch], size: int = 256)
         found = [batch.column(batch.schema.get_field_index(c)) for c in columns]
         for at in range(0, batch.num_rows, size):
             yield tuple(c.slice(at, size).to_pylist() for c in found)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system: a Python worker lives on after its task, idle or for the next one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # no glibc: nothing to trim
 
 
 def lean_batches(spark: SparkSession) -> None:

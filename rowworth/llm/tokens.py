@@ -24,7 +24,7 @@ class PieceEncoder:
     the words.
     """
 
-    def __init__(self, vocabulary: str, words_only: bool, remember: int = 200_000):
+    def __init__(self, vocabulary: str, words_only: bool, remember: int = 100_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
