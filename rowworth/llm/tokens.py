@@ -15,6 +15,12 @@ _ODD = re.compile("[\x1c-\x1f]")
 _PIECES = re.compile(r"\s+(?=\s\S)|[ \n]?\S+|\s+")
 
 
+_MARKS = frozenset(".,;:!?")
+# the public byte alphabet: printable bytes stand for themselves, the others for letters from 256 on
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class PieceEncoder:
     """Encodes texts piece by piece and remembers the ids of pieces in two generations.
 
@@ -34,13 +40,38 @@ class PieceEncoder:
         self._remember = remember
         #: ids fit in two bytes
         self.width = vocabulary_width(vocabulary)
+        self._code = "H" if self.width == 2 else "I"
+        self._model = self._tokenizer.model
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.width == 2 else "I"
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(code, e.ids).tobytes() for e in found]
+        return [array(self._code, e.ids).tobytes() for e in found]
+
+    def _word(self, piece: str) -> bytes | None:
+        """The ids of a word of Latin letters, with or without a mark behind it; None for other pieces.
+
+        Such a word is one unit for the tokenizer's pattern, so its model can be asked directly:
+        normalising lowers it, and the byte alphabet is applied here.
+        """
+        lead = "" if self._words_only or piece[0] not in " \n" else piece[0]
+        word = piece[len(lead) :]
+        mark = word[-1:] if word[-1:] in _MARKS else ""
+        word = word[: len(word) - len(mark)]
+        if not word.isalpha() or max(word) >= "\u0250":
+            return None
+        head = []
+        if self._words_only:
+            word = word.lower()
+        elif lead == " ":
+            word = lead + word
+        elif lead:
+            head = self._unit(lead)
+        return array(self._code, head + self._unit(word) + (self._unit(mark) if mark else [])).tobytes()
+
+    def _unit(self, text: str) -> list[int]:
+        return [t.id for t in self._model.tokenize(text.encode().decode("latin-1").translate(_BYTE_LETTERS))]
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned integers of `width` bytes; null counts as empty."""
@@ -57,7 +88,7 @@ class PieceEncoder:
                 missing = set(pieces)
             new = []
             for piece in missing:
-                ids = self._old.get(piece)
+                ids = self._old.get(piece) or self._word(piece)
                 if ids is None:
                     new.append(piece)
                 else:
