@@ -60,10 +60,17 @@ def _block(df: DataFrame, label: str | None, features: str, id_col: str) -> Bloc
 
 def similarity(x: np.ndarray, r: np.ndarray, kind: str) -> np.ndarray:
     """Squared distance or Tanimoto similarity of every row of `x` to every row of `r`."""
+    if kind == "distance" and len(r):
+        # distances do not depend on the origin; near it their terms are small and little is lost
+        centre = r.mean(axis=0)
+        x, r = x - centre, r - centre
     dot = x @ r.T
     norms = (x * x).sum(axis=1)[:, None] + (r * r).sum(axis=1)[None, :]
     if kind == "distance":
-        return np.round(np.maximum(norms - 2 * dot, 0.0), DISTANCE_DIGITS)
+        apart = norms - 2 * dot
+        # what the subtraction leaves of equal rows
+        apart[apart < 1e-13 * norms] = 0.0
+        return np.round(apart, DISTANCE_DIGITS)
     rest = norms - dot
     return np.divide(dot, rest, out=np.zeros_like(dot), where=rest != 0)
 

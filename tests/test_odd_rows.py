@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowworth.functions.blocks import matrix
 from rowworth.operators.metrics import rmspe
+from rowworth.operators.pairs import similarity
 from rowworth.operators.removal import corruption_curve
 from rowworth.operators.stumps import fit_stumps, value_mvs
 from rowworth.operators.surrogate import _landmarks
@@ -78,3 +79,10 @@ def test_null_labels_are_kept(spark):
 def test_all_landmarks_asked_for(spark):
     pool = spark.range(600).select("id", F.array(F.col("id").cast("double")).alias("features"))
     assert len(_landmarks(pool, "features", "id", 600, 0)) == 600
+
+
+def test_distance_of_large_numbers():
+    rows = np.random.RandomState(1).rand(40, 16) + 1e5
+    apart = similarity(rows, rows, "distance")
+    assert (np.diag(apart) == 0).all()
+    assert np.allclose(apart, ((rows[:, None] - rows[None]) ** 2).sum(axis=2), atol=1e-6)
