@@ -22,6 +22,8 @@ from rowworth.operators.ordering import Ordered
 from rowworth.operators.pairs import _TILE, Block, reference_blocks, similarity
 from rowworth.session import settle
 
+# tasks whose nearest rows are merged in one window
+_MERGED = 100
 _PAIR_SCHEMA = "val_id bigint, id bigint, distance double, match int"
 
 
@@ -112,8 +114,17 @@ def _nearest(train: DataFrame, block: Block, k: int, epsilon: float) -> DataFram
                 np.repeat(ref.ids, best_d.shape[1]), best_id.ravel(), best_d.ravel(), best_m.ravel()
             )
 
-    # `keep` rows per validation row and task, whatever the table's size, so the windows are bounded
-    nearest = settle(train.mapInArrow(run, _PAIR_SCHEMA))
+    # `keep` rows per validation row and task; tasks are merged by the hundred, so that no window
+    # grows with their number
+    nearest = train.mapInArrow(run, _PAIR_SCHEMA).withColumn("part", F.spark_partition_id())
+    nearest = settle(nearest)
+    parts = (nearest.agg(F.max("part")).first()[0] or 0) + 1
+    while parts > _MERGED:
+        parts = -(-parts // _MERGED)
+        nearest = nearest.withColumn("part", F.floor(F.col("part") / _MERGED).cast("int"))
+        within = Window.partitionBy("val_id", "part").orderBy("distance", "id")
+        nearest = settle(nearest.withColumn("r", F.row_number().over(within)).where(F.col("r") <= keep).drop("r"))
+    nearest = nearest.drop("part")
     order = Window.partitionBy("val_id").orderBy("distance", "id")
     ranked = nearest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= keep)
     step = (F.col("match") - F.coalesce(F.lead("match").over(order), F.lit(0))) / k

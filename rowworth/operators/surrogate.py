@@ -63,8 +63,9 @@ def _fit_on_landmarks(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Apply `solve(K K', K (y - shift))`, for K the landmark-by-row kernel of all pool rows.
 
-    Each task sums its own rows, and row i of all tasks' sums is added up on its own. The solve
-    needs the sums together: as many rows as landmarks, so one small task does it.
+    Each task sums its own rows, and the numbers of all tasks are added up place by place, with
+    partial sums. The solve needs the sums together: as many rows as landmarks, so one small task
+    does it.
     """
     m = len(landmarks)
 
@@ -82,17 +83,16 @@ def _fit_on_landmarks(
             names=["i", "line"],
         )
 
-    def add_up(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [part["i"].iloc[0]], "line": [np.sum(np.stack(part["line"]), axis=0)]})
-
     def solved(part: pd.DataFrame) -> pd.DataFrame:
         full = np.stack(part.sort_values("i")["line"])
         alpha, inner = solve(full[:, :m], full[:, m])
         return pd.DataFrame({"i": np.arange(m), "alpha": alpha, "inner": list(inner)})
 
     lines = pool.select(F.col(value).cast("double"), features).mapInArrow(partial, "i bigint, line array<double>")
-    # one line per task in each group, of the number of landmarks
-    summed = lines.groupBy("i").applyInPandas(add_up, "i bigint, line array<double>")
+    places = lines.select("i", F.posexplode("line").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    # a line is as long as there are landmarks
+    cells = F.array_sort(F.collect_list(F.struct("j", "x")))
+    summed = places.groupBy("i").agg(F.transform(cells, lambda c: c["x"]).alias("line"))
     rows = summed.groupBy().applyInPandas(solved, "i bigint, alpha double, inner array<double>").toPandas()
     rows = rows.sort_values("i")
     return rows["alpha"].to_numpy(), np.stack(rows["inner"])
