@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowworth.llm.text import batches
+from rowworth.llm.text import batches, hash_sample
 
 #: pages that the labeller is trained on, at most
 FIT_PAGES = 400
@@ -312,7 +312,7 @@ def extract_text(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     rows = pages.select("page_id", "url", "html")
     # pages of usual length, so that the sample is bounded for the driver
     usual = rows.where(F.octet_length("html") <= FIT_BYTES)
-    drawn = usual.orderBy(F.xxhash64("page_id", F.octet_length("html")), "page_id").limit(fit_pages)
+    drawn = hash_sample(usual, fit_pages, "page_id", "html")
     sample = [r.html for r in drawn.select("html").collect()]
     labeller = train_labeller(sample)
     return rows.mapInArrow(_extract(labeller), "page_id long, url string, text string, n_chars long")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowworth.llm.text import ORDER, SALT, U64, batches, fold, mix, span_hashes, word_bounds
+from rowworth.llm.text import ORDER, SALT, U64, batches, fold, hash_sample, mix, span_hashes, word_bounds
 from rowworth.operators.ordering import exact_percentiles
 from rowworth.session import broadcast_if_small, settle
 
@@ -126,7 +126,7 @@ def importance_resample(
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.select(*names).schema.fields)
     scored = settle(marked.select(*names, "text").mapInArrow(_score(ratios, length), f"{fields}, log_weight double"))
 
-    seen = scored.where("_quality IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(fit_rows)
+    seen = hash_sample(scored.where("_quality IS NOT NULL").select("doc_id", "log_weight", "_quality"), fit_rows, "doc_id")
     seen = np.array([(r[0], r[1]) for r in seen.select("log_weight", "_quality").collect()]).reshape(-1, 2)
     good = seen[:, 1] == 1
     cut = best_split(seen[:, 0], good) if good.any() and not good.all() else -math.inf

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowworth.llm.text import U64, batches, fold, mix, span_hashes
+from rowworth.llm.text import U64, batches, fold, hash_sample, mix, span_hashes
 from rowworth.session import settle
 
 #: labelled rows that the models are fitted on, at most
@@ -173,7 +173,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, f
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held)
-    drawn = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    drawn = hash_sample(usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), fit_rows, "doc_id")
     # at most fit_rows rows of two numbers
     fit = settle(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"))
     total, ones = fit.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
