@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 # applications that have the package
@@ -87,8 +88,11 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     for field in df.schema.fields:
         if field.dataType.typeName() in ("string", "binary"):
             size = F.octet_length(field.name)
-        elif field.dataType.typeName() == "array":
+        elif field.dataType.typeName() == "array" and isinstance(field.dataType.elementType, NumericType):
             size = F.size(field.name) * 8
+        elif field.dataType.typeName() in ("array", "struct", "map"):
+            # names, digits and quotes take about as much as the fields and their offsets
+            size = F.octet_length(F.to_json(F.struct(field.name)))
         else:
             size = F.lit(0)
         width = width + F.coalesce(size, F.lit(0)) + 16

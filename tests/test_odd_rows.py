@@ -12,6 +12,7 @@ from rowworth.operators.removal import corruption_curve
 from rowworth.operators.stumps import fit_stumps, value_mvs
 from rowworth.operators.surrogate import _landmarks
 from rowworth.plans.active_learning import actives_found, active_learning_random
+from rowworth.session import broadcast_if_small
 from rowworth.sources import readers, writers
 
 
@@ -86,3 +87,10 @@ def test_distance_of_large_numbers():
     apart = similarity(rows, rows, "distance")
     assert (np.diag(apart) == 0).all()
     assert np.allclose(apart, ((rows[:, None] - rows[None]) ** 2).sum(axis=2), atol=1e-6)
+
+
+def test_long_nested_rows_are_not_broadcast(spark):
+    df = spark.range(50).select("id", F.array(F.struct(F.repeat(F.lit("x"), 1000).alias("s"))).alias("a"))
+    nested = broadcast_if_small(df, 20_000)
+    assert "broadcast" not in nested._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in broadcast_if_small(df, 200_000)._jdf.queryExecution().logical().toString().lower()
