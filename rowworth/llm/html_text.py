@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -12,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowworth.llm.text import batches, hash_sample
+from rowworth.llm.text import HASH_KEYS, batches, hash_key
 
 #: pages that the labeller is trained on, at most
 FIT_PAGES = 400
-#: bytes of a page that takes part in training, at most
-FIT_BYTES = 50_000
+#: blocks and bytes of blocks that a drawn page of any size hands to training, at most
+FIT_BLOCKS, FIT_BYTES = 120, 250_000
 _PATH_DIMS, _WORD_DIMS, _PLAIN_DIMS, _HIDDEN = 128, 32, 8, 24
 
 # Fixed values of HTML: elements whose content is no text, that stand alone, that break lines.
@@ -117,45 +118,94 @@ def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % size
 
 
-def block_features(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
-    """A vector for each block: hashed path words (deeper ones count more), hashed words, plain numbers."""
+def text_features(text: str, linked: int) -> np.ndarray:
+    """Hashed words and plain numbers of a block by its text; its two places in the page stay 0."""
+    out = np.zeros(_WORD_DIMS + _PLAIN_DIMS)
+    words = text.split()
+    for word in words:
+        out[_slot(word.lower(), _WORD_DIMS)] += 1.0 / len(words)
+    out[-_PLAIN_DIMS:] = [
+        np.log1p(len(text)) / 8, np.log1p(len(words)) / 6, min(1.0, linked / max(len(text), 1)), text.count(".") / max(len(words), 1),
+        text[-1] in ".!?", 0, 0, any(c.isdigit() for c in text),
+    ]
+    return out
+
+
+def block_features(blocks: list[tuple]) -> np.ndarray:
+    """A vector for each block: hashed path words (deeper ones count more), hashed words, plain numbers.
+
+    A block is what page_blocks gives, or what `taught` gives: with the length and features of its whole text.
+    """
     out = np.zeros((len(blocks), _PATH_DIMS + _WORD_DIMS + _PLAIN_DIMS))
-    for i, (text, path, linked) in enumerate(blocks):
+    for i, (text, path, linked, *known) in enumerate(blocks):
         for depth, word in enumerate(reversed(path[-24:])):
             slot = _slot(word, _PATH_DIMS)
             out[i, slot] = max(out[i, slot], 1.0 / (1 + 0.05 * depth))
-        words = text.split()
-        for word in words:
-            out[i, _PATH_DIMS + _slot(word.lower(), _WORD_DIMS)] += 1.0 / len(words)
-        out[i, -_PLAIN_DIMS:] = [
-            np.log1p(len(text)) / 8, np.log1p(len(words)) / 6, min(1.0, linked / max(len(text), 1)), text.count(".") / max(len(words), 1),
-            text[-1] in ".!?", i / len(blocks), (len(blocks) - 1 - i) / len(blocks), any(c.isdigit() for c in text),
-        ]
+        out[i, _PATH_DIMS:] = known[1] if known else text_features(text, linked)
+        out[i, -3:-1] = i / len(blocks), (len(blocks) - 1 - i) / len(blocks)
     return out
 
 
-def silver_labels(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
+def silver_labels(blocks: list[tuple]) -> np.ndarray:
     """1 for a block of the article by the names of its elements: the innermost name that says something decides."""
     out = np.zeros(len(blocks))
-    for i, (text, path, linked) in enumerate(blocks):
+    for i, (text, path, linked, *known) in enumerate(blocks):
+        length = known[0] if known else len(text)
         named = [w for w in path if w in _OUTSIDE or w in _INSIDE and w != "body"]
-        out[i] = named[-1] in _INSIDE if named else float(len(text) > 80 and linked < len(text) / 3)
+        out[i] = named[-1] in _INSIDE if named else float(length > 80 and linked < length / 3)
         # an article inside a comment list is a comment
         if any(w in ("comment", "comments", "related", "sidebar", "aside", "nav", "footer", "form", "ad", "ads") for w in path):
             out[i] = 0
     return out
 
 
+def thinned(labels: np.ndarray, most: int) -> list[int]:
+    """Places of at most `most` blocks: of all, or of the ends of each run of equal labels."""
+    kept = list(range(len(labels)))
+    edges = [0, *(np.flatnonzero(np.diff(labels)) + 1), len(labels)]
+    run = most
+    while len(kept) > most and run > 1:
+        run //= 2
+        kept = [i for low, high in zip(edges, edges[1:]) for i in range(low, high) if i < low + (run + 1) // 2 or i >= high - run // 2]
+    if len(kept) > most:
+        # many short runs: some of them at the start, in the middle and at the end
+        third = -(-most // 3)
+        middle = (len(kept) - third) // 2
+        kept = sorted({*kept[:third], *kept[middle : middle + third], *kept[len(kept) - third :]})[:most]
+    return kept
+
+
+def taught(page: str | None) -> list[tuple]:
+    """What a page hands to training: (start of the text, path, characters in links, length, text features) of blocks.
+
+    A page of many or heavy blocks hands over the ends of its runs of equal labels, so that no page is
+    too large to take part and menus of any length leave room for the article.
+    """
+    blocks = page_blocks(page)
+    labels = silver_labels(blocks)
+    # variations use less than 400 characters of a text
+    weights = [4 * min(len(text), 400) + sum(map(len, path)) + 8 * (_WORD_DIMS + _PLAIN_DIMS) for text, path, _ in blocks]
+    # a block may weigh too much by its path alone
+    light = [i for i, w in enumerate(weights) if w <= FIT_BYTES]
+    most = FIT_BLOCKS
+    kept = thinned(labels[light], most)
+    while sum(weights[light[i]] for i in kept) > FIT_BYTES:
+        most //= 2
+        kept = thinned(labels[light], most)
+    found = (blocks[light[i]] for i in kept)
+    return [(text[:400], path, linked, len(text), text_features(text, linked)) for text, path, linked in found]
+
+
 def vary(blocks, others, rng) -> list:
     """A page in other clothes: another container for its article, further blocks that are none."""
     containers = [("article",), ("main",), ("main", "article"), ("div", "content"), ("div", "post", "content"), ("section", "story"), ("div", "entry", "text")]
     swap = containers[rng.integers(len(containers))] if rng.random() < 0.5 else None
     page = []
-    for text, path, linked in blocks:
+    for text, path, *rest in blocks:
         if swap and "article" in path:
             at = path.index("article")
             path = path[:at] + swap + path[at + 1 :]
-        page.append((text, path, linked))
+        page.append((text, path, *rest))
     outside = sorted(_OUTSIDE)
     for _ in range(rng.integers(0, 5)):
         word = outside[rng.integers(len(outside))]
@@ -269,38 +319,71 @@ def pad(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndar
     return x, mask, target
 
 
-def train_labeller(pages: list[str]) -> BlockLabeller:
-    """Fit on given pages and on variations of them, with labels from the names of their elements."""
+def train_labeller(parsed: list[list[tuple]]) -> BlockLabeller:
+    """Fit on the blocks of pages, as `taught` gives them, and on variations of them, with labels from the names of their elements."""
     rng = np.random.default_rng(13)
-    parsed = [b for b in (page_blocks(p) for p in pages) if b]
-    # pages of many blocks teach as much by their first and last ones
-    parsed = [b if len(b) <= 120 else b[:60] + b[-60:] for b in parsed]
-    every = [block for b in parsed for block in b] or [("-", ("html", "body"), 0)]
+    every = [block for b in parsed for block in b]
     varied = parsed + [vary(b, every, rng) for b in parsed for _ in range(2)]
     labeller = BlockLabeller(_PATH_DIMS + _WORD_DIMS + _PLAIN_DIMS)
-    if varied:
-        labeller.fit([(block_features(b), silver_labels(b)) for b in varied])
+    labeller.fit([(block_features(b), silver_labels(b)) for b in varied])
     return labeller
 
 
-def _extract(labeller: BlockLabeller):
+def _teach(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for keys, pages in batches(["key", "html"], rows, 16):
+        found = [(k, pickle.dumps(b)) for k, b in zip(keys, map(taught, pages)) if b]
+        yield pa.record_batch({"key": pa.array([k for k, _ in found], pa.int64()), "blocks": pa.array([b for _, b in found], pa.binary())})
+
+
+def training_sample(pages: DataFrame, most: int) -> list[list[tuple]]:
+    """Blocks of at most `most` pages with text, drawn by a hash from pages of all sizes; empty only if no page has any.
+
+    Pages are parsed in the tasks; the driver gets at most FIT_BYTES of each.
+    """
+    keyed = pages.where(F.octet_length("html") > 0).select(hash_key("page_id", "html").alias("key"), "html")
+
+    def lowest(given: DataFrame) -> list[list[tuple]]:
+        rows = given.mapInArrow(_teach, "key long, blocks binary").orderBy("key").limit(most)
+        return [pickle.loads(r.blocks) for r in rows.select("blocks").collect()]
+
+    # only keys are ordered, whatever the pages weigh; about four times as many as are wanted pass the bound
+    keys = keyed.select("key")
+    bound = int(min(1.0, 4 * (most + 50) / max(keys.count(), 1)) * HASH_KEYS)
+    last = keys.where(F.col("key") <= bound).orderBy("key").limit(most).agg(F.max("key")).first()[0]
+    if last is None:
+        return []
+    # pages without text may be all that was drawn: then every page is looked at
+    return lowest(keyed.where(F.col("key") <= last)) or lowest(keyed)
+
+
+def _extract(labeller: BlockLabeller | None):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, urls, pages in batches(["page_id", "url", "html"], rows, 128):
             parsed = [page_blocks(p) for p in pages]
+            if labeller is None:
+                if any(parsed):
+                    raise ValueError("pages have text, but none of them could train the labeller")
+                yield _texts(ids, urls, [""] * len(ids))
+                continue
             labels = labeller.label([block_features(b) if b else np.empty((0, 1)) for b in parsed])
             texts = ["\n".join(text for (text, _, _), p in zip(b, y) if p >= 0.5) for b, y in zip(parsed, labels)]
-            yield pa.record_batch(
-                {"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string()),
-                 "n_chars": pa.array([len(t) for t in texts], pa.int64())}
-            )
+            yield _texts(ids, urls, texts)
 
     return run
 
 
+def _texts(ids: list, urls: list, texts: list[str]) -> pa.RecordBatch:
+    return pa.record_batch(
+        {"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string()),
+         "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+    )
+
+
 def extract_text(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row of `pages(page_id, url, html)`.
 
-    At most `fit_pages` pages of at most FIT_BYTES bytes, drawn by a hash, train the labeller; its labels for training come
+    At most `fit_pages` pages of any size, drawn by a hash, train the labeller, each by at most FIT_BLOCKS
+    blocks and FIT_BYTES bytes of them; its labels for training come
     from element names and their class and id words, and variations of the pages show it
     containers and surroundings that the given pages lack. It then reads every whole page as a
     sequence of blocks and decides each one with the document on both sides of it. Blocks that
@@ -310,9 +393,6 @@ def extract_text(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     are passed on, repeated rows get equal results. An empty table gives no row.
     """
     rows = pages.select("page_id", "url", "html")
-    # pages of usual length, so that the sample is bounded for the driver
-    usual = rows.where(F.octet_length("html") <= FIT_BYTES)
-    drawn = hash_sample(usual, fit_pages, "page_id", "html")
-    sample = [r.html for r in drawn.select("html").collect()]
-    labeller = train_labeller(sample)
+    sample = training_sample(rows, fit_pages)
+    labeller = train_labeller(sample) if sample else None
     return rows.mapInArrow(_extract(labeller), "page_id long, url string, text string, n_chars long")

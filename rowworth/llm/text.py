@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -104,6 +104,14 @@ def _give_back() -> None:
         pass  # no glibc: nothing to trim
 
 
+HASH_KEYS = 1 << 40
+
+
+def hash_key(*by: str) -> Column:
+    """A number under HASH_KEYS, spread by the hash of `by`."""
+    return F.pmod(F.xxhash64(*by, F.lit(29)), F.lit(HASH_KEYS))
+
+
 def hash_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """At most `rows` rows, those with the smallest hashes of `by`.
 
@@ -111,8 +119,8 @@ def hash_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     ordered does not grow with the number of tasks.
     """
     share = min(1.0, 4 * (rows + 50) / max(df.count(), 1))
-    drawn = F.pmod(F.xxhash64(*by, F.lit(29)), F.lit(1 << 40))
-    return df.where(drawn <= int(share * (1 << 40))).orderBy(drawn, *by).limit(rows)
+    drawn = hash_key(*by)
+    return df.where(drawn <= int(share * HASH_KEYS)).orderBy(drawn, *by).limit(rows)
 
 
 def lean_batches(spark: SparkSession) -> None:

@@ -410,6 +410,29 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_large_pages_train_the_labeller(spark):
+    # menus, article and footer of more blocks than a page hands over, every page over 50,000 bytes
+    menu = "".join(f"<li><a href='/{k}'>Menu {k}</a></li>" for k in range(200))
+    foot = "".join(f"<p>Footer words {k}</p>" for k in range(200))
+    pages, want = [], {}
+    for i in range(24):
+        story = [f"Part {k} of story {i} that goes on{' and on' * 40}." for k in range(150)]
+        want[i] = "\n".join(story)
+        article = "".join(f"<p>{t}</p>" for t in story)
+        pages.append((i, "u", f"<html><body><nav><ul>{menu}</ul></nav><article>{article}</article><footer>{foot}</footer></body></html>"))
+    assert all(len(p[2]) > 50_000 for p in pages)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract_text(df).collect()} == want
+    for page in html_text.training_sample(df, 10):
+        labels = html_text.silver_labels(page)
+        assert len(page) <= html_text.FIT_BLOCKS and 0.2 < labels.mean() < 0.8
+        assert len(html_text.pickle.dumps(page)) < html_text.FIT_BYTES
+    # a draw that meets only pages without text looks at all
+    blank = df.select("page_id", "url", F.when(F.col("page_id") == 3, F.col("html")).otherwise("<p></p>").alias("html"))
+    assert len(html_text.training_sample(blank, 1)) == 1
+    assert html_text.training_sample(df.select("page_id", "url", F.lit("<p></p>").alias("html")), 5) == []
+
+
 def test_labeller_learns_and_its_gradient_is_right():
     rng = np.random.RandomState(0)
     net = html_text.BlockLabeller(3, hidden=4)
