@@ -19,7 +19,8 @@ from rowworth.llm.text import HASH_KEYS, batches, hash_key
 FIT_PAGES = 400
 #: blocks and bytes of blocks that a drawn page of any size hands to training, at most
 FIT_BLOCKS, FIT_BYTES = 120, 250_000
-_PATH_DIMS, _WORD_DIMS, _PLAIN_DIMS, _HIDDEN = 128, 32, 8, 24
+_PATH_DIMS, _MARK_DIMS, _WORD_DIMS, _PLAIN_DIMS, _HIDDEN = 128, 16, 32, 8, 24
+_INPUTS = _PATH_DIMS + _MARK_DIMS + _WORD_DIMS + _PLAIN_DIMS
 
 # Fixed values of HTML: elements whose content is no text, that stand alone, that break lines.
 _NO_TEXT = set(
@@ -38,6 +39,14 @@ _OUTSIDE = set(
     "copyright legal disclaimer skip tags byline meta".split()
 )
 _INSIDE = set("article main content post story entry body text prose".split())
+#: names of large parts of a page, each with a feature of its own
+_MARKS = {
+    word: slot
+    for slot, words in enumerate(
+        "article|main|content|post|story|entry|nav menu|aside sidebar|comment comments|footer|header|form|related|ad ads|dialog|social share".split("|")
+    )
+    for word in words.split()
+}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -118,6 +127,23 @@ def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % size
 
 
+def path_features(path: tuple[str, ...]) -> np.ndarray:
+    """Hashed words of a path and names of large parts among them, the innermost of each slot with its depth.
+
+    The depth of the latter counts only such names, so that no number of other words hides them.
+    """
+    out = np.zeros(_PATH_DIMS + _MARK_DIMS)
+    marks = 0
+    for depth, word in enumerate(reversed(path)):
+        slot = _slot(word, _PATH_DIMS)
+        out[slot] = max(out[slot], 1.0 / (1 + 0.05 * depth))
+        if word in _MARKS:
+            slot = _PATH_DIMS + _MARKS[word]
+            out[slot] = max(out[slot], 1.0 / (1 + 0.2 * marks))
+            marks += 1
+    return out
+
+
 def text_features(text: str, linked: int) -> np.ndarray:
     """Hashed words and plain numbers of a block by its text; its two places in the page stay 0."""
     out = np.zeros(_WORD_DIMS + _PLAIN_DIMS)
@@ -132,16 +158,18 @@ def text_features(text: str, linked: int) -> np.ndarray:
 
 
 def block_features(blocks: list[tuple]) -> np.ndarray:
-    """A vector for each block: hashed path words (deeper ones count more), hashed words, plain numbers.
+    """A vector for each block: hashed words of the whole path (deeper ones count more), names of large parts of the page
+    (deeper ones among them count more), hashed words, plain numbers.
 
     A block is what page_blocks gives, or what `taught` gives: with the length and features of its whole text.
     """
-    out = np.zeros((len(blocks), _PATH_DIMS + _WORD_DIMS + _PLAIN_DIMS))
+    out = np.zeros((len(blocks), _INPUTS))
+    of_path: dict[tuple[str, ...], np.ndarray] = {}
     for i, (text, path, linked, *known) in enumerate(blocks):
-        for depth, word in enumerate(reversed(path[-24:])):
-            slot = _slot(word, _PATH_DIMS)
-            out[i, slot] = max(out[i, slot], 1.0 / (1 + 0.05 * depth))
-        out[i, _PATH_DIMS:] = known[1] if known else text_features(text, linked)
+        if path not in of_path:
+            of_path[path] = path_features(path)
+        out[i, : _PATH_DIMS + _MARK_DIMS] = of_path[path]
+        out[i, _PATH_DIMS + _MARK_DIMS :] = known[1] if known else text_features(text, linked)
         out[i, -3:-1] = i / len(blocks), (len(blocks) - 1 - i) / len(blocks)
     return out
 
@@ -324,7 +352,7 @@ def train_labeller(parsed: list[list[tuple]]) -> BlockLabeller:
     rng = np.random.default_rng(13)
     every = [block for b in parsed for block in b]
     varied = parsed + [vary(b, every, rng) for b in parsed for _ in range(2)]
-    labeller = BlockLabeller(_PATH_DIMS + _WORD_DIMS + _PLAIN_DIMS)
+    labeller = BlockLabeller(_INPUTS)
     labeller.fit([(block_features(b), silver_labels(b)) for b in varied])
     return labeller
 

@@ -433,6 +433,26 @@ def test_large_pages_train_the_labeller(spark):
     assert html_text.training_sample(df.select("page_id", "url", F.lit("<p></p>").alias("html")), 5) == []
 
 
+def test_outer_elements_count_at_any_depth(spark):
+    style = " ".join(f"flex-{w} px{w}" for w in "alpha beta gamma delta kappa sigma".split())
+
+    def deep(inner, levels):
+        return f'<div class="{style}">' * levels + inner + "</div>" * levels
+
+    pages, want = [], {}
+    for i in range(60):
+        story = [f"Words {k} of text {i} that go on{' and on' * (i % 9)}." for k in range(6)]
+        reply = [f"Words {k} of text {i + 1} that go on{' and on' * (i % 7)}." for k in range(6)]
+        want[i] = "\n".join(story)
+        parts = [f"<{tag}>{deep(''.join(f'<p>{t}</p>' for t in texts), 3 + i % 6)}</{tag}>" for tag, texts in (("article", story), ("aside", reply))]
+        pages.append((i, "u", f"<html><body>{''.join(parts if i % 2 else parts[::-1])}</body></html>"))
+    a, b = ((tag, *["flex"] * 5000, "p") for tag in ("article", "aside"))
+    x, y = html_text.block_features([("Equal text.", a, 0), ("Equal text.", b, 0)])
+    assert np.abs(x - y)[:-html_text._PLAIN_DIMS].max() > 0.5
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract_text(df).collect()} == want
+
+
 def test_labeller_learns_and_its_gradient_is_right():
     rng = np.random.RandomState(0)
     net = html_text.BlockLabeller(3, hidden=4)
