@@ -59,12 +59,13 @@ class PieceEncoder:
         word = piece[len(lead) :]
         mark = word[-1:] if word[-1:] in _MARKS else ""
         word = word[: len(word) - len(mark)]
+        if self._words_only:
+            # a letter may be lowered to one with a mark behind it, which the pattern splits off
+            word = word.lower()
         if not word.isalpha() or max(word) >= "\u0250":
             return None
         head = []
-        if self._words_only:
-            word = word.lower()
-        elif lead == " ":
+        if lead == " ":
             word = lead + word
         elif lead:
             head = self._unit(lead)

@@ -266,6 +266,16 @@ def test_pieces_encode_like_whole_texts(vocabulary, words_only):
     assert encoder.encode(None) == b""
 
 
+@pytest.mark.parametrize("vocabulary, words_only", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_words_with_any_latin_letter(vocabulary, words_only):
+    plain = Tokenizer.from_file(tokens.vocabulary_path(vocabulary))
+    encoder = tokens.PieceEncoder(vocabulary, words_only)
+    for letter in filter(str.isalpha, map(chr, range(0x250))):
+        for t in (letter, f"{letter}stanbul", f"st{letter}nbul.", f"one TAK{letter} two", f"{letter}{letter.lower()}{letter}!"):
+            want = np.array(plain.encode(t, add_special_tokens=False).ids, dtype=f"<u{encoder.width}").tobytes()
+            assert encoder.encode(t) == want, repr(t)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.RandomState(1).randint(-(1 << 62), 1 << 62, 5000, dtype=np.int64)).view(np.uint64)
     made, length = perfect_hash.PerfectHash.from_bytes(perfect_hash.PerfectHash.build(keys).to_bytes() + b"more")
