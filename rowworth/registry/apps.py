@@ -111,7 +111,7 @@ def undersample_assays(spark, folder):
         F.array(*[F.struct(F.lit(str(c)).alias("aid"), (F.col("label") % 2 == c).cast("double").alias("activity")) for c in (0, 1)])
     )
     long = settle(marked.select("id", "features", "split", cells.alias("c")).select("id", "features", "split", "c.*"))
-    return U.undersample_assays(long, ["0", "1"], _tracin_valuer, levels=2)
+    return U.undersample_assays(long, ["0", "1"], _tracin_valuer)
 
 
 @query("active_learning_greedy")

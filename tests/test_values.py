@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rowworth import registry
 from rowworth.operators import logistic as L
 from rowworth.operators import pairs, removal, stumps, surrogate, trees
 from rowworth.operators.knn_shapley import value_knn_shapley
@@ -13,6 +14,8 @@ from rowworth.plans import active_learning as A
 from rowworth.plans import undersampling as U
 from rowworth.session import settle
 
+registry.load()
+SMALL = "/root/testdata/sf0.001"
 SCHEMA = "id long, y int, features array<double>"
 
 
@@ -230,6 +233,19 @@ def test_sweep_has_every_level(spark):
     assert all(0 <= r[c] <= 1 for r in sweep for c in ("basic", "high", "low"))
 
 
+def test_assays_query_has_every_level(spark, monkeypatch):
+    asked = []
+
+    def sweep(valued, val, estimator=None, levels=removal.LEVELS):
+        asked.append(levels)
+        return spark.createDataFrame([(k,) for k in removal.level_counts(valued.count(), levels)], "counts long")
+
+    monkeypatch.setattr(U, "undersample_sweep", sweep)
+    rows = registry.QUERIES["undersample_assays"](spark, SMALL)
+    assert asked == [19, 19]
+    assert {tuple(r) for r in rows.groupBy("aid").count().collect()} == {("0", 19), ("1", 19)}
+
+
 def test_removal_handles_one_class_and_picks_best(spark):
     train, val, _ = planted(spark)
     # the value is the label, so removing from the low end leaves one class
