@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowworth.operators import logistic as L
 from rowworth.operators import stumps as T
+from rowworth.operators import trees as E
 from rowworth.operators.baseline import value_rules, value_score
 from rowworth.operators.split import exclude_split, random_split
 from rowworth.plans import active_learning as A
@@ -79,6 +80,10 @@ def _tracin_valuer(pool):
     return L.value_tracin_self(pool, L.fit_checkpoints(pool, epochs=3))
 
 
+def _mvs_valuer(pool):
+    return E.value_mvs(pool, E.fit_ensemble(pool, rounds=5, depth=3))
+
+
 @query("active_learning")
 def active_learning(spark, folder):
     train, _ = _rare_class(spark, folder)
@@ -95,7 +100,13 @@ def active_learning_ucb(spark, folder):
 def active_learning_grid(spark, folder):
     train, _ = _rare_class(spark, folder)
     return A.active_learning_grid(
-        train, {"tracin_self": _tracin_valuer}, ["ridge", "gp"], ["greedy"], step_share=0.05, steps=1
+        train,
+        {"tracin_self": _tracin_valuer, "mvs": _mvs_valuer},
+        ["ridge", "gp"],
+        ["greedy", "ucb"],
+        replicates=2,
+        step_share=0.05,
+        steps=6,
     )
 
 

@@ -246,6 +246,23 @@ def test_assays_query_has_every_level(spark, monkeypatch):
     assert {tuple(r) for r in rows.groupBy("aid").count().collect()} == {("0", 19), ("1", 19)}
 
 
+def test_grid_query_has_the_whole_grid(spark, monkeypatch):
+    calls, used = [], {}
+
+    def curve(train, valuer, surrogate, acquisition, share, steps, seed, label):
+        calls.append((valuer, surrogate, acquisition, steps, seed))
+        used[valuer] = train
+        return spark.range(1)
+
+    monkeypatch.setattr(A, "active_learning", curve)
+    rows = registry.QUERIES["active_learning_grid"](spark, SMALL)
+    assert rows.select("method", "replicate").distinct().count() == 16
+    assert {c[1:] for c in calls} == set(itertools.product(("ridge", "gp"), ("greedy", "ucb"), (6,), (0, 1)))
+    assert len(used) == 2
+    for valuer, train in used.items():
+        assert valuer(train).where("value IS NOT NULL").count() == train.count() > 0
+
+
 def test_removal_handles_one_class_and_picks_best(spark):
     train, val, _ = planted(spark)
     # the value is the label, so removing from the low end leaves one class
