@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowworth.llm import decontaminate, near_text, packing, quality, secrets
 from rowworth.llm.text import lean_batches
-from rowworth.session import broadcast_if_small, scratch_folder, ship_package
+from rowworth.session import broadcast_if_small, scratch_folder, settle, ship_package
 
 #: SQL has no n-gram models, sketches or tokenizers: tests hold each stage against a brute-force version
 ORACLE_SQL = None
@@ -18,30 +18,43 @@ def _ready(spark: SparkSession) -> None:
     lean_batches(spark)
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is not among the rejected; rows without a doc_id stay."""
-    return docs.join(broadcast_if_small(rejected.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+def _versioned(docs: DataFrame) -> DataFrame:
+    """A doc_id may be missing or repeated: with the hash of its text it names a row, or equal ones."""
+    return docs.withColumn("_version", F.xxhash64("text"))
+
+
+def _matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Rows of `docs` of the same doc_id (missing or not) and text as one of `rows`, or (left_anti) the others."""
+    there = broadcast_if_small(rows.select(F.col("doc_id").alias("_id"), F.col("_version").alias("_of")).distinct())
+    here = _versioned(docs)
+    same = here["doc_id"].eqNullSafe(there["_id"]) & here["_version"].eqNullSafe(there["_of"])
+    return here.join(there, same, how).select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
     _ready(spark)
-    found = quality.importance_resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, found.where("NOT kept"))
+    found = quality.importance_resample(_versioned(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("_version",))
+    return _matching(docs, found.where("NOT kept"), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words a shingle, similarity of 0.8."""
+    """One document of each group of near copies: five words a shingle, similarity of 0.8. Of rows with equal id and text one stays."""
     _ready(spark)
-    found = near_text.near_duplicates(docs, size=5, percent=80)
-    return _without(docs, found.where("NOT kept"))
+    found = near_text.near_duplicates(_versioned(docs), size=5, percent=80, carry=("_version",))
+    kept = _matching(docs, found.where("NOT kept"), "left_anti")
+    # whole rows are dealt out only where some are repeated
+    repeated = settle(found.where("kept").groupBy("doc_id", "_version").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    if repeated.isEmpty():
+        return kept
+    return _matching(kept, repeated, "left_anti").unionByName(_matching(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     _ready(spark)
-    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found)
+    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), versions=True)
+    return _matching(docs, found.withColumnRenamed("version", "_version"), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def _numbered(hashes: Column) -> Column:
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, size: int = WORDS, radius: int = RADIUS
+    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, size: int = WORDS, radius: int = RADIUS, versions: bool = False
 ) -> DataFrame:
     """doc_id, item_id, similarity, start, n_words: items of `benchmark(item_id, text)` in `docs(doc_id, text)`.
 
@@ -92,7 +92,8 @@ def find_leaks(
 
     A text or item with fewer than `size` words is one shingle of all its words; null and empty
     ones match nothing. Rows with a null id are searched and reported with it. Repeated rows
-    report once; rows sharing a doc_id are searched apart. Items may have up to 2^20 words.
+    report once; rows sharing a doc_id are searched apart, and with `versions` reported apart, with
+    the xxhash64 of their text as `version` behind the doc_id. Items may have up to 2^20 words.
     """
     need = 2 * similarity / (1 + similarity)
     items = settle(with_shingles(benchmark.select("item_id", "text"), size, "item").drop("text"))
@@ -122,10 +123,11 @@ def find_leaks(
     same = keyed["doc_id"].eqNullSafe(places["doc_id"]) & keyed["version"].eqNullSafe(places["version"])
     found = keyed.join(broadcast_if_small(places), same).select(keyed["doc_id"], keyed["version"], "places", "text")
     found = with_shingles(found.dropDuplicates(["doc_id", "version"]), size, "hashes")
+    names = ["doc_id", "version"] if versions else ["doc_id"]
     cut = found.select(
-        "doc_id",
+        *names,
         F.explode_outer(F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["long"].alias("long"), F.slice(F.col("hashes"), p["at"] + 1, p["long"]).alias("window")))).alias("w"),
-    ).select("doc_id", "w.*")
+    ).select(*names, "w.*")
 
     def printed(df, column):
         second = F.transform(column, lambda h: F.xxhash64(h))
@@ -144,6 +146,6 @@ def find_leaks(
     alike = shared / (F.size("window") + F.col("long") - shared)
     scored = candidates.withColumn("similarity", alike).where(F.col("similarity") >= similarity - 1e-12)
     best = F.max(F.struct(F.col("similarity"), (-F.col("at")).alias("at"), F.size("window").alias("n"))).alias("best")
-    return scored.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", "best.similarity", (-F.col("best.at")).alias("start"), (F.col("best.n") + size - 1).alias("n_words")
+    return scored.groupBy(*names, "item_id").agg(best).select(
+        *names, "item_id", "best.similarity", (-F.col("best.at")).alias("start"), (F.col("best.n") + size - 1).alias("n_words")
     )

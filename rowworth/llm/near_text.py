@@ -47,9 +47,9 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return mix((rows * ORDER[:ROWS]).sum(axis=1, dtype=U64) + np.arange(BANDS, dtype=U64) * SALT).view(np.int64)
 
 
-def _sketches(size: int):
+def _sketches(size: int, carry: tuple[str, ...]):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in batches(["doc_id", "text"], rows):
+        for ids, texts, *others in batches(["doc_id", "text", *carry], rows):
             counts, digests, keys = [], [], []
             for text in texts:
                 found = np.unique(shingles(word_hashes(text), size))
@@ -62,6 +62,7 @@ def _sketches(size: int):
                     "n_shingles": pa.array(counts, pa.int64()),
                     "digest": pa.array(digests, pa.binary()),
                     "bands": pa.array(keys, pa.list_(pa.int64())),
+                    **{name: pa.array(values, pa.int64()) for name, values in zip(carry, others)},
                 }
             )
 
@@ -129,8 +130,8 @@ def _confirm(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, size: int, per
     return counted.where(F.col("same") * 100 >= union * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs(doc_id, text)`.
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (and `carry`, long columns) for every row of `docs(doc_id, text)`.
 
     A text's set holds its distinct shingles of `size` words (ASCII white space splits words, A-Z
     are lowered; a shorter text is one shingle). Documents are linked when 100 * intersection >=
@@ -149,10 +150,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     doc_id get a null component and are kept. Repeated rows get equal results; rows sharing a
     doc_id but not a text count as one document. Other columns are not read.
     """
+    carried = docs.select("doc_id", "text", *carry)
     docs = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, digest binary, bands array<long>"
+    schema = ", ".join(["doc_id long, n_shingles long, digest binary, bands array<long>", *(f"`{c}` long" for c in carry)])
     keeper = Keeper(docs.sparkSession)
-    sketches = settle(docs.mapInArrow(_sketches(size), schema))
+    sketches = settle(carried.mapInArrow(_sketches(size, carry), schema))
     nodes = settle(
         sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("digest")
@@ -204,4 +206,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     whole = sketches.join(settle(of_set), "digest", "left")
     keeper.clear()
     component = F.coalesce("component_id", "doc_id")
-    return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return whole.select("doc_id", *carry, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

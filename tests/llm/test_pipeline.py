@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from rowworth.llm import decontaminate, near_text, quality
 from rowworth.session import scratch_folder
 
@@ -47,3 +48,24 @@ def test_odd_documents(spark):
             assert found.count() == given.count()
     texts = {r.doc_id: r.text for r in corpus_pipeline.redact_secrets(spark, docs, SMALL).collect()}
     assert texts[3] == "[secret] x" and texts[1] is None
+
+
+def test_stages_drop_rows_with_repeated_or_missing_ids(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def left(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], names)
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, SMALL).collect()), key=repr)
+
+    leak = max((r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()), key=len)
+    clean = " ".join(f"clean{k}" for k in range(30))
+    assert left(corpus_pipeline.drop_leaks, [(None, leak), (7, leak), (None, clean), (7, clean), (8, None)]) == [(7, clean), (8, None), (None, clean)]
+    other = " ".join(f"other{k}" for k in range(30))
+    lone = other.replace("other", "lone")
+    rows = [(5, clean), (5, clean), (6, clean), (None, other), (None, lone), (None, lone), (4, None), (9, other), (9, clean)]
+    assert left(corpus_pipeline.drop_near_copies, rows) == [(4, None), (5, clean), (9, other), (None, lone)]
+    # the same stage on a table half of whose ids are missing, held against what the operator says of each row
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    found = quality.importance_resample(docs.withColumn("v", F.xxhash64("text")), spark.read.parquet(f"{SMALL}/labels.parquet"), carry=("v",))
+    assert found.where("NOT kept AND doc_id IS NULL").count() > 0
+    assert corpus_pipeline.keep_quality(spark, docs, SMALL).count() == found.where("kept").count()
