@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowworth.llm import decontaminate, html_text, near_text, near_vectors, packing, quality, secrets, token_store, toxicity, warc
+from rowworth.llm import (
+    decontaminate, html_text, near_text, near_vectors, packing, quality, secrets, spelling, token_store, toxicity, warc,
+)
 from rowworth.llm.text import lean_batches
 from rowworth.session import scratch_folder, ship_package
 
@@ -115,3 +117,8 @@ def toxicity_weak(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_lstm_html_text")
 def html_lstm(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(table(spark, folder, "pages"))
+
+
+@query("op12_spelling_fm_index")
+def spelling_fm_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
