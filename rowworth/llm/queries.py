@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowworth.llm import (
-    decontaminate, html_text, near_text, near_vectors, packing, quality, secrets, spelling, token_store, toxicity, warc,
+    decontaminate, html_text, near_text, near_vectors, packing, prefix_trie, quality, secrets, spelling, token_store, toxicity, warc,
 )
 from rowworth.llm.text import lean_batches
 from rowworth.session import scratch_folder, ship_package
@@ -122,3 +122,8 @@ def html_lstm(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_spelling_fm_index")
 def spelling_fm_index(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op13_double_array_trie")
+def trie_double_array(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
