@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowworth.llm import (
-    decontaminate, html_text, near_text, near_vectors, packing, prefix_trie, quality, secrets, spelling, token_store, toxicity, warc,
+    decontaminate, html_text, near_text, near_vectors, packing, prefix_trie, quality, secrets, spelling, suffix_family, token_store, toxicity, warc,
 )
 from rowworth.llm.text import lean_batches
 from rowworth.session import scratch_folder, ship_package
@@ -127,3 +127,8 @@ def spelling_fm_index(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_double_array_trie")
 def trie_double_array(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@query("op11_suffix_array_dedup")
+def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_family.remove_repeats(table(spark, folder, "documents")).drop("spans")
