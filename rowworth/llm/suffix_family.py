@@ -88,14 +88,16 @@ def _packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocks(block_bytes: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, numbers = TaskContext.get().partitionId(), itertools.count()
+        unpack, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=5)
 
         def block(held):
             return pa.record_batch(
                 {
                     "block": pa.array([(part << 32) + next(numbers)], pa.int64()), "low": pa.array([held[0][0]], pa.int64()),
-                    "bytes": pa.array([sum(size for _, size, _ in held)], pa.int64()),
                     "ids": pa.array([[key for key, _, _ in held]], pa.list_(pa.int64())),
-                    "packed": pa.array([[packed for _, _, packed in held]], pa.list_(pa.binary())),
+                    "sizes": pa.array([[size for _, size, _ in held]], pa.list_(pa.int64())),
+                    # texts side by side take less than one by one
+                    "packed": pa.array([press.compress(b"".join(unpack.decompress(packed) for _, _, packed in held))], pa.binary()),
                 }
             )
 
@@ -136,13 +138,11 @@ class Block:
     stretches of that length have equal keys wherever they are, and neighbours mostly share one.
     """
 
-    def __init__(self, ids: list[int], packed: list[bytes], least: int):
-        unpack = zstandard.ZstdDecompressor()
-        texts = [unpack.decompress(p) for p in packed]
+    def __init__(self, ids: list[int], sizes: list[int], packed: bytes, least: int):
         self.least = least
         self.ids = np.array(ids, dtype=np.int64)
-        self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8)
+        self.ends = np.cumsum(sizes, dtype=np.int64)
         self.begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         long = self.ends - self.begins >= least
         begins, stops = self.begins[long], self.ends[long] - least + 1
@@ -235,8 +235,8 @@ def _suffixes(snippets: list[bytes] | bytes, lengths: np.ndarray, least: int) ->
 def _keys(least: int, shards: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for numbers, ids, packed in batches(["block", "ids", "packed"], rows, 1):
-            _, shard, names = Block(ids[0], packed[0], least).dealt(shards)
+        for numbers, ids, sizes, packed in batches(["block", "ids", "sizes", "packed"], rows, 1):
+            _, shard, names = Block(ids[0], sizes[0], packed[0], least).dealt(shards)
             at = np.flatnonzero(np.diff(shard, prepend=-1))
             payloads = []
             for low, high in zip(at, [*at[1:], len(shard)]):
@@ -283,8 +283,8 @@ def _snippet_shards(block: Block, runs: np.ndarray, families: int) -> tuple[list
 def _sent(least: int, shards: int, families: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for numbers, lows, ids, packed, flags in batches(["block", "low", "ids", "packed", "flags"], rows, 1):
-            block = Block(ids[0], packed[0], least)
+        for numbers, lows, ids, sizes, packed, flags in batches(["block", "low", "ids", "sizes", "packed", "flags"], rows, 1):
+            block = Block(ids[0], sizes[0], packed[0], least)
             texts, family, _, _ = _snippet_shards(block, np.flatnonzero(block.flagged(shards, flags[0])), families)
             at = np.flatnonzero(np.diff(family, prepend=-1))
             payloads = []
@@ -374,8 +374,8 @@ def _removed(block: Block, flagged: np.ndarray, families: int, replies: list[dic
 
 def _results(least: int, shards: int, families: int, with_kept: bool):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, packed, flags, replies in batches(["ids", "packed", "flags", "replies"], rows, 1):
-            block = Block(ids[0], packed[0], least)
+        for ids, lengths, packed, flags, replies in batches(["ids", "sizes", "packed", "flags", "replies"], rows, 1):
+            block = Block(ids[0], lengths[0], packed[0], least)
             gone = _removed(block, block.flagged(shards, flags[0]), families, replies[0])
             raw = block.data.tobytes()
             for at in range(0, len(block.ids), 2000):
@@ -428,16 +428,16 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, with_kept: bool = False
     packed = docs.where("doc_id IS NOT NULL").mapInArrow(_packed, "doc_id long, salt long, size long, packed binary")
     ranged = packed.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id")
     blocks = settle(
-        ranged.mapInArrow(_blocks(block_bytes or BLOCK_BYTES), "block long, low long, bytes long, ids array<long>, packed array<binary>")
+        ranged.mapInArrow(_blocks(block_bytes or BLOCK_BYTES), "block long, low long, ids array<long>, sizes array<long>, packed binary")
     )
-    total = blocks.agg(F.sum("bytes")).first()[0] or 0
+    total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + n))).first()[0] or 0
     shards = max(16, -(-total // KEYED_BYTES))
-    keys = blocks.select("block", "ids", "packed").mapInArrow(_keys(min_bytes, shards), "shard long, block long, payload binary")
+    keys = blocks.select("block", "ids", "sizes", "packed").mapInArrow(_keys(min_bytes, shards), "shard long, block long, payload binary")
     flags = settle(keys.groupBy("shard").applyInArrow(_flags, "block long, shard long, bits binary, shared long"))
     # a shared key stands for about fifteen suffixes
     families = max(16, -(-15 * (flags.agg(F.sum("shared")).first()[0] or 0) // FAMILY_SUFFIXES))
     by_block = flags.where("shared > 0").groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("flags"))
-    told = blocks.select("block", "low", "ids", "packed").join(by_block, "block")
+    told = blocks.select("block", "low", "ids", "sizes", "packed").join(by_block, "block")
     snippets = told.mapInArrow(_sent(min_bytes, shards, families), "family long, low long, block long, payload binary")
     scan = functools.partial(_scanned, least=min_bytes)
     replies = snippets.groupBy("family").applyInArrow(lambda t: scan(t), "block long, family long, bits binary")
@@ -445,8 +445,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, with_kept: bool = False
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
     schema += ", kept binary" if with_kept else ""
     answered = by_block.join(replies, "block", "left")
-    whole = blocks.select("block", "ids", "packed").join(settle(answered), "block", "left")
-    found = whole.select("ids", "packed", "flags", "replies").mapInArrow(_results(min_bytes, shards, families, with_kept), schema)
+    whole = blocks.select("block", "ids", "sizes", "packed").join(settle(answered), "block", "left")
+    found = whole.select("ids", "sizes", "packed", "flags", "replies").mapInArrow(_results(min_bytes, shards, families, with_kept), schema)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     lost = docs.where("doc_id IS NULL").select(
         "doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
