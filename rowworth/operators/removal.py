@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +22,43 @@ def rank_batch(
 
     `total` is the size of the whole set when `rest` is only what is left of it.
     """
-    ranked = rank_rows(rest, [acquisition, id_col], out="rank")
     if total is not None:
-        return ranked.where(F.col("rank") <= int(total * share))
+        return lowest_rows(rest, int(total * share), acquisition, id_col)
+    ranked = rank_rows(rest, [acquisition, id_col], out="rank")
     size = ranked.agg(F.max("rank").alias("_n"))
     picked = attach_totals(ranked, size).where(F.col("rank") <= F.floor(F.col("_n") * F.lit(share)))
     return picked.drop("_n")
 
 
+# sketch precision, and the shares of a group that the sketch answers for
+_ACCURACY = 2000
+_SHARES = [0.002 * 1.3**i for i in range(24)]
+
+
+def lowest_rows(df: DataFrame, count: int, value: str, id_col: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """The `count` rows of each group with the lowest (value, id); all where there are fewer. Null values come last.
+
+    A quantile sketch bounds the value that the last of them can have, and only rows up to there are
+    put in order. If a bound proves too low, all rows are.
+    """
+    by = list(by)
+    if count <= 0:
+        return df.select(*by, id_col, value).limit(0)
+    slim = settle(df.select(*by, id_col, value))
+    sketch = slim.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(value).alias("_filled"), F.percentile_approx(value, _SHARES, _ACCURACY).alias("_at")
+    )
+    # the first share whose rows are enough in spite of the sketch's error
+    enough = [F.when(F.lit(share - 2 / _ACCURACY) * F.col("_filled") > count, F.col("_at")[i]) for i, share in enumerate(_SHARES)]
+    bounds = settle(sketch.select(*by, "_n", F.coalesce(*enough).alias("_bound")))
+    near = attach_totals(slim, bounds, by).where(F.col("_bound").isNull() | (F.col(value) <= F.col("_bound"))).select(*by, id_col, value)
+    order = [F.col(value).asc_nulls_last(), id_col]
+    taken = settle(rank_rows(near, order, by, "_rank").where(F.col("_rank") <= count).select(*by, id_col, value))
+    if taken.count() < bounds.agg(F.sum(F.least("_n", F.lit(count)))).first()[0]:
+        taken = rank_rows(slim, order, by, "_rank").where(F.col("_rank") <= count).select(*by, id_col, value)
+    return taken
+
+
 def ranked_negatives(
     valued: DataFrame, label: str = "primary", mode: str = "value", seed: int = 0, id_col: str = "id"
 ) -> DataFrame:

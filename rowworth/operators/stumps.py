@@ -71,7 +71,7 @@ def fit_stumps(
 ) -> StumpModel:
     """Two scans, whatever the number of rounds: feature means, then cell counts."""
     if len(features) > MAX_FEATURES:
-        raise ValueError(f"at most {MAX_FEATURES} features; use the tree ensemble beyond")
+        raise ValueError(f"at most {MAX_FEATURES} features; operators/boosting.py takes any number")
     means = tuple(df.agg(*[F.avg(c) for c in features]).first())
     cells = _cells(df, features, means, label)
     patterns, y, n = cells[:, 0], cells[:, 1].astype(float), cells[:, 2].astype(float)

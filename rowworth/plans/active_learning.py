@@ -89,31 +89,6 @@ def active_learning(
     return actives_found(train, _rounds(train, pick, step_share, steps, seed), label)
 
 
-def active_learning_grid(
-    train: DataFrame,
-    valuers: dict[str, PoolValuer],
-    surrogates: list[str],
-    acquisitions: list[str],
-    replicates: int = 1,
-    step_share: float = 0.01,
-    steps: int = 6,
-    label: str = "y",
-) -> DataFrame:
-    """Curves of every value method, surrogate and acquisition, the replicate being the seed."""
-    out = None
-    for replicate in range(replicates):
-        for name, valuer in valuers.items():
-            for surrogate in surrogates:
-                for acquisition in acquisitions:
-                    curve = active_learning(
-                        train, valuer, surrogate, acquisition, step_share, steps, replicate, label
-                    ).select(
-                        F.lit(f"{name}_{surrogate}_{acquisition}").alias("method"), F.lit(replicate).alias("replicate"), "*"
-                    )
-                    out = curve if out is None else out.unionByName(curve)
-    return out
-
-
 def active_learning_greedy(
     train: DataFrame,
     step_share: float = 0.01,

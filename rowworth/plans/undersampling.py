@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowworth.operators.metrics import accuracy, auroc, average_precision, rmspe
+from rowworth.operators.many_logistic import fit_many, probabilities
 from rowworth.operators.models import fit_all, fit_classifier, predict
 from rowworth.operators.ordering import attach_totals, rank_rows
-from rowworth.operators.removal import LEVEL_SHARE, LEVELS, keep_after_removal, level_counts, ranked_negatives
+from rowworth.operators.removal import LEVEL_SHARE, LEVELS, level_counts, ranked_negatives
 from rowworth.session import settle
 
+# steps and step length of the default learner
+EPOCHS = 20
+RATE = 1.0
+
+
 def undersample_sweep(
     valued: DataFrame,
     val: DataFrame,
@@ -21,41 +27,39 @@ def undersample_sweep(
     val_label: str = "y",
     estimator: Estimator | None = None,
     levels: int = LEVELS,
+    epochs: int = EPOCHS,
+    rate: float = RATE,
+    seed: int = 0,
+    exempt_positives: bool = True,
 ) -> DataFrame:
-    """`(level, pct, counts, basic, high, low)`: validation PR-AUC without removal, without the
-    `counts` highest-valued negatives, and without the lowest.
+    """`(level, pct, counts, basic, high, low, random)`: validation PR-AUC without removal, and without the
+    `counts` highest-valued, lowest-valued and randomly drawn negatives (rows of either label if not `exempt_positives`).
 
-    Rows are ranked once, the basic model is fitted once, and all predictions are scored together.
+    Rows are ranked once by value and once by a seeded draw. The models differ only in the rows they see, so
+    the default learner fits all of them in one scan a step and scores them in one; an `estimator`
+    is fitted once for each.
     """
-    ranked = settle(ranked_negatives(valued, label))
     counts = level_counts(valued.count(), levels)
-    runs = [("basic", 0, ranked)]
-    for level, k in enumerate(counts, start=1):
-        for side in ("high", "low"):
-            runs.append((side, level, keep_after_removal(ranked, k, side, label)))
+    runs = [("basic", 0)] + [(side, level) for level in range(1, levels + 1) for side in ("high", "low", "random")]
     # class weights are those of the full table at every level
-    weighted = _with_class_weight(ranked, label)
-    models = fit_all(
-        valued.sparkSession,
-        [
-            lambda rows=rows: fit_classifier(
-                rows.join(F.broadcast(weighted), label), estimator, label, weight="class_weight"
-            )
-            for _, _, rows in runs
-        ],
-    )
+    sizes = {r[0]: r[1] for r in valued.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    total = sum(sizes.values())
+    heavy = {y: (total / max(sizes.get(y, 0), 1)) ** 0.5 for y in (0, 1)}
+    weight = F.when(F.col(label) == 1, heavy[1]).otherwise(heavy[0])
+    rows = settle(_removal_places(valued, label, seed, exempt_positives).withColumn("_weight", weight))
+
+    def kept(side: str, level: int):
+        if side == "basic":
+            return F.lit(True)
+        beyond = F.col(f"_{side}") > counts[level - 1]
+        return (F.col(label) == 1) | beyond if exempt_positives else beyond
+
     target = val.select("id", F.col(val_label).alias("truth"), "features")
-    scored = None
-    for (side, level, _), model in zip(runs, models):
-        part = predict(model, target).select(
-            F.lit(side).alias("side"), F.lit(level).alias("level"), "truth", "probability"
-        )
-        scored = part if scored is None else scored.unionByName(part)
+    scored = _scored_runs(rows, target, runs, kept, label, "_weight", estimator, epochs, rate)
     areas = settle(average_precision(scored, "truth", "probability", by=["side", "level"]))
     basic = areas.where(F.col("side") == "basic").select(F.col("average_precision").alias("basic"))
     sides = areas.where(F.col("side") != "basic").groupBy("level").agg(
-        F.max(F.when(F.col("side") == "high", F.col("average_precision"))).alias("high"),
-        F.max(F.when(F.col("side") == "low", F.col("average_precision"))).alias("low"),
+        *[F.max(F.when(F.col("side") == side, F.col("average_precision"))).alias(side) for side in ("high", "low", "random")]
     )
     removed = F.element_at(F.array(*[F.lit(k) for k in counts]), F.col("level"))
     return attach_totals(sides, basic).select(
@@ -65,15 +69,51 @@ def undersample_sweep(
         "basic",
         "high",
         "low",
+        "random",
     )
 
 
+def _removal_places(valued: DataFrame, label: str, seed: int, exempt_positives: bool) -> DataFrame:
+    """Rows with `_low`, `_high` and `_random`, their places among the rows that can go; only ids and keys are put in order."""
+    group = F.col(label) if exempt_positives else F.lit(0)
+    slim = settle(valued.select("id", "value", group.alias("_label")))
+    by_value = ranked_negatives(slim, "_label").select("id", F.col("from_low").alias("_low"), F.col("from_high").alias("_high"))
+    drawn = ranked_negatives(slim, "_label", "random", seed).select("id", F.col("from_low").alias("_random"))
+    return valued.select("id", label, "features").join(by_value, "id").join(drawn, "id")
+
+
+def _scored_runs(rows, target, runs, kept, label, weight, estimator, epochs, rate) -> DataFrame:
+    """`(side, level, the target's columns but features, probability, predicted)` of the models of all runs."""
+    carried = [c for c in target.columns if c != "features"]
+    if estimator is None:
+        row_weight = F.col(weight) if weight else F.lit(1.0)
+        weights = F.array(*[F.when(kept(side, level), row_weight).otherwise(F.lit(0.0)) for side, level in runs])
+        models = fit_many(rows.withColumn("_weights", weights), "_weights", label, epochs=epochs, rate=rate)[-1]
+        names = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(level).alias("level")) for side, level in runs])
+        long = target.select(*carried, F.posexplode(probabilities(models, F.col("features"))).alias("_run", "probability"))
+        run = names[F.col("_run")]
+        return long.select(
+            run["side"].alias("side"), run["level"].alias("level"), *carried, "probability",
+            (F.col("probability") >= 0.5).cast("int").alias("predicted"),
+        )
+    models = fit_all(
+        rows.sparkSession,
+        [lambda run=run: fit_classifier(rows.where(kept(*run)), estimator, label, weight=weight) for run in runs],
+    )
+    scored = None
+    for (side, level), model in zip(runs, models):
+        part = predict(model, target).select(F.lit(side).alias("side"), F.lit(level).alias("level"), *carried, "probability", "predicted")
+        scored = part if scored is None else scored.unionByName(part)
+    return scored
+
+
 def undersample_assays(
     long: DataFrame,
     aids: list[str],
     valuer: Callable[[DataFrame], DataFrame],
     estimator: Estimator | None = None,
     levels: int = LEVELS,
+    **options,
 ) -> DataFrame:
     """The sweep for several assays of `(id, aid, activity, split, features)` rows, with `aid` in front.
 
@@ -84,17 +124,22 @@ def undersample_assays(
         rows = long.where(F.col("aid") == aid).withColumn("y", (F.col("activity") > 0.5).cast("int"))
         train = settle(rows.where(F.col("split") == "train"))
         val = settle(rows.where(F.col("split") == "validation"))
-        part = undersample_sweep(settle(valuer(train)), val, estimator=estimator, levels=levels)
+        part = undersample_sweep(settle(valuer(train)), val, estimator=estimator, levels=levels, **options)
         part = part.select(F.lit(aid).alias("aid"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _with_class_weight(df: DataFrame, label: str) -> DataFrame:
-    """`(label, class_weight)`: two rows, sqrt(n / n_class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.sum("_c").alias("_n"))
-    return attach_totals(counts, total).select(label, F.sqrt(F.col("_n") / F.col("_c")).alias("class_weight"))
+def sweep_replicates(
+    train: DataFrame, val: DataFrame, valuer: Callable[[DataFrame, int], DataFrame], replicates: int = 5, **options
+) -> DataFrame:
+    """The sweep once for each seed, which the value method and the random removal take, with `replicate` in front."""
+    out = None
+    for seed in range(replicates):
+        part = undersample_sweep(settle(valuer(train, seed)), val, seed=seed, **options)
+        part = part.select(F.lit(seed).alias("replicate"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _measure(scored: DataFrame, metric: str, by: list[str]) -> DataFrame:
@@ -113,11 +158,14 @@ def remove_high_low(
     label: str = "y",
     estimator: Estimator | None = None,
     bins: int = 20,
+    epochs: int = EPOCHS,
+    rate: float = RATE,
 ) -> DataFrame:
     """`(side, bin, valid, test)`: performance after removing bin * 5 % of all rows from the low or
     the high end. Where fewer than two label values remain nothing is fitted and the columns hold 0
-    (1 for the error metric)."""
-    ranked = settle(rank_rows(valued, ["value", "id"], out="_low"))
+    (1 for the error metric). The default learner fits the models of all bins in one scan a step."""
+    slim = rank_rows(valued.select("id", "value"), ["value", "id"], out="_low").select("id", "_low")
+    ranked = settle(valued.select("id", label, "features").join(slim, "id"))
     # two candidates, or more label values for a regression: what matters is whether they differ
     n = ranked.count()
     place = {"low": F.col("_low"), "high": n - F.col("_low") + 1}
@@ -131,20 +179,14 @@ def remove_high_low(
             for b, k in enumerate(cuts)
         ]
     ).first()
-    runs = [(s, b, ranked.where(place[s] > k)) for s in place for b, k in enumerate(cuts) if spread[f"{s}_{b}"]]
-    models = fit_all(
-        valued.sparkSession, [lambda rows=rows: fit_classifier(rows, estimator, label) for _, _, rows in runs]
-    )
+    runs = [(s, b) for s in place for b in range(bins) if spread[f"{s}_{b}"]]
     target = valid.select("id", F.col(label).alias("truth"), "features", F.lit("valid").alias("part")).unionByName(
         test.select("id", F.col(label).alias("truth"), "features", F.lit("test").alias("part"))
     )
-    target = settle(target)
-    scored = None
-    for (side, b, _), model in zip(runs, models):
-        part = predict(model, target).select(
-            F.lit(side).alias("side"), F.lit(b).alias("bin"), "part", "truth", "probability", "predicted"
-        )
-        scored = part if scored is None else scored.unionByName(part)
+    # without any run a bin outside the grid stands in
+    scored = _scored_runs(
+        ranked, settle(target), runs or [("low", -1)], lambda s, b: place[s] > cuts[b], label, None, estimator, epochs, rate
+    ).withColumnRenamed("level", "bin")
     measured = settle(_measure(scored, metric, ["side", "bin", "part"]))
     wide = measured.groupBy("side", "bin").agg(
         *[F.max(F.when(F.col("part") == p, F.col("performance"))).alias(p) for p in ("valid", "test")]

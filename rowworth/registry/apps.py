@@ -6,17 +6,17 @@ from pyspark.sql import functions as F
 
 from rowworth.operators import logistic as L
 from rowworth.operators import stumps as T
-from rowworth.operators import trees as E
 from rowworth.operators.baseline import value_rules, value_score
 from rowworth.operators.split import exclude_split, random_split
 from rowworth.plans import active_learning as A
+from rowworth.plans import curves as C
 from rowworth.plans import undersampling as U
 from rowworth.plans.false_positives import false_positives
 from rowworth.registry import bindings as B
 from rowworth.registry import query
 from rowworth.registry.metrics import NINE_SQL
 from rowworth.registry.models import settled_split
-from rowworth.registry.valuation import ALERTS
+from rowworth.registry.valuation import ALERTS, RESIDUAL_SQL
 from rowworth.session import settle
 from rowworth.sources.writers import stack_replicates
 
@@ -80,10 +80,6 @@ def _tracin_valuer(pool):
     return L.value_tracin_self(pool, L.fit_checkpoints(pool, epochs=3))
 
 
-def _mvs_valuer(pool):
-    return E.value_mvs(pool, E.fit_ensemble(pool, rounds=5, depth=3))
-
-
 @query("active_learning")
 def active_learning(spark, folder):
     train, _ = _rare_class(spark, folder)
@@ -99,15 +95,31 @@ def active_learning_ucb(spark, folder):
 @query("active_learning_grid")
 def active_learning_grid(spark, folder):
     train, _ = _rare_class(spark, folder)
-    return A.active_learning_grid(
-        train,
-        {"tracin_self": _tracin_valuer, "mvs": _mvs_valuer},
-        ["ridge", "gp"],
-        ["greedy", "ucb"],
-        replicates=2,
-        step_share=0.05,
-        steps=6,
+    curves = C.grid_curves(C.METHODS, ["ridge", "gp"], ["greedy", "ucb"], replicates=2)
+    return C.active_learning_curves(train, curves, step_share=0.05, steps=6)
+
+
+@query(
+    "active_learning_projections",
+    """WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS y, o_totalprice AS price, -o_custkey AS customer FROM orders),
+p AS (SELECT t.*, r, row_number() OVER (PARTITION BY r ORDER BY md5(CAST(r AS VARCHAR) || ':' || CAST(id AS VARCHAR)), id) AS pos,
+  count(*) OVER (PARTITION BY r) AS n, sum(y) OVER (PARTITION BY r) AS all_y FROM t, range(2) x(r)),
+m AS (UNPIVOT (SELECT id, y, r, pos, n, all_y, CAST(price AS DOUBLE) AS price, CAST(customer AS DOUBLE) AS customer FROM p)
+  ON price, customer INTO NAME method VALUE v),
+q AS (SELECT *, CASE WHEN pos <= ceil(n * CAST(0.01 AS DOUBLE)) THEN 0 ELSE ceil(
+    row_number() OVER (PARTITION BY r, method, pos <= ceil(n * CAST(0.01 AS DOUBLE)) ORDER BY v, id) / floor(n * CAST(0.01 AS DOUBLE))) END AS round FROM m)
+SELECT method || '_known_' || a AS method, CAST(r AS INTEGER) AS replicate, CAST(s AS INTEGER) AS step, count(*) AS n_sampled,
+  CAST(sum(y) AS BIGINT) AS found, round(CAST(sum(y) AS DOUBLE) / max(all_y), 6) AS share
+FROM q, range(7) z(s), (VALUES ('greedy'), ('ucb')) w(a) WHERE round <= s GROUP BY method, a, r, s""",
+)
+def active_learning_projections(spark, folder):
+    """A grid whose values are columns of the orders themselves."""
+    orders = B.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "P").cast("int").alias("y"), "o_totalprice", "o_custkey"
     )
+    methods = {"price": F.col("o_totalprice"), "customer": -F.col("o_custkey")}
+    curves = C.grid_curves(methods, ["known"], ["greedy", "ucb"], replicates=2)
+    return C.active_learning_curves(orders, curves, methods).withColumn("share", F.round("share", 6))
 
 
 @query("undersample_assays")
@@ -186,25 +198,95 @@ def _valued_vectors(spark, folder):
     return valued, val
 
 
-@query("undersample_sweep")
+SWEEP = {"epochs": 5, "rate": 2.0}
+
+
+def _many_sql(runs: str, weight: str, epochs: int = SWEEP["epochs"], rate: float = SWEEP["rate"]) -> str:
+    """Gradient steps of all models side by side; `runs` lists (id, run, y) of the rows of each model."""
+    out = f"""
+fits AS MATERIALIZED (SELECT r.id, r.run, r.y, {weight} AS weight FROM ({runs}) r),
+cells AS MATERIALIZED (SELECT id, CAST(unnest(features) AS DOUBLE) AS x, generate_subscripts(features, 1) AS pos FROM train
+  UNION ALL SELECT id, 1.0, 0 FROM train),
+sizes AS (SELECT run, sum(weight) AS size FROM fits GROUP BY run),
+v0 AS MATERIALIZED (SELECT run, pos, CAST(0 AS DOUBLE) AS w FROM sizes, (SELECT DISTINCT pos FROM cells))"""
+    for e in range(1, epochs + 1):
+        out += f""",
+q{e} AS MATERIALIZED (SELECT f.id, f.run, any_value(f.weight) * (1 / (1 + exp(-sum(x * w))) - any_value(f.y)) AS pull
+  FROM fits f JOIN cells USING (id) JOIN v{e - 1} USING (run, pos) GROUP BY f.id, f.run),
+v{e} AS MATERIALIZED (SELECT run, pos, any_value(w) - {rate} * sum(pull * x) / any_value(size) AS w
+  FROM q{e} JOIN cells USING (id) JOIN v{e - 1} USING (run, pos) JOIN sizes USING (run) GROUP BY run, pos)"""
+    return out + f""",
+vcells AS MATERIALIZED (SELECT id, CAST(unnest(features) AS DOUBLE) AS x, generate_subscripts(features, 1) AS pos FROM val
+  UNION ALL SELECT id, 1.0, 0 FROM val),
+scored AS MATERIALIZED (SELECT run, v.id, any_value(v.y) AS y, 1 / (1 + exp(-sum(x * w))) AS s
+  FROM val v JOIN vcells USING (id) JOIN v{epochs} USING (pos) GROUP BY run, v.id)"""
+
+
+_VALUED_SQL = f"""{B.VECTORS_SQL}, {RESIDUAL_SQL},
+norms AS (SELECT id, sum(x * x) AS q FROM flat GROUP BY id),
+valued AS MATERIALIZED (SELECT id, any_value(res.y) AS y, -sum(r * r * q) AS value FROM res JOIN norms USING (id) GROUP BY id)"""
+
+_SWEEP_RUNS = """SELECT id, 'basic:0' AS run, y FROM placed
+  UNION ALL SELECT id, side || ':' || level, y FROM (UNPIVOT placed ON low, high, random INTO NAME side VALUE place), levels WHERE y = 1 OR place > k"""
+_SWEEP_WEIGHT = "(SELECT w FROM classes c WHERE c.y = r.y)"
+
+
+@query(
+    "undersample_sweep",
+    f"""WITH {_VALUED_SQL},
+classes AS (SELECT y, sqrt(CAST((SELECT count(*) FROM valued) AS DOUBLE) / count(*)) AS w FROM valued GROUP BY y),
+placed AS MATERIALIZED (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY value, id) AS low,
+    row_number() OVER (PARTITION BY y ORDER BY value DESC, id DESC) AS high,
+    row_number() OVER (PARTITION BY y ORDER BY md5('0:' || CAST(id AS VARCHAR)), id) AS random FROM valued),
+levels AS (SELECT CAST(j AS INTEGER) AS level, CAST(floor((SELECT count(*) FROM valued) * CAST(0.05 AS DOUBLE) * j + 1e-9) AS INTEGER) AS k FROM range(1, 20) x(j)),
+{_many_sql(_SWEEP_RUNS, _SWEEP_WEIGHT)},
+steps AS (SELECT run, s, count(*) AS n, sum(y) AS p FROM scored GROUP BY run, s),
+upto AS (SELECT run, p, sum(n) OVER (PARTITION BY run ORDER BY s DESC) AS cn, sum(p) OVER (PARTITION BY run ORDER BY s DESC) AS cp FROM steps),
+area AS (SELECT run, CAST(sum(p * cp / cn) / sum(p) AS DOUBLE) AS ap FROM upto GROUP BY run)
+SELECT level, round(level * 0.05, 3) AS pct, k AS counts, round((SELECT ap FROM area WHERE run = 'basic:0'), 6) AS basic,
+  round(max(ap) FILTER (WHERE run = 'high:' || level), 6) AS high, round(max(ap) FILTER (WHERE run = 'low:' || level), 6) AS low,
+  round(max(ap) FILTER (WHERE run = 'random:' || level), 6) AS random
+FROM levels, area GROUP BY level, k""",
+)
 def undersample_sweep(spark, folder):
     valued, val = _valued_vectors(spark, folder)
-    return U.undersample_sweep(valued, val)
+    sweep = U.undersample_sweep(valued, val, **SWEEP)
+    return sweep.select("level", "pct", "counts", *[F.round(c, 6).alias(c) for c in ("basic", "high", "low", "random")])
+
+
+_REMOVAL_SQL = f"""{_VALUED_SQL},
+parted AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY md5('1:' || CAST(id AS VARCHAR)), id)
+    <= (SELECT ceil(count(*) * CAST(0.5 AS DOUBLE)) FROM val) AS first FROM val),
+placed AS MATERIALIZED (SELECT id, y, row_number() OVER (ORDER BY value, id) AS low, row_number() OVER (ORDER BY value DESC, id DESC) AS high FROM valued),
+cuts AS (SELECT CAST(b AS INTEGER) AS bin, floor(b * (SELECT count(*) FROM valued) / 20) AS k FROM range(20) x(b)),
+kept AS MATERIALIZED (SELECT id, side || ':' || bin AS run, y FROM (UNPIVOT placed ON low, high INTO NAME side VALUE place), cuts WHERE place > k),
+{_many_sql("SELECT * FROM kept WHERE run IN (SELECT run FROM kept GROUP BY run HAVING min(y) < max(y))", "1.0")},
+steps AS (SELECT run, first, s, sum(y) AS p, sum(1 - y) AS n FROM scored JOIN parted USING (id) GROUP BY run, first, s),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY run, first ORDER BY s) AS cn FROM steps),
+auc AS (SELECT run, first, CAST(sum(p * (cn - n / 2)) / (sum(p) * sum(n)) AS DOUBLE) AS a FROM upto GROUP BY run, first),
+removal AS (SELECT side, bin, round(coalesce((SELECT max(a) FROM auc WHERE run = side || ':' || bin AND first), 0), 6) AS valid,
+  round(coalesce((SELECT max(a) FROM auc WHERE run = side || ':' || bin AND NOT first), 0), 6) AS test
+  FROM cuts, (VALUES ('low'), ('high')) x(side))"""
+
+
+def _removal(spark, folder):
+    valued, val = _valued_vectors(spark, folder)
+    valid = settle(random_split(val, 0.5, seed=1))
+    found = U.remove_high_low(valued, valid, exclude_split(val, valid), **SWEEP)
+    return found.select("side", "bin", F.round("valid", 6).alias("valid"), F.round("test", 6).alias("test"))
 
 
-@query("remove_high_low")
+@query("remove_high_low", f"WITH {_REMOVAL_SQL} SELECT * FROM removal")
 def remove_high_low(spark, folder):
-    valued, val = _valued_vectors(spark, folder)
-    valid = settle(random_split(val, 0.5, seed=1))
-    return U.remove_high_low(valued, valid, exclude_split(val, valid))
+    return _removal(spark, folder)
 
 
-@query("learn_with_values")
+@query(
+    "learn_with_values",
+    f"WITH {_REMOVAL_SQL} SELECT side, bin, test FROM removal ORDER BY valid DESC, side <> 'low', bin LIMIT 1",
+)
 def learn_with_values(spark, folder):
-    valued, val = _valued_vectors(spark, folder)
-    valid = settle(random_split(val, 0.5, seed=1))
-    removal = U.remove_high_low(valued, valid, exclude_split(val, valid))
-    return U.learn_with_values(removal)
+    return U.learn_with_values(_removal(spark, folder))
 
 
 @query("learn_baseline")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rowworth.operators import boosting as T
 from rowworth.operators import models as M
 from rowworth.operators import surrogate as S
-from rowworth.operators import trees as T
 from rowworth.operators.metrics import accuracy, auroc
 from rowworth.operators.ordering import attach_totals
 from rowworth.operators.reinforce import value_reinforce
@@ -55,24 +55,65 @@ def reinforce(spark, folder):
     return value_reinforce(train, val).select("id", "value")
 
 
-def line_features(spark, folder):
-    rows = B.lines(spark, folder)
-    return rows.select(
-        "l_orderkey", "l_partkey", "l_linenumber", "y", F.array(*B.LINE_FEATURES).alias("features")
-    )
-
-
-@query("value_mvs_ensemble")
+BOOSTER = {"rounds": 3, "depth": 2, "bins": 8}
+
+
+def booster_sql(rounds=BOOSTER["rounds"], depth=BOOSTER["depth"], bins=BOOSTER["bins"], rate=0.1, penalty=1.0):
+    """Histogram trees on all features of `train`, unrolled; `trees` has each row of train and val in each tree."""
+    cuts = " + ".join(f"CASE WHEN x > low + (high - low) * {k} / {bins} THEN 1 ELSE 0 END" for k in range(1, bins))
+    cells = "SELECT id, CAST(unnest(features) AS DOUBLE) AS x, generate_subscripts(features, 1) AS j FROM"
+    out = f"""
+limits AS (SELECT j, min(x) AS low, max(x) AS high FROM ({cells} train) GROUP BY j),
+binned AS MATERIALIZED (SELECT id, j, {cuts} AS b FROM ({cells} train UNION ALL {cells} val) JOIN limits USING (j)),
+m0 AS MATERIALIZED (SELECT id, y, fits, ln(share / (1 - share)) AS f
+  FROM (SELECT id, y, true AS fits FROM train UNION ALL SELECT id, y, false FROM val), (SELECT avg(y) AS share FROM train))"""
+    for t in range(rounds):
+        out += f""",
+g{t} AS MATERIALIZED (SELECT id, y, fits, f, p - y AS g, p * (1 - p) AS h FROM (SELECT *, 1 / (1 + exp(-f)) AS p FROM m{t})),
+n{t}_0 AS (SELECT id, 0 AS node FROM m{t})"""
+        for level in range(depth):
+            at = f"{t}_{level}"
+            out += f""",
+h{at} AS (SELECT node, j, b, sum(g) AS g, sum(h) AS h FROM n{at} JOIN g{t} USING (id) JOIN binned USING (id) WHERE fits GROUP BY ALL),
+c{at} AS (SELECT node, j, b, sum(g) OVER upto AS gl, sum(h) OVER upto AS hl, sum(g) OVER whole AS gt, sum(h) OVER whole AS ht
+  FROM h{at} WINDOW upto AS (PARTITION BY node, j ORDER BY b), whole AS (PARTITION BY node, j)),
+s{at} AS (SELECT node, j, b FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, j, b) AS k
+  FROM (SELECT node, j, b, round(gl * gl / (hl + {penalty}) + (gt - gl) * (gt - gl) / (ht - hl + {penalty}) - gt * gt / (ht + {penalty}), 9) AS gain
+        FROM c{at} WHERE b < {bins - 1})) WHERE k = 1 AND gain > 0),
+n{t}_{level + 1} AS MATERIALIZED (SELECT n.id, 2 * n.node + CASE WHEN x.b > s.b THEN 1 ELSE 0 END AS node
+  FROM n{at} n LEFT JOIN s{at} s ON n.node = s.node LEFT JOIN binned x ON x.id = n.id AND x.j = s.j)"""
+        out += f""",
+l{t} AS (SELECT node, sum(h) AS hs, -{rate} * sum(g) / (sum(h) + {penalty}) AS w FROM n{t}_{depth} JOIN g{t} USING (id) WHERE fits GROUP BY node),
+t{t} AS MATERIALIZED (SELECT {t} AS t, id, y, fits, f, g, h, node, coalesce(w, 0) AS w, coalesce(hs, 0) AS hs, (SELECT sum(abs(w)) FROM l{t}) AS l1
+  FROM g{t} JOIN n{t}_{depth} USING (id) LEFT JOIN l{t} USING (node)),
+m{t + 1} AS MATERIALIZED (SELECT id, y, fits, f + w AS f FROM t{t})"""
+    stacked = " UNION ALL ".join(f"SELECT * FROM t{t}" for t in range(rounds))
+    return out + f",\ntrees AS ({stacked})"
+
+
+@query(
+    "value_mvs_ensemble",
+    f"""WITH {B.VECTORS_SQL}, {booster_sql()}
+SELECT id, y, round(-sum(least(1, sqrt(g * g + l1 * h * h))), 6) AS value FROM trees WHERE fits GROUP BY id, y""",
+)
 def mvs_ensemble(spark, folder):
-    rows = line_features(spark, folder)
-    return T.value_mvs(rows, T.fit_ensemble(rows, rounds=5, depth=3)).drop("features")
-
-
-@query("value_leaf_influence_ensemble")
+    train, _ = settled_split(spark, folder)
+    model = T.fit_boosters(train, **BOOSTER)[0]
+    return T.value_mvs(train, model).select("id", "y", F.round("value", 6).alias("value"))
+
+
+@query(
+    "value_leaf_influence_ensemble",
+    f"""WITH {B.VECTORS_SQL}, {booster_sql()},
+ends AS (SELECT id, 1 / (1 + exp(-f)) - y AS pull FROM m{BOOSTER["rounds"]} WHERE NOT fits),
+leaf AS (SELECT t, node, sum(pull) AS pull FROM trees JOIN ends USING (id) GROUP BY t, node)
+SELECT id, y, round(-sum(coalesce(pull, 0) * -0.1 * (g + w / 0.1 * h) / (hs + 1.0)), 6) AS value
+FROM trees LEFT JOIN leaf USING (t, node) WHERE fits GROUP BY id, y""",
+)
 def leaf_ensemble(spark, folder):
-    rows = line_features(spark, folder)
-    ensemble = T.fit_ensemble(rows, rounds=5, depth=3)
-    return T.value_leaf_influence(rows, ensemble, rows.where(F.col("y") == 1)).drop("features")
+    train, val = settled_split(spark, folder)
+    model = T.fit_boosters(train, **BOOSTER)[0]
+    return T.value_leaf_influence(train, model, val).select("id", "y", F.round("value", 6).alias("value"))
 
 
 def pool_and_rest(spark, folder):

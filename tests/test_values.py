@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from rowworth import registry
 from rowworth.operators import logistic as L
-from rowworth.operators import pairs, removal, stumps, surrogate, trees
+from rowworth.operators import boosting, pairs, removal, stumps, surrogate
 from rowworth.operators.knn_shapley import value_knn_shapley
+from rowworth.operators.many_logistic import fit_many
 from rowworth.operators.reinforce import value_reinforce
 from rowworth.plans import active_learning as A
+from rowworth.plans import curves as C
 from rowworth.plans import undersampling as U
 from rowworth.session import settle
 
@@ -143,18 +145,6 @@ def test_cells_and_probability_agree(spark):
     assert np.allclose(joined["value"], -joined["s"])
 
 
-def test_ensemble_leaves_rebuild_the_model(spark):
-    df = as_frame(spark, points(200, 9)[0])
-    fitted = trees.fit_ensemble(df, rounds=4, depth=3)
-    leafed = trees.with_leaves(df, fitted).orderBy("id").toPandas()
-    margin = trees._margins(fitted.steps, np.stack(leafed["leaves"]))[:, -1]
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    scored = fitted.model.transform(df.withColumn("_vector", array_to_vector("features")))
-    want = scored.select("id", vector_to_array("probability")[1].alias("p")).orderBy("id").toPandas()["p"]
-    assert np.allclose(1 / (1 + np.exp(-margin)), want)
-
-
 def planted(spark):
     rows, wrong = points(400, 10, flip=0.1)
     clean, _ = points(100, 11)
@@ -183,9 +173,9 @@ def test_every_method_finds_planted_noise(spark):
     found["mvs"] = stumps.value_mvs(flat, model)
     target = val.select("id", "y", *[F.col("features")[j].alias(f"f{j}") for j in range(3)])
     found["leaf_test"] = stumps.value_leaf_influence(flat, model, target)
-    fitted = trees.fit_ensemble(train, rounds=5, depth=2)
-    found["mvs_ensemble"] = trees.value_mvs(train, fitted)
-    found["leaf_ensemble"] = trees.value_leaf_influence(train, fitted, val)
+    fitted = boosting.fit_boosters(train, rounds=10, depth=2)[0]
+    found["mvs_ensemble"] = boosting.value_mvs(train, fitted)
+    found["leaf_ensemble"] = boosting.value_leaf_influence(train, fitted, val)
     gains = {name: area(valued.select("id", "value"), noisy) for name, valued in found.items()}
     assert {n: g for n, g in gains.items() if g < 0.1} == {}
 
@@ -230,7 +220,7 @@ def test_sweep_has_every_level(spark):
     valued = settle(L.value_tracin_self(train, L.fit_checkpoints(train, epochs=2)))
     sweep = U.undersample_sweep(valued, val, levels=3).orderBy("level").collect()
     assert [r["counts"] for r in sweep] == [20, 40, 60]
-    assert all(0 <= r[c] <= 1 for r in sweep for c in ("basic", "high", "low"))
+    assert all(0 <= r[c] <= 1 for r in sweep for c in ("basic", "high", "low", "random"))
 
 
 def test_assays_query_has_every_level(spark, monkeypatch):
@@ -246,23 +236,6 @@ def test_assays_query_has_every_level(spark, monkeypatch):
     assert {tuple(r) for r in rows.groupBy("aid").count().collect()} == {("0", 19), ("1", 19)}
 
 
-def test_grid_query_has_the_whole_grid(spark, monkeypatch):
-    calls, used = [], {}
-
-    def curve(train, valuer, surrogate, acquisition, share, steps, seed, label):
-        calls.append((valuer, surrogate, acquisition, steps, seed))
-        used[valuer] = train
-        return spark.range(1)
-
-    monkeypatch.setattr(A, "active_learning", curve)
-    rows = registry.QUERIES["active_learning_grid"](spark, SMALL)
-    assert rows.select("method", "replicate").distinct().count() == 16
-    assert {c[1:] for c in calls} == set(itertools.product(("ridge", "gp"), ("greedy", "ucb"), (6,), (0, 1)))
-    assert len(used) == 2
-    for valuer, train in used.items():
-        assert valuer(train).where("value IS NOT NULL").count() == train.count() > 0
-
-
 def test_removal_handles_one_class_and_picks_best(spark):
     train, val, _ = planted(spark)
     # the value is the label, so removing from the low end leaves one class
@@ -272,3 +245,125 @@ def test_removal_handles_one_class_and_picks_best(spark):
     assert next(r for r in got if r["side"] == "low" and r["bin"] == 3)["valid"] == 0.0
     best = U.learn_with_values(spark.createDataFrame(got)).first()
     assert best["test"] == max(r["test"] for r in got)
+
+
+def brute_booster(x, y, rounds, depth, bins, rate=0.1, penalty=1.0):
+    """Margins of every row before each tree and after the last, by looking at all splits."""
+    low, high = x.min(axis=0), x.max(axis=0)
+    binned = sum((x > low + (high - low) * k / bins).astype(int) for k in range(1, bins))
+    share = y.mean()
+    margins = [np.full(len(y), np.log(share / (1 - share)))]
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-margins[-1]))
+        g, h = p - y, p * (1 - p)
+        node = np.zeros(len(y), int)
+        for _ in range(depth):
+            after = 2 * node
+            for m in np.unique(node):
+                rows = node == m
+                best = (0, None)
+                for j in range(x.shape[1]):
+                    for cut in range(bins - 1):
+                        left = rows & (binned[:, j] <= cut)
+                        right = rows & ~left
+                        score = lambda r: g[r].sum() ** 2 / (h[r].sum() + penalty)
+                        gain = round(score(left) + score(right) - score(rows), 9)
+                        if gain > best[0]:
+                            best = (gain, right)
+                if best[1] is not None:
+                    after[best[1]] += 1
+            node = after
+        step = np.zeros(len(y))
+        for m in np.unique(node):
+            rows = node == m
+            step[rows] = -rate * g[rows].sum() / (h[rows].sum() + penalty)
+        margins.append(margins[-1] + step)
+    return np.stack(margins, axis=1)
+
+
+def test_boosters_of_pools_equal_brute_force(spark):
+    rows = points(90, 21, 0.1, width=5)[0]
+    pools = np.random.default_rng(3).random((90, 3)) < [1.0, 0.5, 0.3]
+    x, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    pools[[*x.argmin(axis=0), *x.argmax(axis=0)]] = True
+    checked = 0
+    df = spark.createDataFrame(
+        [(i, y, x, [float(b) for b in p]) for (i, y, x), p in zip(rows, pools)] + [(900, None, rows[0][2], [1.0] * 3)],
+        SCHEMA + ", pools array<double>",
+    ).repartition(3)
+    models = boosting.fit_boosters(df, pools="pools", rounds=3, depth=2, bins=6)
+    for c, model in enumerate(models):
+        mine = pools[:, c]
+        # cuts come from all rows, so a pool is checked where it has the extremes
+        mine = mine | np.isin(np.arange(90), [*x.argmin(axis=0), *x.argmax(axis=0)]) if c else mine
+        if (mine == pools[:, c]).all():
+            got = model.margins(model.leaf_of(model.bins(x[mine])))
+            assert np.allclose(got, brute_booster(x[mine], y[mine], 3, 2, 6))
+            checked += 1
+    assert checked >= 2
+    valued = boosting.value_mvs(df, models[0]).collect()
+    assert next(r["value"] for r in valued if r["id"] == 900) is None
+    assert all(r["value"] <= 0 for r in valued if r["id"] != 900)
+
+
+def test_grid_takes_the_lowest_of_each_curve(spark):
+    rows, _ = points(300, 22)
+    df = settle(spark.createDataFrame([(i, int(x[0] > 2.2), x) for i, _, x in rows], SCHEMA).repartition(3))
+    curves = C.grid_curves(C.METHODS, ["ridge", "gp"], ["greedy", "ucb"], 2)
+    assert len(curves) == 16
+    got = C.active_learning_curves(df, curves, step_share=0.1, steps=2, landmarks=20).collect()
+    assert {(r["method"], r["replicate"]) for r in got} == {(c.name, c.replicate) for c in curves}
+    assert all(r["n_sampled"] == 30 * (r["step"] + 1) and 0 <= r["share"] <= 1 for r in got) and len(got) == 48
+    # a curve of its own goes the same way
+    alone = C.active_learning_curves(df, curves[:1], step_share=0.1, steps=2, landmarks=20).collect()
+    same = {(r["step"], r["found"]) for r in got if r["method"] == curves[0].name and r["replicate"] == 0}
+    assert {(r["step"], r["found"]) for r in alone} == same
+    with pytest.raises(ValueError):
+        C.active_learning_curves(df, [C.Curve("mvs", "known", "greedy", 0)])
+
+
+def test_one_curve_of_the_grid_is_the_single_loop(spark):
+    rows, _ = points(200, 23)
+    df = settle(spark.createDataFrame([(i, int(x[0] > 2.2), x) for i, _, x in rows], SCHEMA))
+
+    def valuer(pool):
+        return L.value_tracin_self(pool, L.fit_checkpoints(pool, epochs=3))
+
+    single = A.active_learning(df, valuer, "ridge", step_share=0.1, steps=2, landmarks=15).collect()
+    curve = C.active_learning_curves(df, [C.Curve("tracin_self", "ridge", "greedy", 0)], step_share=0.1, steps=2, landmarks=15).collect()
+    assert {(r["step"], r["n_sampled"], r["found"]) for r in single} == {(r["step"], r["n_sampled"], r["found"]) for r in curve}
+
+
+def test_lowest_rows_with_ties_nulls_and_small_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(i % 3), None if i % 11 == 0 else float(rng.integers(0, 6))) for i in range(400)] + [(1000 + i, 9, 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, g int, v double").repartition(5)
+    for count in (0, 1, 7, 130, 5000):
+        got = {(r["g"], r["id"]) for r in removal.lowest_rows(df, count, "v", "id", ["g"]).collect()}
+        want = set()
+        for g in (0, 1, 2, 9):
+            group = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, r[2] or 0, r[0]))
+            want |= {(g, r[0]) for r in group[:count]}
+        assert got == want
+
+
+def test_many_models_equal_single_ones(spark):
+    rows, _ = points(80, 24, 0.1)
+    weights = [[1.0, float(i % 2), 2.0 if i < 40 else 0.5] for i in range(80)]
+    df = spark.createDataFrame([(*r, w) for r, w in zip(rows, weights)], SCHEMA + ", w array<double>").repartition(3)
+    many = fit_many(df, "w", epochs=3)
+    single = L.fit_checkpoints(df, epochs=3)
+    half = L.fit_checkpoints(df.where("id % 2 = 1"), epochs=3)
+    for e in range(3):
+        assert np.allclose(many[e][0], single[e]) and np.allclose(many[e][1], half[e])
+
+
+def test_sweep_with_an_estimator_and_replicates(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    train, val, _ = planted(spark)
+    valued = settle(L.value_tracin_self(train, L.fit_checkpoints(train, epochs=2)))
+    own = U.undersample_sweep(valued, val, levels=1, estimator=LogisticRegression(maxIter=5), exempt_positives=False).collect()
+    assert len(own) == 1 and all(0 <= own[0][c] <= 1 for c in ("basic", "high", "low", "random"))
+    twice = U.sweep_replicates(valued, val, lambda rows, seed: rows, 2, levels=1, epochs=3).collect()
+    assert sorted(r["replicate"] for r in twice) == [0, 1] and len({r["low"] for r in twice}) == 1
