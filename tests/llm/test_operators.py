@@ -101,6 +101,31 @@ def test_near_text_in_later_rounds(spark):
     assert {r.doc_id: r.component_id for r in found} == top
 
 
+def test_near_text_in_blocks(spark, monkeypatch):
+    # a group of copies of which few pairs are alike enough, cut into small blocks
+    monkeypatch.setattr(near_text, "FEW", 2)
+    monkeypatch.setattr(near_text, "BLOCK_SHINGLES", 1500)
+    rng = random.Random(19)
+    base = prose(rng, 150, 5000)
+    rows = [(i, edited(rng, base, rng.randrange(1, 8))) for i in range(160)]
+    rows += [(5, edited(rng, base, 40)), (500, prose(rng, 30)), (500, rows[7][1]), (7, prose(rng, 30))]
+    _, top = brute_near(rows, 4, 80)
+    assert 3 < len(set(top.values())) < 150
+    found = near_text.near_duplicates(frame(spark, rows), 4, 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == top
+
+
+def test_products_count_shared_words():
+    rng = np.random.RandomState(5)
+    sets = [np.unique(rng.randint(0, 60, rng.randint(1, 60)).astype(np.uint64)) for _ in range(40)]
+    got = near_text.linked(sets, sets[:17], 50)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:17]):
+            same = len(np.intersect1d(a, b))
+            assert got[i, j] == (same * 100 >= (len(a) + len(b) - same) * 50)
+    assert not near_text.linked([np.array([1], np.uint64)], [np.array([2], np.uint64)], 80).any()
+
+
 def test_sketch_agrees_as_often_as_sets_do():
     rng = np.random.RandomState(0)
     for size in (5, 60, 2000):
