@@ -277,12 +277,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, carry: tu
     if not stars.isEmpty():
         labels = grown(_confirm(docs, nodes, stars, size, percent))
         # the hubs have met all nodes of other components than theirs
-        rest = labelled(open_rows.where("node <> hub").select("bucket", "node", "rep", "n"), labels)
-        rest = keeper.keep(rest)
+        rest = keeper.keep(labelled(open_rows.where("node <> hub").select("bucket", "node", "rep", "n"), labels))
         unfinished = rest.groupBy("bucket").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")
         ).where("low < high").select("bucket", "rows")
-        rest = keeper.keep(rest.join(unfinished, "bucket"))
+        rest = rest.join(unfinished, "bucket")
         homes = rest.groupBy("node").agg(F.max(F.struct("rows", "bucket")).alias("home"))
         rest = keeper.keep(
             rest.join(homes.select("node", F.col("home.bucket").alias("home"), (F.col("home.rows") > FEW).alias("many")), "node")
@@ -291,10 +290,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, carry: tu
         left = few.select("bucket", F.col("node").alias("a"), F.col("many").alias("many_a"), F.col("component").alias("of_a"))
         right = few.select("bucket", F.col("node").alias("b"), "many", "component")
         pairs = left.join(right, "bucket").where("a < b AND of_a <> component AND NOT (many_a AND many)").select("a", "b").distinct()
-        labels = grown(_confirm(docs, nodes, pairs, size, percent))
-        blocks = rest.where("many")
-        if not blocks.isEmpty():
-            labels = grown(_links_in_blocks(docs, labelled(blocks.drop("component"), labels), size, percent, keeper))
+        if not rest.isEmpty():
+            found, blocks = _confirm(docs, nodes, pairs, size, percent), rest.where("many")
+            if not blocks.isEmpty():
+                found = found.union(_links_in_blocks(docs, blocks, size, percent, keeper))
+            labels = grown(found)
     component = nodes.select("node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     component = settle(component)
     least = component.groupBy("component").agg(F.min("rep").alias("component_id"))
