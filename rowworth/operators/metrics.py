@@ -96,12 +96,17 @@ def bedroc(
     return sums.select(*by, F.when(mixed, (rie - worst) / (best - worst)).alias(out))
 
 
-def diversity_rate(df: DataFrame, group_key: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct group keys per 100 flagged rows, over all flagged rows; 0 when none is flagged."""
+def diversity_rate(df: DataFrame, group_key: str, by: Sequence[str] = (), error: float | None = None) -> DataFrame:
+    """Distinct group keys per 100 flagged rows, over all flagged rows; 0 when none is flagged.
+
+    With `error`, the relative standard deviation allowed, keys are counted by mergeable sketches of a
+    fixed size, so that the keys themselves are not shuffled.
+    """
     cols = []
     for side, flag in (("fp", "flag_lo"), ("tp", "flag_hi")):
         flagged = F.col(flag) == 1
-        distinct = F.count_distinct(F.when(flagged, F.col(group_key)))
+        key = F.when(flagged, F.col(group_key))
+        distinct = F.count_distinct(key) if error is None else F.approx_count_distinct(key, error)
         cols.append((100 * _ratio(distinct, F.count_if(flagged))).alias(f"diversity_{side}"))
     return df.groupBy(*by).agg(*cols)
 

@@ -129,14 +129,24 @@ def exact_percentiles(
 
     A quantile sketch brackets each place; one more scan counts what lies below the bracket and
     the values inside it, and only those are sorted. So the table is not shuffled, and neither a
-    hot value nor a large group has to fit in one buffer.
+    hot value nor a large group has to fit in one buffer. If a place lies outside its bracket, the
+    brackets are widened, in the end to all values.
     """
-    by = list(by)
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    edges = [min(max(p + side, 0.0), 1.0) for p in probs.values() for side in (-_MARGIN, _MARGIN)]
+    margin = _MARGIN
+    while True:
+        found = settle(_bracketed(rows, probs, list(by), margin))
+        if margin >= 1 or found.where("_missed").isEmpty():
+            return found.drop("_missed")
+        margin *= 10
+
+
+def _bracketed(rows: DataFrame, probs: dict[str, float], by: list[str], margin: float) -> DataFrame:
+    """Percentiles of `_v`, and `_missed` where a place lies outside the bracket of `margin` on both sides."""
+    edges = [min(max(p + side, 0.0), 1.0) for p in probs.values() for side in (-margin, margin)]
     # interpolation reaches one row further than the sketch's own place; where the margin is less
     # than a few rows, all values are in the bracket
-    tiny = F.count(F.lit(1)) * _MARGIN < 4
+    tiny = F.lit(margin >= 1) | (F.count(F.lit(1)) * margin < 4)
     whole = F.flatten(F.array_repeat(F.array(F.min("_v"), F.max("_v")), len(probs)))
     sketch = settle(
         rows.groupBy(*by).agg(
@@ -164,11 +174,10 @@ def exact_percentiles(
             first = F.min_by(F.struct("_v", "_gap"), F.when(F.col("_cum") > place, F.col("_cum")))
             picks.append(first.alias(f"_{bound}_{name}"))
     picked = placed.groupBy(*by).agg(F.max("_n").alias("_n"), *picks)
-    out = []
+    out, missed = [], []
     for name, p in probs.items():
         at = F.lit(p) * (F.col("_n") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        missed = (lo["_gap"] == 1) | (hi["_gap"] == 1)
-        exact = lo["_v"] + (hi["_v"] - lo["_v"]) * (at - F.floor(at))
-        out.append(F.when(missed, F.raise_error(F.lit("percentile sketch missed its place"))).otherwise(exact).alias(name))
-    return picked.select(*by, *out)
+        missed += [lo["_gap"] == 1, hi["_gap"] == 1]
+        out.append((lo["_v"] + (hi["_v"] - lo["_v"]) * (at - F.floor(at))).alias(name))
+    return picked.select(*by, *out, F.coalesce(reduce(lambda a, b: a | b, missed), F.lit(False)).alias("_missed"))

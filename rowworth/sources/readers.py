@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowworth.operators.split import top_score_split
 from rowworth.session import broadcast_if_small
+from rowworth.sources.writers import COMMIT
 
 # Column names of the public raw assay exports.
 RAW_COLUMNS = {
@@ -128,3 +130,25 @@ def group_assays(long: DataFrame, mapping: DataFrame, group: str) -> DataFrame:
     # an assay may hold a large share of all cells, so they are not shuffled onto it
     wanted = broadcast_if_small(mapping.where(F.col(group) == 1).select("aid"))
     return long.join(wanted, "aid", "left_semi")
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the last committed attempt of each run that `write_run` has written; attempts without a commit don't count."""
+    commits = spark.read.schema(COMMIT).json(f"{path}/commits")
+    last = commits.groupBy("run").agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt"))
+    # names like 007 stay as they are
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{path}/rows")
+    rows = rows.withColumn("run", F.col("run").cast("string")).withColumn("attempt", F.col("attempt").cast("string"))
+    return rows.join(broadcast_if_small(last), ["run", "attempt"], "left_semi").drop("attempt")
+
+
+def from_columns_split(
+    df: DataFrame, id_col: str, key: str, primary: str, val: DataFrame | None = None, share: float = 0.1, **columns
+) -> tuple[DataFrame, DataFrame]:
+    """(train, validation) of any table: with a validation set of the caller's own, whose keys leave the training rows,
+    or split on the way in by the best scores (see `top_score_split`)."""
+    rows = from_columns(df, id_col, key, primary, **columns)
+    if val is None:
+        return top_score_split(rows, share)
+    own = from_columns(val, id_col, key, primary, **columns)
+    return rows.join(own.select("key").where("key IS NOT NULL").distinct(), "key", "left_anti").select(*rows.columns), own

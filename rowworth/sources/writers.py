@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -24,17 +26,39 @@ def write_features(features: DataFrame, path: str, dataset: str) -> None:
     _replace(features.withColumn("dataset", F.lit(dataset)), path, "dataset")
 
 
-def write_report(metrics: DataFrame, path: str, mode: str = "append") -> None:
-    """Long `(dataset, method, replicate, metric, value)` rows."""
-    metrics.write.mode(mode).partitionBy("method").parquet(path)
+def write_run(rows: DataFrame, path: str, run: str) -> None:
+    """Add the rows of a named run so that it can be repeated: each attempt has files of its own, and only a
+    commit that is written after them makes it count. `read_runs` gives the last committed attempt of each run."""
+    attempt = uuid.uuid4().hex
+    marked = rows.withColumn("run", F.lit(run)).withColumn("attempt", F.lit(attempt))
+    marked.write.mode("append").partitionBy("run", "attempt").parquet(f"{path}/rows")
+    done = rows.sparkSession.createDataFrame([(run, attempt, time.time_ns())], COMMIT)
+    done.coalesce(1).write.mode("append").json(f"{path}/commits")
 
 
-def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
-    log.write.mode(mode).partitionBy("dataset", "method").parquet(path)
+COMMIT = "run string, attempt string, at long"
 
 
-def write_curve(curve: DataFrame, path: str, mode: str = "append") -> None:
-    curve.write.mode(mode).partitionBy("method").parquet(path)
+def _append(rows: DataFrame, path: str, mode: str, run: str | None, *by: str) -> None:
+    if run is not None:
+        write_run(rows, path, run)
+    else:
+        rows.write.mode(mode).partitionBy(*by).parquet(path)
+
+
+def write_report(metrics: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
+    """Long `(dataset, method, replicate, metric, value)` rows; with `run` a second write replaces the first (see `write_run`)."""
+    _append(metrics, path, mode, run, "method")
+
+
+def write_log(log: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
+    """Prediction logs; with `run` a second write replaces the first (see `write_run`)."""
+    _append(log, path, mode, run, "dataset", "method")
+
+
+def write_curve(curve: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
+    """Curves; with `run` a second write replaces the first (see `write_run`)."""
+    _append(curve, path, mode, run, "method")
 
 
 def prediction_log(flagged: DataFrame, dataset: str, method: str, replicate: int) -> DataFrame:

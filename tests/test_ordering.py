@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from rowworth.operators import ordering
 from rowworth.operators.ordering import exact_percentiles, rank_rows, running_totals
 
 
@@ -70,3 +71,14 @@ def test_percentile_of_one_row(spark):
 def test_rank_is_the_same_again(spark):
     _, df = skewed(spark)
     assert rank_rows(df, ["v", "id"]).exceptAll(rank_rows(df, ["v", "id"])).count() == 0
+
+
+def test_missed_brackets_are_widened(spark, monkeypatch):
+    # a margin far below the sketch's error: places lie outside until it has grown
+    monkeypatch.setattr(ordering, "_ACCURACY", 20)
+    monkeypatch.setattr(ordering, "_MARGIN", 0.0005)
+    rng = np.random.default_rng(8)
+    values = rng.normal(size=20_000)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
+    got = ordering.exact_percentiles(df, "v", {"a": 0.1, "b": 0.5, "c": 0.93}).first()
+    assert np.allclose(list(got), np.quantile(values, [0.1, 0.5, 0.93]))

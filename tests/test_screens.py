@@ -175,3 +175,34 @@ def test_removing_from_all_labels(spark):
     df = spark.createDataFrame([(i, int(i < 2), float(i)) for i in range(6)], "id int, primary int, value double")
     left = removal.remove_k(df, 3, label=None).select("id").collect()
     assert {r[0] for r in left} == {3, 4, 5}
+
+
+def test_runs_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "report")
+    first = spark.createDataFrame([("d", "m", 0, "x", 1.0), ("d", "n", 0, "x", 2.0)], "dataset string, method string, replicate int, metric string, value double")
+    second = first.limit(1).withColumn("value", F.lit(5.0))
+    writers.write_report(first, path, run="007")
+    writers.write_report(first, path, run="other")
+    writers.write_report(first, path, run="007")
+    assert sorted(r["value"] for r in readers.read_runs(spark, path).collect()) == [1.0, 1.0, 2.0, 2.0]
+    writers.write_report(second, path, run="007")
+    # files without a commit, as an attempt that was lost leaves them
+    first.withColumn("run", F.lit("007")).withColumn("attempt", F.lit("lost")).write.mode("append").partitionBy("run", "attempt").parquet(f"{path}/rows")
+    found = readers.read_runs(spark, path).collect()
+    assert sorted((r["run"], r["value"]) for r in found) == [("007", 5.0), ("other", 1.0), ("other", 2.0)]
+
+
+def test_diversity_by_sketch_is_near(spark):
+    df = spark.range(20_000).select((F.col("id") % 7000).alias("g"), F.lit(1).alias("flag_lo"), (F.col("id") < 100).cast("int").alias("flag_hi"))
+    exact, near = metrics.diversity_rate(df, "g").first(), metrics.diversity_rate(df, "g", error=0.02).first()
+    assert all(abs(a - b) <= 0.1 * a for a, b in zip(exact, near)) and exact[0] == 35.0
+
+
+def test_own_validation_set_or_split_on_the_way_in(spark):
+    rows = spark.createDataFrame([(i, f"k{i % 40}", i % 2, float(i), i % 2) for i in range(50)], "n long, name string, hit int, s double, sure int")
+    own = rows.where("n < 5")
+    train, val = readers.from_columns_split(rows, "n", "name", "hit", own, score="s", confirmatory="sure")
+    assert {r["key"] for r in val.collect()} == {f"k{i}" for i in range(5)}
+    assert not {r["key"] for r in train.collect()} & {f"k{i}" for i in range(5)} and train.count() == 40
+    train, val = readers.from_columns_split(rows, "n", "name", "hit", share=0.2, score="s", confirmatory="sure")
+    assert sorted(r["id"] for r in val.collect()) == list(range(40, 50)) and train.count() == 40
