@@ -18,33 +18,42 @@ def _ready(spark: SparkSession) -> None:
     lean_batches(spark)
 
 
+def _version_name(docs: DataFrame) -> str:
+    """A name for a column more, none of the table's own."""
+    taken, name = {c.lower() for c in docs.columns}, "_version"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _versioned(docs: DataFrame) -> DataFrame:
     """A doc_id may be missing or repeated: with the hash of its text it names a row, or equal ones."""
-    return docs.withColumn("_version", F.xxhash64("text"))
+    return docs.withColumn(_version_name(docs), F.xxhash64("text"))
 
 
 def _matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """Rows of `docs` of the same doc_id (missing or not) and text as one of `rows`, or (left_anti) the others."""
-    there = broadcast_if_small(rows.select(F.col("doc_id").alias("_id"), F.col("_version").alias("_of")).distinct())
-    here = _versioned(docs)
-    same = here["doc_id"].eqNullSafe(there["_id"]) & here["_version"].eqNullSafe(there["_of"])
-    return here.join(there, same, how).select(*docs.columns)
+    version = _version_name(docs)
+    there = broadcast_if_small(rows.select("doc_id", F.col(version).alias("version")).distinct()).alias("there")
+    here = _versioned(docs).alias("here")
+    same = F.col("here.doc_id").eqNullSafe(F.col("there.doc_id")) & F.col(f"here.{version}").eqNullSafe(F.col("there.version"))
+    return here.join(there, same, how).select(*[F.col(f"here.`{c}`") for c in docs.columns])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
     _ready(spark)
-    found = quality.importance_resample(_versioned(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("_version",))
+    found = quality.importance_resample(_versioned(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=(_version_name(docs),))
     return _matching(docs, found.where("NOT kept"), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words a shingle, similarity of 0.8. Of rows with equal id and text one stays."""
     _ready(spark)
-    found = near_text.near_duplicates(_versioned(docs), size=5, percent=80, carry=("_version",))
+    found = near_text.near_duplicates(_versioned(docs), size=5, percent=80, carry=(_version_name(docs),))
     kept = _matching(docs, found.where("NOT kept"), "left_anti")
     # whole rows are dealt out only where some are repeated
-    repeated = settle(found.where("kept").groupBy("doc_id", "_version").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    repeated = settle(found.where("kept").groupBy("doc_id", _version_name(docs)).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
     if repeated.isEmpty():
         return kept
     return _matching(kept, repeated, "left_anti").unionByName(_matching(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
@@ -54,18 +63,19 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     _ready(spark)
     found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), versions=True)
-    return _matching(docs, found.withColumnRenamed("version", "_version"), "left_anti")
+    return _matching(docs, found.withColumnRenamed("version", _version_name(docs)), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced: live-looking ones and copied examples by marks of their own."""
     _ready(spark)
-    version = F.xxhash64("text")
-    found = secrets.find_secrets(docs.withColumn("_version", version), "source", F.concat_ws("/", docs["source"], docs["lang"]), carry=("_version",))
+    version = _version_name(docs)
+    marked = _versioned(docs)
+    found = secrets.find_secrets(marked, "source", F.concat_ws("/", marked["source"], marked["lang"]), carry=(version,))
     # equal rows have equal spans
-    spans = broadcast_if_small(found.where(F.size("spans") > 0).dropDuplicates(["doc_id", "_version"]))
-    marked = docs.withColumn("_version", version).alias("d").join(
-        spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("d._version").eqNullSafe(F.col("s._version")), "left"
+    spans = broadcast_if_small(found.where(F.size("spans") > 0).dropDuplicates(["doc_id", version]))
+    marked = marked.alias("d").join(
+        spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col(f"d.{version}").eqNullSafe(F.col(f"s.{version}")), "left"
     )
     hit = F.col("s.spans").isNotNull()
     text = F.when(hit, secrets.redact(F.col("d.text"), F.col("s.spans"))).otherwise(F.col("d.text"))
