@@ -234,8 +234,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, carry: tu
     At the threshold a pair misses all 30 bands of 5 with a chance of 7e-6.
 
     Null and empty texts have no shingles, are linked with nothing and kept. Rows with a null
-    doc_id get a null component and are kept. Repeated rows get equal results; rows sharing a
-    doc_id but not a text count as one document. Other columns are not read.
+    doc_id get the component of a row with an id and an equal set, or else a null one and are kept. Repeated rows get equal results; rows sharing a
+    doc_id but not a text are each judged by their own text. Other columns are not read.
     """
     carried = docs.select("doc_id", "text", *carry)
     docs = docs.select("doc_id", "text")
@@ -247,13 +247,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, carry: tu
         named.groupBy(F.col("digest").alias("node"))
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
-    # the texts of one document belong together
-    several = named.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("top")).where("a <> top")
-    links = keeper.keep(named.select("doc_id", "digest").distinct().join(several, "doc_id").where("digest <> a").select("a", F.col("digest").alias("b")))
+    links = None
 
     def grown(found: DataFrame) -> DataFrame:
         nonlocal links
-        links = keeper.keep(links.union(found))
+        links = keeper.keep(found if links is None else links.union(found))
         return components(links)
 
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -301,5 +299,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, carry: tu
     of_set = component.join(least, "component").select(F.col("node").alias("digest"), "component_id")
     whole = sketches.join(settle(of_set), "digest", "left")
     keeper.clear()
-    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    found = F.coalesce("component_id", "doc_id")
     return whole.select("doc_id", *carry, "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))

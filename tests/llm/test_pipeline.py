@@ -69,3 +69,12 @@ def test_stages_drop_rows_with_repeated_or_missing_ids(spark):
     found = quality.importance_resample(docs.withColumn("v", F.xxhash64("text")), spark.read.parquet(f"{SMALL}/labels.parquet"), carry=("v",))
     assert found.where("NOT kept AND doc_id IS NULL").count() > 0
     assert corpus_pipeline.keep_quality(spark, docs, SMALL).count() == found.where("kept").count()
+
+
+def test_columns_of_the_table_stay(spark):
+    rows = [(1, "password=abcdefghijkl12 and more", "en", "s", 31, 7, "x"), (2, "words without any secret", "en", "s", 24, 8, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _version long, version string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, SMALL)
+        assert found.columns == docs.columns
+        assert {(r.doc_id, r._version, r.version) for r in found.collect()} == {(1, 7, "x"), (2, 8, "y")}
