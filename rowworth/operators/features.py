@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowworth.operators.ordering import rank_rows
-from rowworth.session import broadcast_if_small
+from rowworth.session import fits
+
+#: a token with more than this share of all tokens is frequent; at most 1 / share tokens are
+FREQUENT_SHARE = 1e-4
+_SALTS = 1024
 
 
 def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -26,16 +30,20 @@ def encode_tokens(
     too_long: str = "truncate",
     tokens: str = "tokens",
     id_col: str = "id",
+    max_broadcast: int = 64 << 20,
 ) -> DataFrame:
     """Add `codes`: token indices + 1, padded with 0 to `length`.
 
     Rows with more tokens are cut (training rows) or dropped (`too_long="drop"`, validation rows).
     A token takes part only up to `length`, so the gathered list of one row is bounded by it.
+    A vocabulary over `max_broadcast` bytes is shuffled, but for its frequent tokens, which are looked up in a
+    broadcast table of at most 1 / FREQUENT_SHARE rows.
     """
     if too_long == "drop":
         df = df.where(F.size(tokens) <= length)
     cells = df.select(id_col, F.posexplode(F.slice(tokens, 1, length)).alias("_pos", "token"))
-    coded = cells.join(broadcast_if_small(vocab), "token", "left").select(
+    found = cells.join(F.broadcast(vocab), "token", "left") if fits(vocab, max_broadcast) else _look_up(cells, vocab)
+    coded = found.select(
         id_col, F.struct("_pos", (F.coalesce(F.col("index"), F.lit(-1)) + 1).cast("int").alias("code")).alias("_cell")
     )
     lists = coded.groupBy(id_col).agg(F.array_sort(F.collect_list("_cell"))["code"].alias("_codes"))
@@ -45,6 +53,24 @@ def encode_tokens(
     return joined.withColumn("codes", padded).drop("_codes")
 
 
+def _look_up(cells: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Add `index` to the tokens without sending a frequent one to a single task."""
+    counts = cells.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+    total = cells.agg(F.count(F.lit(1))).first()[0]
+    frequent = counts.where(F.col("_n") > F.lit(FREQUENT_SHARE * total)).select("token")
+    known = vocab.join(F.broadcast(frequent), "token").select("token", F.col("index").alias("_known"), F.lit(True).alias("_seen"))
+    marked = cells.join(F.broadcast(known), "token", "left")
+    # what is known already meets nothing in the shuffle and is spread over it
+    spread = F.pmod(F.xxhash64(*[c for c in cells.columns]), F.lit(_SALTS)) + 1
+    marked = marked.select(
+        *[c for c in cells.columns if c != "token"], "_known",
+        F.when(F.col("_seen").isNull(), F.col("token")).alias("token"),
+        F.when(F.col("_seen").isNull(), F.lit(0)).otherwise(spread).alias("_salt"),
+    )
+    joined = marked.join(vocab.withColumn("_salt", F.lit(0).cast("long")), ["token", "_salt"], "left")
+    return joined.withColumn("index", F.coalesce("_known", "index"))
+
+
 def scaler(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row of means and population deviations; a constant column divides by 1."""
     aggs = []

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rowworth.functions import columns as C
 from rowworth.operators import split
+from rowworth.operators.bit_pairs import fingerprint_classes, similar_pairs
 from rowworth.operators.pairs import pair_similarity
 from rowworth.registry import bindings as B
 from rowworth.registry import query
+from rowworth.registry.features import WORDS_SQL
 from rowworth.registry.metrics import BALANCE_SQL, _rounded, balance_metrics, labelled_texts
 from rowworth.registry.sources import SPLIT_SQL
+from rowworth.session import settle
 from rowworth.sources import readers as R
 from rowworth.sources import writers as W
 
@@ -129,6 +133,37 @@ def similarity(spark, folder):
     )
 
 
+@query(
+    "pair_similarity_threshold",
+    f"""WITH bits AS (SELECT DISTINCT id, CAST(('0x' || substr(md5(g), 1, 8)) AS BIGINT) % 1024 AS bit
+  FROM (SELECT doc_id AS id, unnest({WORDS_SQL}) AS g FROM documents)),
+size AS (SELECT id, count(*) AS n, md5(string_agg(bit::VARCHAR, ',' ORDER BY bit)) AS digest FROM bits GROUP BY id),
+shared AS (SELECT a.id, b.id AS ref, count(*) AS s FROM bits a JOIN bits b ON a.bit = b.bit AND a.id <> b.id GROUP BY 1, 2),
+near AS (SELECT x.id, count(*) AS n_links, max(CASE WHEN a.digest <> b.digest THEN x.s / (a.n + b.n - x.s) END) AS nearest
+  FROM shared x JOIN size a ON a.id = x.id JOIN size b ON b.id = x.ref WHERE x.s / (a.n + b.n - x.s) >= 0.8 GROUP BY x.id)
+SELECT d.doc_id AS id, min(d.doc_id) OVER (PARTITION BY digest) AS class_id,
+  coalesce(n_links, 0) AS n_links, round(nearest, 6) AS nearest
+FROM documents d JOIN size ON size.id = d.doc_id LEFT JOIN near ON near.id = d.doc_id
+UNION ALL SELECT doc_id, doc_id, 0, NULL FROM documents WHERE doc_id NOT IN (SELECT id FROM size)""",
+)
+def similarity_threshold(spark, folder):
+    """Per document: its class of equal fingerprints, how many others are similar, and the nearest other fingerprint."""
+    texts = B.spread(B.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+    listed = C.tokenize(F.col("text"), "([^ \\n]+)")
+    classes = settle(fingerprint_classes(texts.select("id", C.hashed_fingerprint(listed, radius=0).alias("bits"))))
+    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    alone = classes.where(F.col("id") == F.col("class_id")).select("id", "bits")
+    pairs = settle(similar_pairs(alone, threshold=0.8))
+    both = pairs.unionByName(pairs.select(F.col("id").alias("ref_id"), F.col("ref_id").alias("id"), "similarity"))
+    links = both.join(sizes.withColumnRenamed("class_id", "ref_id"), "ref_id").groupBy(F.col("id").alias("class_id")).agg(
+        F.sum("n").alias("others"), F.max("similarity").alias("nearest")
+    )
+    counted = sizes.join(links, "class_id", "left")
+    n_links = F.coalesce("others", F.lit(0)) + F.col("n") - 1
+    counted = counted.select("class_id", n_links.alias("n_links"), F.round("nearest", 6).alias("nearest"))
+    return classes.select("id", "class_id").join(counted, "class_id").select("id", "class_id", "n_links", "nearest")
+
+
 @query(
     "stack_replicates",
     """SELECT method, count(*) AS n_rows, CAST(sum(flag_hi) AS BIGINT) AS n_hi FROM (

@@ -84,6 +84,11 @@ def scratch_folder(spark: SparkSession) -> str:
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only after measuring `df`; beyond the bound the optimizer picks the join."""
+    return F.broadcast(df) if fits(df, max_bytes) else df
+
+
+def fits(df: DataFrame, max_bytes: int = 64 << 20) -> bool:
+    """Whether the measured size of `df` is within the bound."""
     width = F.lit(0)
     for field in df.schema.fields:
         if field.dataType.typeName() in ("string", "binary"):
@@ -97,4 +102,4 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
             size = F.lit(0)
         width = width + F.coalesce(size, F.lit(0)) + 16
     total = df.agg(F.sum(width.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if total <= max_bytes else df
+    return total <= max_bytes

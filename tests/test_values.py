@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from rowworth import registry
 from rowworth.operators import logistic as L
 from rowworth.operators import boosting, pairs, removal, stumps, surrogate
+from rowworth.operators.bit_pairs import fingerprint_classes, similar_pairs
+from rowworth.operators.features import encode_tokens, vocabulary
 from rowworth.operators.knn_shapley import value_knn_shapley
 from rowworth.operators.many_logistic import fit_many
 from rowworth.operators.reinforce import value_reinforce
@@ -367,3 +369,39 @@ def test_sweep_with_an_estimator_and_replicates(spark):
     assert len(own) == 1 and all(0 <= own[0][c] <= 1 for c in ("basic", "high", "low", "random"))
     twice = U.sweep_replicates(valued, val, lambda rows, seed: rows, 2, levels=1, epochs=3).collect()
     assert sorted(r["replicate"] for r in twice) == [0, 1] and len({r["low"] for r in twice}) == 1
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_similar_pairs_equal_all_pairs(spark, threshold):
+    rng = np.random.default_rng(3)
+    sets = [set(rng.choice(200, rng.integers(1, 60), replace=False).tolist()) for _ in range(60)]
+    # near copies of every size, copies, empty and missing sets
+    for s in sets[:40]:
+        sets.append((s | {int(rng.integers(200))}) - {next(iter(s))} if len(s) > 1 else set(s))
+        sets.append(s | set(rng.choice(200, len(s) // 5, replace=False).tolist()))
+    rows = [(i, sorted(s)) for i, s in enumerate(sets)] + [(900, []), (901, None)]
+    df = spark.createDataFrame(rows, "id long, bits array<int>")
+    tanimoto = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in itertools.product(enumerate(sets), repeat=2)}
+    wanted = {p for p, v in tanimoto.items() if v >= threshold}
+    found = similar_pairs(df, threshold=threshold).collect()
+    assert len(found) == len({(r.id, r.ref_id) for r in found})
+    assert {(r.id, r.ref_id) for r in found} == {(i, j) for i, j in wanted if i < j}
+    assert all(r.similarity == tanimoto[r.id, r.ref_id] for r in found)
+    two = similar_pairs(df.where("id < 50"), df.where("id >= 50"), threshold).collect()
+    assert {(r.id, r.ref_id) for r in two} == {(i, j) for i, j in wanted if i < 50 <= j}
+
+
+def test_fingerprint_classes_and_no_rows(spark):
+    rows = [(5, [3, 1]), (2, [1, 3, 3]), (7, [1]), (8, []), (9, None), (4, [])]
+    df = spark.createDataFrame(rows, "id long, bits array<int>")
+    found = {r.id: (r.class_id, r.bits) for r in fingerprint_classes(df).collect()}
+    assert found == {5: (2, [1, 3]), 2: (2, [1, 3]), 7: (7, [1]), 8: (8, None), 9: (9, None), 4: (4, None)}
+    assert similar_pairs(df.where("id > 99")).count() == 0
+
+
+def test_frequent_tokens_are_coded_the_same_by_shuffle(spark):
+    rows = [(i, ["the", f"w{i % 37}", None, "the", f"x{i}"][: i % 6]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    vocab = vocabulary(df).where("token <> 'w3'")
+    small = encode_tokens(df, vocab, 4).select("id", "codes")
+    large = encode_tokens(df, vocab, 4, max_broadcast=0).select("id", "codes")
+    assert small.exceptAll(large).count() == large.exceptAll(small).count() == 0
