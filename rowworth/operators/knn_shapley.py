@@ -18,10 +18,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowworth.functions.blocks import matrix, vector
-from rowworth.operators.ordering import Ordered
-from rowworth.operators.pairs import _TILE, Block, reference_blocks, similarity
+from rowworth.operators.pairs import _TILE, BLOCK_BYTES, Block, reference_blocks, similarity
+from rowworth.operators.sums import add_up
 from rowworth.session import settle
 
+# validation rows of a block, edges of each: their product bounds every table that is sent
+EXACT_BLOCK, MOST_EDGES = 1024, 1024
+#: rows of one validation row's order that are sorted together, as long as MOST_EDGES allows
+CELL_ROWS = 1 << 16
+
 # tasks whose nearest rows are merged in one window
 _MERGED = 100
 _PAIR_SCHEMA = "val_id bigint, id bigint, distance double, match int"
@@ -35,20 +40,28 @@ def value_knn_shapley(
     epsilon: float | None = None,
     features: str = "features",
     id_col: str = "id",
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """`(id, value)` for every training row.
 
     The exact value ranks all training rows for every validation row, so its cost is their
-    product; the ordering is distributed, also within one validation row. With `epsilon` only
+    product; the ordering is distributed, also within one validation row, whose order is cut into cells of about
+    `cell_rows` rows. Pairs pass through one shuffle and none is written. With `epsilon` only
     the nearest max(K, ceil(1 / epsilon)) rows get a value and no value is off by more than
     `epsilon`; then each task keeps only its own nearest rows and nothing else is shuffled.
     """
     train = train.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("int").alias("y"), features)
     shares = None
     n_val = 0
-    for block in reference_blocks(val, label, features, id_col):
+    block_bytes = BLOCK_BYTES
+    if epsilon is None:
+        # three scans read the training rows
+        train = settle(train)
+        width = val.agg(F.max(F.size(features))).first()[0] or 1
+        block_bytes = 8 * width * EXACT_BLOCK
+    for block in reference_blocks(val, label, features, id_col, block_bytes):
         n_val += len(block.ids)
-        part = _exact(train, block, k) if epsilon is None else _nearest(train, block, k, epsilon)
+        part = _exact(train, block, k, cell_rows) if epsilon is None else _nearest(train, block, k, epsilon)
         shares = part if shares is None else shares.unionByName(part)
     sums = shares.groupBy("id").agg(F.sum("s").alias("s"))
     if epsilon is None:
@@ -57,33 +70,116 @@ def value_knn_shapley(
     return joined.select("id", (F.coalesce("s", F.lit(0.0)) / n_val).alias("value"))
 
 
-def _exact(train: DataFrame, block: Block, k: int) -> DataFrame:
-    shared = train.sparkSession.sparkContext.broadcast(block)
+def _exact(train: DataFrame, block: Block, k: int, cell_rows: int) -> DataFrame:
+    """`(id, s)`: sums over the validation rows of a block, without writing a pair.
+
+    Edges cut the order of each validation row into cells of about `cell_rows` rows; rows before a cell are counted
+    in one scan, ranks inside it come from a window over the cell, and what lies behind it is added in a last scan.
+    """
+    edges = _edges(train, block, cell_rows)
+    cells = edges[0].shape[1] + 1
+    n_ref = len(block.ids)
+    starts = np.zeros((n_ref, cells))
+    if cells > 1:
+        counts = add_up(train, _cell_counts(train, block, edges)).get(0)
+        starts[:, 1:] = np.cumsum(counts.reshape(n_ref, cells), axis=1)[:, :-1]
+    shared = train.sparkSession.sparkContext.broadcast((block, edges, starts.astype(np.int64)))
 
     def run(batches):
-        ref = shared.value
-        step = max(1, _TILE // len(ref.ids))
-        for batch in batches:
-            ids, y, x = vector(batch.column(0)), vector(batch.column(1)), matrix(batch.column(2))
-            for at in range(0, len(ids), step):
-                part = slice(at, at + step)
-                d = similarity(x[part], ref.x, "distance")
-                yield _pair_batch(
-                    np.tile(ref.ids, len(d)),
-                    np.repeat(ids[part], len(ref.ids)),
-                    d.ravel(),
-                    (y[part, None] == ref.y[None, :]).ravel(),
-                )
+        ref, cuts, before = shared.value
+        for ids, y, d in _tiles(batches, ref):
+            cell = _cells(d, ids, cuts)
+            yield pa.record_batch(
+                [
+                    pa.array((cell + np.arange(len(ref.ids)) * cells).ravel(), pa.int64()),
+                    pa.array(np.repeat(ids, len(ref.ids)), pa.int64()),
+                    pa.array(d.ravel(), pa.float64()),
+                    pa.array((y[:, None] == ref.y[None, :]).ravel().astype(np.int8), pa.int8()),
+                    pa.array(before[np.arange(len(ref.ids)), cell].ravel(), pa.int64()),
+                ],
+                names=["cell", "id", "distance", "match", "start"],
+            )
 
-    pairs = train.mapInArrow(run, _PAIR_SCHEMA)
-    ordered = Ordered.of(pairs, ["distance", "id"], ["val_id"]).with_rank("r")
+    pairs = train.mapInArrow(run, "cell bigint, id bigint, distance double, match tinyint, start bigint")
+    order = Window.partitionBy("cell").orderBy("distance", "id")
+    ranked = pairs.withColumn("r", F.col("start") + F.row_number().over(order))
+    ranked = ranked.withColumn("last", F.lead("id").over(order).isNull())
     r = F.col("r")
     # what a row at rank r takes from every row in front of it
     taken = F.when((r > k) & (F.col("match") == 1), 1 / (r * (r - 1))).otherwise(F.lit(0.0))
-    weighted = Ordered(ordered.rows.withColumn("taken", taken), ordered.by)
-    summed = weighted.with_totals({"from_here": "taken"}, backwards=True).plain()
-    own = F.col("match") * F.least(F.lit(k), r) / (k * r)
-    return summed.select("id", (own - (F.col("from_here") - F.col("taken"))).alias("s"))
+    to_here = F.sum("taken").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = ranked.withColumn("taken", taken).withColumn("to_here", to_here)
+    own = F.struct(F.lit(0).alias("kind"), "id", (F.col("match") * F.least(F.lit(k), r) / (k * r) + F.col("to_here")).alias("s"))
+    whole = F.struct(F.lit(1).alias("kind"), F.col("cell").alias("id"), F.col("to_here").alias("s"))
+    both = summed.select(F.inline(F.when(F.col("last"), F.array(own, whole)).otherwise(F.array(own))))
+    sums = settle(both.groupBy("kind", "id").agg(F.sum("s").alias("s")))
+    # one number for each cell
+    totals = sums.where("kind = 1").select("id", "s").toArrow()
+    taken_in = np.zeros(n_ref * cells)
+    taken_in[vector(totals["id"])] = vector(totals["s"])
+    behind = taken_in.reshape(n_ref, cells)[:, ::-1].cumsum(axis=1)[:, ::-1]
+    rest = train.sparkSession.sparkContext.broadcast((block, edges, behind))
+
+    def subtract(batches):
+        ref, cuts, from_cell = rest.value
+        for ids, _, d in _tiles(batches, ref):
+            s = -from_cell[np.arange(len(ref.ids)), _cells(d, ids, cuts)].sum(axis=1)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(s, pa.float64())], names=["id", "s"])
+
+    return sums.where("kind = 0").select("id", "s").unionByName(train.mapInArrow(subtract, "id bigint, s double"))
+
+
+def _edges(train: DataFrame, block: Block, cell_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids, in order, of at most MOST_EDGES drawn training rows, a line for each validation row."""
+    wanted = min(train.count() // cell_rows, MOST_EDGES)
+    if not wanted:
+        return np.empty((len(block.ids), 0)), np.empty((len(block.ids), 0), dtype=np.int64)
+    drawn = train.orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow()
+    columns = drawn.column_names
+    d = similarity(matrix(drawn[columns[2]]), block.x, "distance").T
+    ids = np.broadcast_to(vector(drawn["id"]), d.shape)
+    order = np.lexsort((ids, d), axis=1)
+    return np.take_along_axis(d, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
+def _tiles(batches, ref: Block):
+    """(ids, labels, distances to every validation row) of a few training rows at a time."""
+    step = max(1, _TILE // len(ref.ids))
+    for batch in batches:
+        ids, y, x = vector(batch.column(0)), vector(batch.column(1)), matrix(batch.column(2))
+        for at in range(0, len(ids), step):
+            part = slice(at, at + step)
+            yield ids[part], y[part], similarity(x[part], ref.x, "distance")
+
+
+def _cells(d: np.ndarray, ids: np.ndarray, edges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many edges lie before each (distance, id)."""
+    cell = np.zeros(d.shape, dtype=np.int64)
+    if not edges[0].shape[1]:
+        return cell
+    for v, (at, name) in enumerate(zip(*edges)):
+        low, high = np.searchsorted(at, d[:, v], "left"), np.searchsorted(at, d[:, v], "right")
+        # ids decide among edges at the row's own distance
+        for first, last in set(zip(low[low < high].tolist(), high[low < high].tolist())):
+            tied = (low == first) & (high == last)
+            low[tied] += np.searchsorted(name[first:last], ids[tied], "left")
+        cell[:, v] = low
+    return cell
+
+
+def _cell_counts(train: DataFrame, block: Block, edges: tuple[np.ndarray, np.ndarray]):
+    shared = train.sparkSession.sparkContext.broadcast((block, edges))
+
+    def partial(batches):
+        ref, cuts = shared.value
+        width = cuts[0].shape[1] + 1
+        total = np.zeros(len(ref.ids) * width)
+        for ids, _, d in _tiles(batches, ref):
+            at = _cells(d, ids, cuts) + np.arange(len(ref.ids)) * width
+            total += np.bincount(at.ravel(), minlength=len(total))
+        yield 0, total
+
+    return partial
 
 
 def _nearest(train: DataFrame, block: Block, k: int, epsilon: float) -> DataFrame:

@@ -405,3 +405,15 @@ def test_frequent_tokens_are_coded_the_same_by_shuffle(spark):
     small = encode_tokens(df, vocab, 4).select("id", "codes")
     large = encode_tokens(df, vocab, 4, max_broadcast=0).select("id", "codes")
     assert small.exceptAll(large).count() == large.exceptAll(small).count() == 0
+
+
+@pytest.mark.parametrize("cell_rows", [3, 40])
+def test_shapley_in_cells_equals_one_cell(spark, cell_rows):
+    rng = np.random.default_rng(8)
+    # few places, so that many distances are equal and edges fall among them
+    rows = [(int(i), int(rng.integers(2)), rng.integers(0, 3, 2).astype(float).tolist()) for i in rng.permutation(120)]
+    train, val = as_frame(spark, rows), as_frame(spark, rows[:15], 1000)
+    whole = {r.id: r.value for r in value_knn_shapley(train, val, k=4).collect()}
+    cut = {r.id: r.value for r in value_knn_shapley(train.repartition(5), val, k=4, cell_rows=cell_rows).collect()}
+    assert whole.keys() == cut.keys() and len(whole) == 120
+    assert max(abs(whole[i] - cut[i]) for i in whole) < 1e-12
