@@ -3,7 +3,8 @@
 Two sets of a and b bits with a similarity of at least t differ in at most (1 - t) / (1 + t) (a + b) bits. If bits
 are dealt into more parts than that, some parts are equal. The index therefore holds one key per (size class, part,
 content of the part), and only rows that meet under a key are compared. With `SPARE` further parts a row whose
-empty parts are no more than those needs to ask by its filled parts only, so nothing meets by being empty.
+empty parts are no more than those needs to ask by its filled parts only, so nothing meets by being empty, and a
+pair has to meet in all but the differing and the empty parts before its bits are compared.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from rowworth.session import settle
 
 #: parts beyond those that differences can fill
-SPARE = 2
-_KEYS = "key bigint, id bigint"
+SPARE = 4
+_KEYS = "key bigint, id bigint, n int, need int"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,27 +52,37 @@ def part_keys(bits: np.ndarray, number: int, high: int, threshold: float) -> tup
 def _index(classes: list[tuple[int, int]], threshold: float, asking: bool):
     lows = np.array([low for low, _ in classes])
 
-    def keys_of(bits: np.ndarray) -> np.ndarray:
+    def keys_of(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(bits)
         least, most = (int(np.ceil(threshold * n - 1e-9)), int(n / threshold + 1e-9)) if asking else (n, n)
         first, last = (int(np.searchsorted(lows, size, "right")) - 1 for size in (max(least, 1), most))
-        out = []
+        out, need = [], []
         for number in range(first, last + 1):
             keys, filled = part_keys(bits, number, classes[number][1], threshold)
-            if asking and (filled == 0).sum() <= SPARE:
+            empty = int((filled == 0).sum())
+            if asking and empty <= SPARE:
                 keys = keys[filled > 0]
             out.append(keys)
-        return np.concatenate(out)
+            need.append(np.full(len(keys), SPARE + 1 - empty if empty <= SPARE else SPARE + 1))
+        return np.concatenate(out), np.concatenate(need)
 
     def run(batches):
         for batch in batches:
             ids, sets = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             ends = sets.offsets.to_numpy()
             flat = sets.values.to_numpy(zero_copy_only=False)
-            keys = [keys_of(flat[low:high]) for low, high in zip(ends[:-1], ends[1:])]
-            repeated = np.repeat(ids, [len(k) for k in keys])
-            joined = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
-            yield pa.record_batch([pa.array(joined, pa.int64()), pa.array(repeated, pa.int64())], names=["key", "id"])
+            found = [keys_of(flat[low:high]) for low, high in zip(ends[:-1], ends[1:])]
+            times = [len(keys) for keys, _ in found]
+            joined, need = (np.concatenate([f[i] for f in found] or [np.empty(0, dtype=np.int64)]) for i in (0, 1))
+            yield pa.record_batch(
+                [
+                    pa.array(joined, pa.int64()),
+                    pa.array(np.repeat(ids, times), pa.int64()),
+                    pa.array(np.repeat(np.diff(ends), times), pa.int32()),
+                    pa.array(need, pa.int32()),
+                ],
+                names=["key", "id", "n", "need"],
+            )
 
     return run
 
@@ -110,11 +121,14 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: fl
     # an asking row may reach into sizes beyond the largest
     classes = size_classes(int(max(sizes) / threshold) + 1, threshold)
     asked = left.mapInArrow(_index(classes, threshold, asking=True), _KEYS)
-    held = right.mapInArrow(_index(classes, threshold, asking=False), _KEYS).withColumnRenamed("id", "ref_id")
-    # a pair meets under many keys: it is kept once before any bits are fetched
-    met = asked.join(held, "key")
+    held = right.mapInArrow(_index(classes, threshold, asking=False), _KEYS)
+    held = held.select("key", F.col("id").alias("ref_id"), F.col("n").alias("ref_n"))
+    # a pair meets under many keys: it is kept once, if they are enough, before any bits are fetched
+    alike = F.least("n", "ref_n") / F.greatest("n", "ref_n") >= threshold
+    met = asked.join(held, "key").where(alike)
     met = met.where(F.col("id") < F.col("ref_id")) if alone else met
-    pairs = met.select("id", "ref_id").distinct()
+    pairs = met.groupBy("id", "ref_id").agg(F.count(F.lit(1)).alias("_met"), F.max("need").alias("_need"))
+    pairs = pairs.where(F.col("_met") >= F.col("_need")).select("id", "ref_id")
     fetched = pairs.join(left.withColumnRenamed("bits", "_mine"), "id").join(
         right.select(F.col("id").alias("ref_id"), F.col("bits").alias("_theirs")), "ref_id"
     )

@@ -117,6 +117,9 @@ def _exact(train: DataFrame, block: Block, k: int, cell_rows: int) -> DataFrame:
     totals = sums.where("kind = 1").select("id", "s").toArrow()
     taken_in = np.zeros(n_ref * cells)
     taken_in[vector(totals["id"])] = vector(totals["s"])
+    own_sums = sums.where("kind = 0").select("id", "s")
+    if cells == 1:
+        return own_sums.select("id", (F.col("s") - float(taken_in.sum())).alias("s"))
     behind = taken_in.reshape(n_ref, cells)[:, ::-1].cumsum(axis=1)[:, ::-1]
     rest = train.sparkSession.sparkContext.broadcast((block, edges, behind))
 
@@ -126,7 +129,7 @@ def _exact(train: DataFrame, block: Block, k: int, cell_rows: int) -> DataFrame:
             s = -from_cell[np.arange(len(ref.ids)), _cells(d, ids, cuts)].sum(axis=1)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(s, pa.float64())], names=["id", "s"])
 
-    return sums.where("kind = 0").select("id", "s").unionByName(train.mapInArrow(subtract, "id bigint, s double"))
+    return own_sums.unionByName(train.mapInArrow(subtract, "id bigint, s double"))
 
 
 def _edges(train: DataFrame, block: Block, cell_rows: int) -> tuple[np.ndarray, np.ndarray]:
