@@ -178,6 +178,7 @@ def test_every_method_finds_planted_noise(spark):
     fitted = boosting.fit_boosters(train, rounds=10, depth=2)[0]
     found["mvs_ensemble"] = boosting.value_mvs(train, fitted)
     found["leaf_ensemble"] = boosting.value_leaf_influence(train, fitted, val)
+    found["reinforce"] = value_reinforce(train, val)
     gains = {name: area(valued.select("id", "value"), noisy) for name, valued in found.items()}
     assert {n: g for n, g in gains.items() if g < 0.1} == {}
 
@@ -417,3 +418,19 @@ def test_shapley_in_cells_equals_one_cell(spark, cell_rows):
     cut = {r.id: r.value for r in value_knn_shapley(train.repartition(5), val, k=4, cell_rows=cell_rows).collect()}
     assert whole.keys() == cut.keys() and len(whole) == 120
     assert max(abs(whole[i] - cut[i]) for i in whole) < 1e-12
+
+
+def test_reinforced_values_for_numbers(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(240, 2))
+    y = 10 + x @ [2.0, -1.0]
+    wrong = rng.random(240) < 0.15
+    rows = [(i, float(y[i] + (8 if wrong[i] else 0)), x[i].tolist()) for i in range(200)]
+    clean = [(i, float(y[i]), x[i].tolist()) for i in range(200, 240)]
+    train, val = (settle(spark.createDataFrame(r, "id long, y double, features array<double>")) for r in (rows, clean))
+    valued = value_reinforce(train, val, steps=3, draws=6, metric="rmspe").collect()
+    bad = [r.value for r in valued if wrong[r.id]]
+    good = [r.value for r in valued if not wrong[r.id]]
+    assert len(valued) == 200 and np.mean(bad) < np.mean(good)
+    with pytest.raises(ValueError):
+        value_reinforce(train, val, metric="other")
