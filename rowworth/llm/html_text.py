@@ -24,12 +24,14 @@ _INPUTS = _PATH_DIMS + _MARK_DIMS + _WORD_DIMS + _PLAIN_DIMS
 
 # Fixed values of HTML: elements whose content is no text, that stand alone, that break lines.
 _NO_TEXT = set(
-    "script style noscript template svg math iframe object select option button textarea title canvas audio video map datalist".split()
+    "script style noscript template svg iframe select option button textarea title datalist".split()
 )
 _RAW = set("script style textarea title iframe noscript template".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set(
-    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img "
+    "object audio video canvas map math mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose "
+    "msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation".split()
 )
 # Tag names, class and id words that name what is not the article.
 _OUTSIDE = set(
@@ -39,6 +41,9 @@ _OUTSIDE = set(
     "copyright legal disclaimer skip tags byline meta".split()
 )
 _INSIDE = set("article main content post story entry body text prose".split())
+# What follows these in a class word, or what stands before those, is a state of the element, not its part.
+_HAS = set("has with without no not is hide show".split())
+_STATES = set("open closed enabled disabled on off".split())
 #: names of large parts of a page, each with a feature of its own
 _MARKS = {
     word: slot
@@ -50,6 +55,18 @@ _MARKS = {
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
+# steps times pages that are labelled at once; longer pages go alone, in windows of as many blocks
+_CELLS = 4096
+
+
+def name_words(value: str) -> list[str]:
+    """The words of a class, id, role or label that may name a part of the page: none of `has-sidebar` or `comments-open`."""
+    out = []
+    for token in value.split():
+        pieces = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+        pieces = pieces[: next((i for i, piece in enumerate(pieces) if piece in _HAS), len(pieces))]
+        out += [] if pieces and pieces[-1] in _STATES else pieces
+    return out
 
 
 def page_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
@@ -112,8 +129,9 @@ def page_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if name in _VOID or found[3].endswith("/"):
             continue
         words = [name]
-        for _, double, single, bare in _NAMES.findall(found[3]):
-            words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", double or single or bare).lower())
+        # classes of the whole page name none of its parts
+        for _, double, single, bare in _NAMES.findall(found[3]) if name not in ("html", "body") else ():
+            words += name_words(double or single or bare)
         stack.append((name, tuple(words)))
         if name in _RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -157,12 +175,14 @@ def text_features(text: str, linked: int) -> np.ndarray:
     return out
 
 
-def block_features(blocks: list[tuple]) -> np.ndarray:
+def block_features(blocks: list[tuple], first: int = 0, total: int | None = None) -> np.ndarray:
     """A vector for each block: hashed words of the whole path (deeper ones count more), names of large parts of the page
     (deeper ones among them count more), hashed words, plain numbers.
 
     A block is what page_blocks gives, or what `taught` gives: with the length and features of its whole text.
+    `blocks` may be a window of a page of `total` blocks that starts at the one numbered `first`.
     """
+    total = len(blocks) if total is None else total
     out = np.zeros((len(blocks), _INPUTS))
     of_path: dict[tuple[str, ...], np.ndarray] = {}
     for i, (text, path, linked, *known) in enumerate(blocks):
@@ -170,7 +190,7 @@ def block_features(blocks: list[tuple]) -> np.ndarray:
             of_path[path] = path_features(path)
         out[i, : _PATH_DIMS + _MARK_DIMS] = of_path[path]
         out[i, _PATH_DIMS + _MARK_DIMS :] = known[1] if known else text_features(text, linked)
-        out[i, -3:-1] = i / len(blocks), (len(blocks) - 1 - i) / len(blocks)
+        out[i, -3:-1] = (first + i) / total, (total - 1 - first - i) / total
     return out
 
 
@@ -248,6 +268,14 @@ def vary(blocks, others, rng) -> list:
     return page
 
 
+def unnamed(blocks: list[tuple], rng) -> list[tuple]:
+    """A page without some or all of the names that tell its parts, so that texts and neighbours have to."""
+    names = sorted({w for _, path, *_ in blocks for w in path if w in _OUTSIDE or w in _INSIDE and w != "body"})
+    share = (0.5, 1.0)[rng.integers(2)]
+    dropped = {w for w in names if rng.random() < share}
+    return [(text, tuple("div" if w in dropped else w for w in path), *rest) for text, path, *rest in blocks]
+
+
 class BlockLabeller:
     """A bidirectional LSTM with one output for each block."""
 
@@ -325,18 +353,47 @@ class BlockLabeller:
                     second[k] = 0.999 * second[k] + 0.001 * g * g
                     self.w[k] = self.w[k] - 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Probabilities for the blocks of each page; pages of similar length go together."""
+    def label(self, pages: list, features=lambda page, low, high: page[low:high]) -> list[np.ndarray]:
+        """Probabilities for the blocks of each page; pages of similar length go together, long ones alone.
+
+        `features(page, low, high)` gives the vectors of some blocks; those of at most _CELLS blocks are held at a time.
+        """
         out: list[np.ndarray] = [np.empty(0)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        for low in range(0, len(order), 64):
-            part = order[low : low + 64]
-            x, mask, _ = pad([(pages[i], np.zeros(len(pages[i]))) for i in part])
+        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: -len(pages[i]))
+        while order:
+            longest = len(pages[order[0]])
+            if longest > _CELLS:
+                out[order[0]] = self._label_long(lambda low, high, page=pages[order[0]]: features(page, low, high), longest)
+                order = order[1:]
+                continue
+            part, order = order[: min(64, _CELLS // longest)], order[min(64, _CELLS // longest) :]
+            x, mask, _ = pad([(features(pages[i], 0, len(pages[i])), np.zeros(len(pages[i]))) for i in part])
             p = self.forward(x, mask)[0]
             for column, i in enumerate(part):
                 out[i] = p[: len(pages[i]), column]
         return out
 
+    def _label_long(self, features, total: int) -> np.ndarray:
+        """The same for one page, window by window: only the outputs of the windows before are kept."""
+        windows = [(low, min(low + _CELLS, total)) for low in range(0, total, _CELLS)]
+        n = self.hidden
+        logit = np.full(total, self.w["d"][0])
+        for place, side in enumerate("fb"):
+            h, c = np.zeros(n), np.zeros(n)
+            out = self.w["o"][place * n : (place + 1) * n, 0]
+            for low, high in windows if side == "f" else reversed(windows):
+                x = features(low, high)
+                drive = x @ self.w[f"x{side}"] + self.w[f"c{side}"]
+                if side == "f":
+                    logit[low:high] += x @ self.w["o"][2 * n :, 0]
+                for t in range(high - low) if side == "f" else range(high - low - 1, -1, -1):
+                    gates = drive[t] + h @ self.w[f"h{side}"]
+                    i, f, o = 1 / (1 + np.exp(-gates[: 3 * n].reshape(3, n)))
+                    c = f * c + i * np.tanh(gates[3 * n :])
+                    h = o * np.tanh(c)
+                    logit[low + t] += h @ out
+        return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
+
 
 def pad(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     steps = max(len(y) for _, y in pages)
@@ -352,8 +409,10 @@ def train_labeller(parsed: list[list[tuple]]) -> BlockLabeller:
     rng = np.random.default_rng(13)
     every = [block for b in parsed for block in b]
     varied = parsed + [vary(b, every, rng) for b in parsed for _ in range(2)]
+    lessons = [(block_features(b), silver_labels(b)) for b in varied]
+    lessons += [(block_features(unnamed(b, rng)), silver_labels(b)) for b in parsed]
     labeller = BlockLabeller(_INPUTS)
-    labeller.fit([(block_features(b), silver_labels(b)) for b in varied])
+    labeller.fit(lessons)
     return labeller
 
 
@@ -393,7 +452,7 @@ def _extract(labeller: BlockLabeller | None):
                     raise ValueError("pages have text, but none of them could train the labeller")
                 yield _texts(ids, urls, [""] * len(ids))
                 continue
-            labels = labeller.label([block_features(b) if b else np.empty((0, 1)) for b in parsed])
+            labels = labeller.label(parsed, lambda b, low, high: block_features(b[low:high], low, len(b)))
             texts = ["\n".join(text for (text, _, _), p in zip(b, y) if p >= 0.5) for b, y in zip(parsed, labels)]
             yield _texts(ids, urls, texts)
 
@@ -412,8 +471,8 @@ def extract_text(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
 
     At most `fit_pages` pages of any size, drawn by a hash, train the labeller, each by at most FIT_BLOCKS
     blocks and FIT_BYTES bytes of them; its labels for training come
-    from element names and their class and id words, and variations of the pages show it
-    containers and surroundings that the given pages lack. It then reads every whole page as a
+    from element names and their class and id words (words of states such as `has-sidebar`, and of the page as a whole, do not
+    count), and variations of the pages show it containers and surroundings that the given pages lack, and parts without names. It then reads every whole page as a
     sequence of blocks and decides each one with the document on both sides of it. Blocks that
     are kept are joined by line breaks.
 
