@@ -17,6 +17,8 @@ FIT_ROWS = 16_000
 #: words and word beginnings that the classifier knows
 FEATURES = 6_000
 VOTERS = 24
+#: words and beginnings that vote: the strongest ones, and how much likelier each has to be in marked rows at least
+VOTING, LIKELIER = 4 * VOTERS, 5.0
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 _STEMS = (4, 5, 6)
@@ -190,8 +192,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, f
         seen = np.array([r.docs for r in top])
         rows = fit.mapInArrow(_known_features(known), "places array<long>, toxic int").collect()
         # voters: the features that speak for the class, dealt out by rank, so that each is a lexicon of its own
-        speak = np.flatnonzero(strength > 4.0)
-        speak = speak[np.argsort(-strength[speak] * np.sqrt(seen[speak]), kind="stable")]
+        speak = np.flatnonzero(strength > np.log(LIKELIER))
+        speak = speak[np.argsort(-strength[speak] * np.sqrt(seen[speak]), kind="stable")][:VOTING]
         voter_of = np.full(len(known), -1)
         voter_of[speak] = np.arange(len(speak)) % VOTERS
         votes = np.zeros((len(rows), VOTERS + 1))
@@ -201,7 +203,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, f
             votes[i, -1] = r.toxic
         start = np.array([0.9 if r.toxic else 0.1 for r in rows])
         model = LabelModel(votes, start, ones / total)
-        posterior = model.posterior(votes)
+        # no voter has anything to say against the mark of a row without votes
+        unheard = votes[:, :-1].sum(axis=1) == 0
+        posterior = np.where(unheard, votes[:, -1], model.posterior(votes))
         weights, bias = fit_linear([r.places for r in rows], posterior, len(known))
     scored = docs.select("doc_id", "text").mapInArrow(_scores(known, weights, bias), "doc_id long, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
