@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -398,6 +399,14 @@ def test_quality(spark):
     assert quality.importance_resample(frame(spark, []), labels).count() == 0
 
 
+@pytest.mark.parametrize("sf, recall, false", [("0.01", 0.25, 0.05), ("0.1", 0.7, 0.005)])
+def test_toxic_documents_that_were_held_out(spark, sf, recall, false):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{name}.parquet") for name in ("documents", "labels"))
+    scored = toxicity.score_toxicity(docs, labels).join(labels, "doc_id").where("held_out")
+    found = {r.toxic: r.share for r in scored.groupBy("toxic").agg(F.avg("predicted").alias("share")).collect()}
+    assert found[1] >= recall and found[0] <= false
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     bad = [f"vile{c}" for c in "abcdefgh"]
@@ -489,6 +498,38 @@ def test_outer_elements_count_at_any_depth(spark):
     assert {r.page_id: r.text for r in html_text.extract_text(df).collect()} == want
 
 
+def test_names_of_states_and_missing_names_do_not_cost_the_article():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()[:120]
+    labeller = html_text.train_labeller([b for b in map(html_text.taught, pages) if b])
+
+    def kept(change):
+        parsed = [html_text.page_blocks(change(p)) for p in pages]
+        return np.concatenate(labeller.label(parsed, lambda b, low, high: html_text.block_features(b[low:high], low, len(b)))) >= 0.5
+
+    wanted = np.concatenate([html_text.silver_labels(html_text.page_blocks(p)) for p in pages]) == 1
+    for change in (
+        lambda p: p,
+        lambda p: p.replace("<body>", '<body class="has-sidebar comments-open">'),
+        lambda p: p.replace("<article>", '<article class="has-sidebar post-with-comments">'),
+        lambda p: p.replace("<article>", "<div>").replace("</article>", "</div>"),
+        lambda p: re.sub(' class="[^"]*"', "", re.sub("<(/?)(article|main|nav|footer|header|aside)\\b[^>]*>", r"<\1div>", p)),
+    ):
+        found = kept(change)
+        assert (found & wanted).sum() >= 0.95 * wanted.sum() and (found & ~wanted).sum() <= 0.05 * (~wanted).sum()
+
+
+def test_formulas_are_text_and_long_pages_go_in_windows():
+    assert [b[0] for b in html_text.page_blocks("<p>Energy is <math><mi>E</mi></math> so</p>")] == ["Energy is E so"]
+    net = html_text.BlockLabeller(3, hidden=4)
+    page = np.random.RandomState(1).normal(size=(2 * html_text._CELLS + 7, 3))
+    (alone,) = net.label([page])
+    whole = net.forward(page[:, None], np.ones((len(page), 1), dtype=bool))[0][:, 0]
+    assert np.abs(alone - whole).max() < 1e-12
+    short = [page[:5], page[:0], page[:900]]
+    for given, found in zip(short, net.label(short)):
+        assert len(given) == len(found)
+
+
 def test_labeller_learns_and_its_gradient_is_right():
     rng = np.random.RandomState(0)
     net = html_text.BlockLabeller(3, hidden=4)
