@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowworth.llm import (
-    decontaminate, html_text, near_text, near_vectors, packing, prefix_trie, quality, secrets, spelling, suffix_family, token_store, toxicity, warc,
+    counterparts, decontaminate, html_text, near_text, near_vectors, packing, prefix_trie, quality, secrets, spelling, suffix_family, token_store, toxicity, warc,
 )
 from rowworth.llm.text import lean_batches
 from rowworth.session import scratch_folder, ship_package
@@ -79,12 +79,12 @@ def tokens_perfect_hash(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.token_digests(spark, target, docs.select(docs["doc_id"].alias("key")))
 
 
-@query("op5_kmeans_near_vectors")
+@query("op5_kmeans_near_vectors", sql=counterparts.VECTORS)
 def vectors_kmeans(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, folder, "embeddings"), threshold=0.93)
 
 
-@query("op10_warc_archive")
+@query("op10_warc_archive", sql=counterparts.ARCHIVE)
 def warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_folder(spark)
     warc.write_archives(table(spark, folder, "pages"), target)
@@ -97,7 +97,12 @@ def decontamination_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@query("op4_secret_ownership")
+@query("op4_secret_ownership", sql=counterparts.secret_spans(secrets.ASSIGN_HEAD, [
+    ("assign", secrets.ASSIGN, "regexp_replace(m, HEAD, '')", "length(v) >= 12"),
+    ("access", secrets.ACCESS, "m", "length(m) >= 18"),
+    ("hex", secrets.HEX, "m", "true"),
+    ("opaque", secrets.OPAQUE, "m", "regexp_matches(m, '^(-----|gh[pousr]_|eyJ)') OR (regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]'))"),
+]))
 def secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = secrets.find_secrets(docs, "source", F.concat_ws("/", docs["source"], docs["lang"]))
@@ -119,16 +124,16 @@ def html_lstm(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(table(spark, folder, "pages"))
 
 
-@query("op12_spelling_fm_index")
+@query("op12_spelling_fm_index", sql=counterparts.SPELLING)
 def spelling_fm_index(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, folder, "documents"))
 
 
-@query("op13_double_array_trie")
+@query("op13_double_array_trie", sql=counterparts.TRIE)
 def trie_double_array(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
 
 
-@query("op11_suffix_array_dedup")
+@query("op11_suffix_array_dedup", sql=counterparts.REPEATS)
 def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_family.remove_repeats(table(spark, folder, "documents")).drop("spans")
