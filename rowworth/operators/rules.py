@@ -19,6 +19,29 @@ DEFAULT_RANGES = {
 }
 
 
+#: patterns of a catalogue, at most; each is an expression of the row's projection
+MOST_RULES = 2000
+
+
+def read_rules(catalogue: DataFrame, name: str = "name", pattern: str = "pattern", most: int = MOST_RULES) -> list[tuple[str, str]]:
+    """The (name, pattern) pairs of a catalogue table, each once, by name; rows without a pattern are left out.
+
+    A catalogue is configuration: one of more than `most` rules is refused.
+    """
+    rules = catalogue.where(F.col(pattern).isNotNull()).select(F.coalesce(F.col(name), F.lit("")), pattern).distinct()
+    found = sorted(tuple(r) for r in rules.limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"the catalogue has more than {most} rules")
+    return found
+
+
+def rules_found(df: DataFrame, patterns: Sequence[tuple[str, str]], text: str = "text", out: str = "rules") -> DataFrame:
+    """Add the names of the rules found in a row, in the order of the catalogue; an empty array for null texts."""
+    hits = [F.when(F.col(text).rlike(pattern), F.lit(name)) for name, pattern in patterns]
+    nothing = F.array().cast("array<string>")
+    return df.withColumn(out, F.filter(F.array(*hits), lambda n: n.isNotNull()) if hits else nothing)
+
+
 def rule_alerts(
     df: DataFrame,
     patterns: Sequence[tuple[str, str]],
@@ -38,7 +61,7 @@ def rule_alerts(
         if high is not None:
             broken = broken | (F.col(column) > high)
         hits.append(F.coalesce(broken, F.lit(False)).cast("int"))
-    total = F.lit(0)
-    for hit in hits:
-        total = total + hit
-    return df.withColumn("alerts", total).withColumn("alert", (F.col("alerts") > 0).cast("int"))
+    # in pairs, so that the sum of a large catalogue is no deep expression
+    while len(hits) > 1:
+        hits = [a + b for a, b in zip(hits[::2], hits[1::2])] + hits[len(hits) - len(hits) % 2 :]
+    return df.withColumn("alerts", hits[0] if hits else F.lit(0)).withColumn("alert", (F.col("alerts") > 0).cast("int"))

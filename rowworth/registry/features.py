@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rowworth.functions import columns as C
 from rowworth.operators import features as X
 from rowworth.operators.ordering import attach_totals
-from rowworth.operators.rules import rule_alerts
+from rowworth.operators.rules import read_rules, rule_alerts, rules_found
 from rowworth.registry import bindings as B
 from rowworth.registry import query
 from rowworth.registry.metrics import _rounded
@@ -255,3 +255,25 @@ FROM (SELECT doc_id AS id, text AS key, n_chars FROM documents)""",
 def alerts(spark, folder):
     texts = B.spread(B.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "n_chars"))
     return rule_alerts(texts, ALERTS, ranges={"n_chars": (200, 5000)}).select("id", "alerts", "alert")
+
+
+_OPENING = "[A-Za-z]+ [A-Za-z]+"
+
+
+@query(
+    "rule_catalogue",
+    f"""WITH rules AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS name, regexp_extract(text, '{_OPENING}') AS pattern FROM benchmark
+  WHERE regexp_matches(text, '{_OPENING}')),
+hits AS (SELECT doc_id AS id, name FROM documents, rules WHERE regexp_matches(text, pattern))
+SELECT doc_id AS id, count(name) AS alerts, CASE WHEN count(name) > 0 THEN 1 ELSE 0 END AS alert,
+  coalesce(string_agg(name, ',' ORDER BY name), '') AS rules
+FROM documents LEFT JOIN hits ON doc_id = id GROUP BY doc_id""",
+)
+def rule_catalogue(spark, folder):
+    """Rules from a table: the opening words of each benchmark item."""
+    opening = F.regexp_extract("text", _OPENING, 0)
+    rows = B.table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.nullif(opening, F.lit("")).alias("pattern"))
+    rules = read_rules(rows)
+    texts = B.spread(B.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+    found = rules_found(rule_alerts(texts, rules), rules)
+    return found.select("id", F.col("alerts").cast("long").alias("alerts"), "alert", F.array_join("rules", ",").alias("rules"))

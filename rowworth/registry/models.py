@@ -11,8 +11,10 @@ from rowworth.operators.metrics import accuracy, auroc
 from rowworth.operators.ordering import attach_totals
 from rowworth.operators.reinforce import value_reinforce
 from rowworth.operators.split import exclude_split, random_split
+from rowworth.plans.methods import compare_values
 from rowworth.registry import bindings as B
-from rowworth.registry import query
+from rowworth.registry import SQL, query
+from rowworth.registry.valuation import EPOCHS, RATE
 from rowworth.session import settle
 
 
@@ -116,6 +118,25 @@ def leaf_ensemble(spark, folder):
     return T.value_leaf_influence(train, model, val).select("id", "y", F.round("value", 6).alias("value"))
 
 
+# name of a method and the query that holds its SQL
+_NAMED = {
+    "mvs": "value_mvs_ensemble",
+    "leaf_test": "value_leaf_influence_ensemble",
+    "tracin_self": "value_tracin_self",
+    "tracin_test": "value_tracin_test",
+    "tracin_pos": "value_tracin_pos",
+    "shapley": "value_knn_shapley",
+}
+
+
+@query("values_by_name", "\nUNION ALL\n".join(f"SELECT '{name}' AS method, id, value FROM ({SQL[q]})" for name, q in _NAMED.items()))
+def values_by_name(spark, folder):
+    train, val = settled_split(spark, folder)
+    steps = {"epochs": EPOCHS, "rate": RATE}
+    options = {name: BOOSTER if name in ("mvs", "leaf_test") else {"k": 5} if name == "shapley" else steps for name in _NAMED}
+    return compare_values(train, val, list(_NAMED), options=options).withColumn("value", F.round("value", 6))
+
+
 def pool_and_rest(spark, folder):
     """A third of the vectors with a value that depends smoothly on the features."""
     rows = B.vectors(spark, folder)
