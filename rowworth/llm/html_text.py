@@ -44,6 +44,8 @@ _INSIDE = set("article main content post story entry body text prose".split())
 # What follows these in a class word, or what stands before those, is a state of the element, not its part.
 _HAS = set("has with without no not is hide show".split())
 _STATES = set("open closed enabled disabled on off".split())
+# Inside these an article is none of the page's.
+_SURROUNDINGS = set("comment comments related sidebar aside nav footer form ad ads".split())
 #: names of large parts of a page, each with a feature of its own
 _MARKS = {
     word: slot
@@ -69,17 +71,70 @@ def name_words(value: str) -> list[str]:
     return out
 
 
-def page_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
+class Path:
+    """The names of the open elements, from the outside in, as a chain that elements share.
+
+    What features and labels need of a path is kept by element, so that a page of thousands of
+    elements that are never closed takes no more than that for each of them.
+    """
+
+    __slots__ = ("outer", "names", "count", "weight", "_seen")
+
+    def __init__(self, outer: Path | None, names: tuple[str, ...]):
+        self.outer, self.names = outer, names
+        self.count = len(names) + (outer.count if outer else 0)
+        self.weight = sum(map(len, names)) + (outer.weight if outer else 0)
+        self._seen = None
+
+    def words(self) -> tuple[str, ...]:
+        chain, at = [], self
+        while at is not None:
+            chain.append(at.names)
+            at = at.outer
+        return tuple(name for names in reversed(chain) for name in names)
+
+    def seen(self) -> tuple[np.ndarray, int, bool | None, bool]:
+        """Last place of each slot (words count from 1, names of large parts among themselves), number of the
+        latter, whether the innermost name that says something is of the article, whether one is of its surroundings."""
+        todo, at = [], self
+        while at is not None and at._seen is None:
+            todo.append(at)
+            at = at.outer
+        last, marks, inside, outside = at._seen if at else (np.zeros(_PATH_DIMS + _MARK_DIMS, dtype=np.int32), 0, None, False)
+        for path in reversed(todo):
+            last = last.copy()
+            for place, word in enumerate(path.names, path.count - len(path.names) + 1):
+                last[_slot(word, _PATH_DIMS)] = place
+                if word in _MARKS:
+                    marks += 1
+                    last[_PATH_DIMS + _MARKS[word]] = marks
+                if word in _OUTSIDE or word in _INSIDE and word != "body":
+                    inside = word in _INSIDE
+                outside = outside or word in _SURROUNDINGS
+            path._seen = last, marks, inside, outside
+        return self._seen
+
+    def features(self) -> np.ndarray:
+        """What path_features gives for its words."""
+        last, marks, _, _ = self.seen()
+        depth = np.concatenate([0.05 * (self.count - last[:_PATH_DIMS]), 0.2 * (marks - last[_PATH_DIMS:])])
+        return np.where(last > 0, 1.0 / (1 + depth), 0.0)
+
+
+def shared_blocks(page: str | None) -> list[tuple[str, Path, int]]:
     """(text, path, characters in links) of every block with text, in page order.
 
     A path holds the names of the open elements and the words of their class, id and role, from
     the outside in. Unclosed elements end with their parent, a paragraph or list item also with
     the next one. Character references are decoded, white space becomes one space.
     """
-    blocks: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    blocks: list[tuple[str, Path, int]] = []
+    # open elements with the path up to each one, and the places of each tag among them
+    stack: list[tuple[str, Path]] = []
+    places: dict[str, list[int]] = {}
+    root = Path(None, ())
     pieces: list[str] = []
-    linked = 0
+    linked = silent = 0
     page = page or ""
 
     def flush():
@@ -87,24 +142,26 @@ def page_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if pieces:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                blocks.append((text, tuple(n for tag, names in stack if tag not in _INLINE for n in names), linked))
+                blocks.append((text, stack[-1][1] if stack else root, linked))
         pieces, linked = [], 0
 
-    def close(name: str):
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] == name:
-                if any(tag not in _INLINE for tag, _ in stack[at:]):
-                    flush()
-                del stack[at:]
-                return
+    def last(name: str) -> int:
+        return places[name][-1] if places.get(name) else -1
+
+    def cut(at: int):
+        nonlocal silent
+        while len(stack) > at:
+            tag, _ = stack.pop()
+            places[tag].pop()
+            silent -= tag in _NO_TEXT
 
     at = 0
     while True:
         found = _TAG.search(page, at)
         raw = page[at : found.start() if found else len(page)]
-        if raw and not any(tag in _NO_TEXT for tag, _ in stack):
+        if raw and not silent:
             pieces.append(raw)
-            if any(tag == "a" for tag, _ in stack):
+            if places.get("a"):
                 linked += len(raw)
         if not found:
             break
@@ -113,7 +170,11 @@ def page_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             continue
         name = found[2].lower()
         if found[1]:
-            close(name)
+            place = last(name)
+            if place >= 0:
+                if any(stack[k][0] not in _INLINE for k in range(place, len(stack))):
+                    flush()
+                cut(place)
             continue
         if name == "br":
             pieces.append(" ")
@@ -122,25 +183,33 @@ def page_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             flush()
             if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
                 scope = {"li": "ul ol menu", "td": "tr", "th": "tr", "tr": "table", "dt": "dl", "dd": "dl"}.get(name, "")
-                outer = max((i for i, (tag, _) in enumerate(stack) if tag in scope.split()), default=-1)
-                same = [i for i, (tag, _) in enumerate(stack) if tag == name and i > outer]
-                if same:
-                    del stack[same[-1] :]
+                same = last(name)
+                if same > max(map(last, scope.split()), default=-1):
+                    cut(same)
         if name in _VOID or found[3].endswith("/"):
             continue
         words = [name]
         # classes of the whole page name none of its parts
         for _, double, single, bare in _NAMES.findall(found[3]) if name not in ("html", "body") else ():
             words += name_words(double or single or bare)
-        stack.append((name, tuple(words)))
         if name in _RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            stack.pop()
+            continue
+        path = stack[-1][1] if stack else root
+        places.setdefault(name, []).append(len(stack))
+        silent += name in _NO_TEXT
+        stack.append((name, path if name in _INLINE else Path(path, tuple(words))))
     flush()
     return blocks
 
 
+def page_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
+    """The blocks of shared_blocks, each with the words of its path."""
+    words: dict[Path, tuple[str, ...]] = {}
+    return [(text, words[path] if path in words else words.setdefault(path, path.words()), linked) for text, path, linked in shared_blocks(page)]
+
+
 def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % size
 
@@ -184,10 +253,10 @@ def block_features(blocks: list[tuple], first: int = 0, total: int | None = None
     """
     total = len(blocks) if total is None else total
     out = np.zeros((len(blocks), _INPUTS))
-    of_path: dict[tuple[str, ...], np.ndarray] = {}
+    of_path: dict[tuple[str, ...] | Path, np.ndarray] = {}
     for i, (text, path, linked, *known) in enumerate(blocks):
         if path not in of_path:
-            of_path[path] = path_features(path)
+            of_path[path] = path.features() if isinstance(path, Path) else path_features(path)
         out[i, : _PATH_DIMS + _MARK_DIMS] = of_path[path]
         out[i, _PATH_DIMS + _MARK_DIMS :] = known[1] if known else text_features(text, linked)
         out[i, -3:-1] = (first + i) / total, (total - 1 - first - i) / total
@@ -199,10 +268,15 @@ def silver_labels(blocks: list[tuple]) -> np.ndarray:
     out = np.zeros(len(blocks))
     for i, (text, path, linked, *known) in enumerate(blocks):
         length = known[0] if known else len(text)
-        named = [w for w in path if w in _OUTSIDE or w in _INSIDE and w != "body"]
-        out[i] = named[-1] in _INSIDE if named else float(length > 80 and linked < length / 3)
+        if isinstance(path, Path):
+            _, _, inside, outside = path.seen()
+        else:
+            named = [w for w in path if w in _OUTSIDE or w in _INSIDE and w != "body"]
+            inside = named[-1] in _INSIDE if named else None
+            outside = any(w in _SURROUNDINGS for w in path)
+        out[i] = float(length > 80 and linked < length / 3) if inside is None else inside
         # an article inside a comment list is a comment
-        if any(w in ("comment", "comments", "related", "sidebar", "aside", "nav", "footer", "form", "ad", "ads") for w in path):
+        if outside:
             out[i] = 0
     return out
 
@@ -229,10 +303,10 @@ def taught(page: str | None) -> list[tuple]:
     A page of many or heavy blocks hands over the ends of its runs of equal labels, so that no page is
     too large to take part and menus of any length leave room for the article.
     """
-    blocks = page_blocks(page)
+    blocks = shared_blocks(page)
     labels = silver_labels(blocks)
     # variations use less than 400 characters of a text
-    weights = [4 * min(len(text), 400) + sum(map(len, path)) + 8 * (_WORD_DIMS + _PLAIN_DIMS) for text, path, _ in blocks]
+    weights = [4 * min(len(text), 400) + path.weight + 8 * (_WORD_DIMS + _PLAIN_DIMS) for text, path, _ in blocks]
     # a block may weigh too much by its path alone
     light = [i for i, w in enumerate(weights) if w <= FIT_BYTES]
     most = FIT_BLOCKS
@@ -241,7 +315,7 @@ def taught(page: str | None) -> list[tuple]:
         most //= 2
         kept = thinned(labels[light], most)
     found = (blocks[light[i]] for i in kept)
-    return [(text[:400], path, linked, len(text), text_features(text, linked)) for text, path, linked in found]
+    return [(text[:400], path.words(), linked, len(text), text_features(text, linked)) for text, path, linked in found]
 
 
 def vary(blocks, others, rng) -> list:
@@ -446,7 +520,7 @@ def training_sample(pages: DataFrame, most: int) -> list[list[tuple]]:
 def _extract(labeller: BlockLabeller | None):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, urls, pages in batches(["page_id", "url", "html"], rows, 128):
-            parsed = [page_blocks(p) for p in pages]
+            parsed = [shared_blocks(p) for p in pages]
             if labeller is None:
                 if any(parsed):
                     raise ValueError("pages have text, but none of them could train the labeller")
