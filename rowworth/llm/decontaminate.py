@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowworth.llm.arrays import scanned
 from rowworth.session import broadcast_if_small, settle
 
 WORDS = 5
@@ -68,7 +69,12 @@ def _blocks(radius: int) -> Column:
 
 def _numbered(hashes: Column) -> Column:
     """Repeated shingles made distinct by their occurrence, so that set overlap is multiset overlap."""
-    again = F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, 1, i), lambda x: x == h))))
+    def step(state, h):
+        times = F.when(state["last"].eqNullSafe(h), state["times"] + 1).otherwise(F.lit(0))
+        return F.struct(h.alias("last"), times.alias("times")), F.array(F.xxhash64(h, times))
+
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("times"))
+    again = scanned(F.array_sort(hashes), start, step, "bigint")
     first = F.transform(hashes, lambda h: F.xxhash64(h, F.lit(0)))
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), first).otherwise(again)
 
@@ -101,33 +107,32 @@ def find_leaks(
     longest = items.agg(F.max("long")).first()[0] or 0
     if longest >= 1 << (_LANES - 1):
         raise ValueError("an item has more than 2^20 words")
-    starts = settle(items.select(F.explode("item").alias("h"), "long").distinct())
-    known = broadcast_if_small(starts.select("h").distinct())
+    starts = items.select(F.explode("item").alias("h"), "long").groupBy("h").agg(F.array_sort(F.collect_set("long")).alias("longs"))
+    known = broadcast_if_small(settle(starts))
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     # an outer explode: a plain one puts a filter on the array, which is moved below the words and
     # has them made anew for every shingle; the join drops what is null
     hashed = with_shingles(keyed, size, "hashes")
     hits = hashed.select("doc_id", "version", F.posexplode_outer("hashes").alias("at", "h")).join(known, "h")
-    by_doc = hits.distinct().groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("hits"))
-    ahead = by_doc.select(
-        "doc_id", "version",
-        F.explode(
-            F.transform("hits", lambda x, i: F.struct(x["at"].alias("at"), x["h"].alias("h"), F.slice(F.col("hits.at"), i + 1, max(longest, 1)).alias("next")))
-        ).alias("w"),
-    ).select("doc_id", "version", F.col("w.at").alias("at"), F.col("w.h").alias("h"), F.col("w.next").alias("next"))
-    least = F.greatest(F.ceil(F.col("long") * need - 1e-9), F.lit(1)).cast("int")
-    full = ahead.join(broadcast_if_small(starts), "h").where(F.get("next", least - 1) < F.col("at") + F.col("long"))
-    places = settle(full.groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "long")).alias("places")))
+    by_doc = hits.distinct().groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("at", "longs"))).alias("hits"))
+
+    def starting(x, i):
+        """Sizes of the items of this shingle that have enough hits between here and their end."""
+        return F.transform(
+            F.filter(x["longs"], lambda size_: F.get(F.col("hits"), i + F.greatest(F.ceil(size_ * need - 1e-9), F.lit(1)).cast("int") - 1)["at"] < x["at"] + size_),
+            lambda size_: F.struct(x["at"].alias("at"), size_.alias("long")),
+        )
+
+    places = by_doc.select("doc_id", "version", F.flatten(F.transform("hits", starting)).alias("places"))
+    places = settle(places.where(F.size("places") > 0))
 
     same = keyed["doc_id"].eqNullSafe(places["doc_id"]) & keyed["version"].eqNullSafe(places["version"])
     found = keyed.join(broadcast_if_small(places), same).select(keyed["doc_id"], keyed["version"], "places", "text")
     found = with_shingles(found.dropDuplicates(["doc_id", "version"]), size, "hashes")
     names = ["doc_id", "version"] if versions else ["doc_id"]
-    cut = found.select(
-        *names,
-        F.explode_outer(F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["long"].alias("long"), F.slice(F.col("hashes"), p["at"] + 1, p["long"]).alias("window")))).alias("w"),
-    ).select(*names, "w.*")
+    placed = found.select(*names, "hashes", F.explode_outer("places").alias("p"))
+    cut = placed.select(*names, "p.at", "p.long", F.slice("hashes", F.col("p.at") + 1, F.col("p.long")).alias("window"))
 
     def printed(df, column):
         second = F.transform(column, lambda h: F.xxhash64(h))

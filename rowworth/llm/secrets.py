@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowworth.llm.arrays import scanned
 from rowworth.session import settle
 
 # The base patterns.
@@ -34,18 +35,38 @@ def _spans(text: Column, rank: int, pattern: str, value, holds) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("match")))
     nothing = F.array().cast(f"array<{_SPAN}>")
-    zero = F.struct(F.lit(0).alias("at"), nothing.alias("found"))
 
-    def step(state, s):
-        start = state["at"] + s["gap"]
+    def step(at, s):
+        start = at + s["gap"]
         end = start + F.coalesce(F.char_length(s["match"]), F.lit(0))
         span = F.struct(
             start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(KINDS[rank]).alias("kind"), value(s["match"]).alias("value")
         )
-        kept = F.when(holds(s["match"]), F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(end.alias("at"), kept.alias("found"))
+        return end, F.when(holds(s["match"]), F.array(span)).otherwise(nothing)
+
+    return F.when(F.size(matches) > 0, scanned(steps, F.lit(0), step, _SPAN)).otherwise(nothing)
+
+
+def _outside_base(spans: Column, element: str) -> Column:
+    """The spans, sorted, without the opaque ones that are copied or meet a base span.
+
+    A base span that meets one either stands before it and ends behind its start, or is the next
+    base span and starts before its end: two passes see both.
+    """
+    nothing = F.array().cast(f"array<{element}>")
+
+    def forward(reach, s):
+        base = s["rank"] < 3
+        keep = base | (s["live"] & (reach <= s["start"]))
+        return F.when(base, F.greatest(reach, s["end"])).otherwise(reach), F.when(keep, F.array(s)).otherwise(nothing)
+
+    def backward(next_, s):
+        base = s["rank"] < 3
+        keep = base | next_.isNull() | (next_ >= s["end"])
+        return F.when(base, s["start"]).otherwise(next_), F.when(keep, F.array(s)).otherwise(nothing)
 
-    return F.when(F.size(matches) > 0, F.aggregate(steps, zero, step)["found"]).otherwise(nothing)
+    before = scanned(spans, F.lit(0), forward, element)
+    return F.reverse(scanned(F.reverse(before), F.lit(None).cast("int"), backward, element))
 
 
 def span_array(text: Column) -> Column:
@@ -116,15 +137,8 @@ def find_secrets(
         ).alias("s"),
     )
     spans = marked.groupBy("_row").agg(F.array_sort(F.collect_list("s")).alias("spans"))
-    base = F.filter("spans", lambda s: s["rank"] < 3)
-    spans = spans.withColumn(
-        "spans",
-        F.filter(
-            "spans",
-            lambda s: (s["rank"] < 3)
-            | (s["live"] & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
-        ),
-    )
+    element = spans.schema["spans"].dataType.elementType.simpleString()
+    spans = spans.withColumn("spans", F.when(F.exists("spans", lambda s: s["rank"] == 3), _outside_base(F.col("spans"), element)).otherwise(F.col("spans")))
     nothing = F.array().cast(spans.schema["spans"].dataType)
     return rows.join(spans, "_row", "left").select("doc_id", *carry, F.coalesce("spans", nothing).alias("spans"))
 
