@@ -153,8 +153,10 @@ def similarity_threshold(spark, folder):
     classes = settle(fingerprint_classes(texts.select("id", C.hashed_fingerprint(listed, radius=0).alias("bits"))))
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
     alone = classes.where(F.col("id") == F.col("class_id")).select("id", "bits")
-    pairs = settle(similar_pairs(alone, threshold=0.8))
-    both = pairs.unionByName(pairs.select(F.col("id").alias("ref_id"), F.col("ref_id").alias("id"), "similarity"))
+    pairs = similar_pairs(alone, threshold=0.8)
+    # each pair from both ends, in one pass over the pairs
+    ends = F.array(*[F.struct(F.col(a).alias("id"), F.col(b).alias("ref_id")) for a, b in (("id", "ref_id"), ("ref_id", "id"))])
+    both = pairs.select("similarity", F.inline(ends))
     links = both.join(sizes.withColumnRenamed("class_id", "ref_id"), "ref_id").groupBy(F.col("id").alias("class_id")).agg(
         F.sum("n").alias("others"), F.max("similarity").alias("nearest")
     )

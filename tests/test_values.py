@@ -453,3 +453,18 @@ def test_shapley_shuffles_no_pairs(spark, monkeypatch):
     twice = {r.id: r.value for r in value_knn_shapley(train.unionByName(train), val, k=4).collect()}
     want = {r.id: r.value for r in value_knn_shapley(train.unionByName(train), val, k=4, cell_rows=20).collect()}
     assert len(twice) == 90 and max(abs(twice[i] - want[i]) for i in want) < 1e-12
+
+
+def test_similar_pairs_write_no_other_pairs(spark):
+    rng = np.random.default_rng(5)
+    # common bits in every set, and numbers that share slots, also negative ones
+    for places in (1024, 10**9):
+        numbers = rng.integers(-places if places > 1024 else 0, places, 400)
+        sets = [set(numbers[:20].tolist()) | set(rng.choice(numbers, rng.integers(1, 40)).tolist()) for _ in range(150)]
+        sets += [s | {int(rng.choice(numbers))} for s in sets[:50]]
+        df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, bits array<long>")
+        wanted = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2)}
+        found = similar_pairs(df, threshold=0.8)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "HashAggregate" not in plan
+        assert {(r.id, r.ref_id): r.similarity for r in found.collect()} == {p: v for p, v in wanted.items() if v >= 0.8}
