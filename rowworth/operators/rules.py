@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Default ranges (lowest, highest allowed); None leaves a side open.
@@ -35,9 +36,14 @@ def read_rules(catalogue: DataFrame, name: str = "name", pattern: str = "pattern
     return found
 
 
+def _found(text: str, pattern: str) -> Column:
+    """Whether the pattern is in the text; one of letters, digits and spaces only is looked up without a regex."""
+    return F.contains(F.col(text), F.lit(pattern)) if re.fullmatch("[A-Za-z0-9 ]+", pattern) else F.col(text).rlike(pattern)
+
+
 def rules_found(df: DataFrame, patterns: Sequence[tuple[str, str]], text: str = "text", out: str = "rules") -> DataFrame:
     """Add the names of the rules found in a row, in the order of the catalogue; an empty array for null texts."""
-    hits = [F.when(F.col(text).rlike(pattern), F.lit(name)) for name, pattern in patterns]
+    hits = [F.when(_found(text, pattern), F.lit(name)) for name, pattern in patterns]
     nothing = F.array().cast("array<string>")
     return df.withColumn(out, F.filter(F.array(*hits), lambda n: n.isNotNull()) if hits else nothing)
 
@@ -53,7 +59,7 @@ def rule_alerts(
     The catalogue is configuration, so it becomes one expression per pattern in the row's own
     projection: no join, no shuffle, and the text is read once.
     """
-    hits = [F.coalesce(F.col(text).rlike(pattern), F.lit(False)).cast("int") for _, pattern in patterns]
+    hits = [F.coalesce(_found(text, pattern), F.lit(False)).cast("int") for _, pattern in patterns]
     for column, (low, high) in (ranges or {}).items():
         broken = F.lit(False)
         if low is not None:

@@ -206,3 +206,13 @@ def test_own_validation_set_or_split_on_the_way_in(spark):
     assert not {r["key"] for r in train.collect()} & {f"k{i}" for i in range(5)} and train.count() == 40
     train, val = readers.from_columns_split(rows, "n", "name", "hit", share=0.2, score="s", confirmatory="sure")
     assert sorted(r["id"] for r in val.collect()) == list(range(40, 50)) and train.count() == 40
+
+
+def test_plain_rules_need_no_regex(spark):
+    from rowworth.operators.rules import rule_alerts, rules_found
+
+    rules = [("a", "is a"), ("b", "1[23]"), ("c", "No")]
+    df = spark.createDataFrame([(1, "This art 13"), (2, "noé No"), (3, None)], "id int, text string")
+    found = rules_found(rule_alerts(df, rules), rules)
+    assert {r.id: (r.alerts, list(r.rules)) for r in found.collect()} == {1: (2, ["a", "b"]), 2: (1, ["c"]), 3: (0, [])}
+    assert "RLIKE" not in rule_alerts(df, rules[:1])._jdf.queryExecution().optimizedPlan().toString()
