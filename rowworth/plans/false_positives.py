@@ -30,7 +30,9 @@ def false_positives(
     stacked, seconds = None, {}
     for r in range(replicates):
         start = time.monotonic()
-        valued = settle(valuer(screen, r).withColumn("replicate", F.lit(r)))
+        # features and texts are of no use any more
+        valued = valuer(screen, r).select(*dict.fromkeys(["id", "primary", "confirmatory", "value", group_key]))
+        valued = settle(valued.withColumn("replicate", F.lit(r)))
         seconds[r] = time.monotonic() - start if timed else 0.0
         stacked = valued if stacked is None else stacked.unionByName(valued)
     viewed = label_views(stacked).select(

@@ -216,3 +216,14 @@ def test_plain_rules_need_no_regex(spark):
     found = rules_found(rule_alerts(df, rules), rules)
     assert {r.id: (r.alerts, list(r.rules)) for r in found.collect()} == {1: (2, ["a", "b"]), 2: (1, ["c"]), 3: (0, [])}
     assert "RLIKE" not in rule_alerts(df, rules[:1])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_valued_screens_are_written_without_texts(spark, monkeypatch):
+    from rowworth.plans import false_positives as plan
+
+    written = []
+    monkeypatch.setattr(plan, "settle", lambda df: (written.append(df.columns), df)[1])
+    rows = [(i, f"k{i % 3}", 1, float(i), i % 2, "long text") for i in range(20)]
+    screen = spark.createDataFrame(rows, "id long, key string, primary int, score double, confirmatory int, text string")
+    metrics, _ = plan.false_positives(screen, lambda df, seed: df.withColumn("value", F.col("score")), "d", "m", 2)
+    assert metrics.count() > 0 and written and not any("text" in columns for columns in written)
