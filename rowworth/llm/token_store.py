@@ -48,9 +48,9 @@ def _write_shard(folder: str, vocabulary: str, end: int):
 
         def write(stream):
             at = 0
-            for ids, texts in batches(["doc_id", "text"], itertools.chain([first], rows)):
-                for key, text in zip(ids, texts):
-                    payload = encoder.encode(text) + closing
+            for ids, texts in batches(["doc_id", "text"], itertools.chain([first], rows), size=2000):
+                for key, found in zip(ids, encoder.encode_all(texts)):
+                    payload = found + closing
                     stream.write(payload)
                     if keys and keys[-1] == key:
                         counts[-1] += len(payload) // width

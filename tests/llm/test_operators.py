@@ -303,6 +303,22 @@ def test_words_with_any_latin_letter(vocabulary, words_only):
             assert encoder.encode(t) == want, repr(t)
 
 
+@pytest.mark.parametrize("vocabulary, words_only", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_the_model_is_asked_once_for_a_word_with_or_without_marks(vocabulary, words_only, monkeypatch):
+    plain = Tokenizer.from_file(tokens.vocabulary_path(vocabulary))
+    encoder = tokens.PieceEncoder(vocabulary, words_only)
+    words, others, ask, rest = [], [], encoder._words, encoder._plain
+    monkeypatch.setattr(encoder, "_words", lambda w: words.extend(w) or ask(w))
+    monkeypatch.setattr(encoder, "_plain", lambda t: others.extend(t) or rest(t))
+    texts = [" gründlichst, gründlichst. gründlichst!\n", None, " gründlichst;\tgründlichst", "", " İstanbul's 2×3 gründlichst", "a\xa0 b", " "]
+    found = encoder.encode_all(texts)
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, dtype=f"<u{encoder.width}").tobytes() for t in texts]
+    assert found == want
+    assert sum("gründlichst".encode() in w for w in words) == 2 and not any("gründlichst" in t for t in others)
+    asked = len(words), len(others)
+    assert encoder.encode_all(texts) == want and (len(words), len(others)) == asked
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.RandomState(1).randint(-(1 << 62), 1 << 62, 5000, dtype=np.int64)).view(np.uint64)
     made, length = perfect_hash.PerfectHash.from_bytes(perfect_hash.PerfectHash.build(keys).to_bytes() + b"more")
