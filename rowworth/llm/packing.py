@@ -102,8 +102,8 @@ def _encode(vocabulary: str, end: int):
         key = TaskContext.get().partitionId() << _PART
         width = encoder.width
         closing = end.to_bytes(width, "little")
-        for ids, texts in batches(["doc_id", "text"], rows):
-            payloads = [encoder.encode(t) + closing for t in texts]
+        for ids, texts in batches(["doc_id", "text"], rows, size=2000):
+            payloads = [found + closing for found in encoder.encode_all(texts)]
             yield pa.record_batch(
                 {
                     "key": pa.array(range(key, key + len(ids)), pa.int64()), "doc_id": pa.array(ids, pa.int64()),
