@@ -61,15 +61,18 @@ def hashed_fingerprint(tokens: Column, radius: int = 2, bits: int = 1024) -> Col
     """Sorted distinct set bits: every run of 1..radius+1 tokens is hashed into `bits` slots."""
 
     def runs(t: Column, width: int) -> Column:
-        starts = F.when(F.size(t) >= width, F.sequence(F.lit(1), F.size(t) - (width - 1))).otherwise(
+        if width == 1:
+            return F.coalesce(F.transform(t, lambda token: F.concat_ws(" ", token)), F.array().cast("array<string>"))
+        starts = F.when(F.size(t) >= width, F.sequence(F.lit(0), F.size(t) - width)).otherwise(
             F.array().cast("array<int>")
         )
-        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, width), " "))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(width)]))
 
     def fingerprint(t: Column) -> Column:
         grams = F.array_distinct(F.concat(*[runs(t, width) for width in range(1, radius + 2)]))
         slots = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % bits)
-        return F.array_sort(F.array_distinct(slots))
+        # no null is among them, and this sorts without calling a comparator expression
+        return F.sort_array(F.array_distinct(slots))
 
     # bound to a variable, so that the tokens are not worked out again for every run
     return F.transform(F.array(tokens), fingerprint)[0]

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -171,6 +172,26 @@ def test_fingerprint_of_repeats_is_small(spark):
     assert many == few and 0 < len(few) <= 3 and none == []
 
 
+def test_fingerprints_of_runs_with_nulls(spark):
+    rows = [["a", "b", None, "a", "b", "c"], ["a", None], [None], ["x"], [], None]
+
+    def want(tokens, radius):
+        tokens = tokens or []
+        runs = [tokens[i : i + w] for w in range(1, radius + 2) for i in range(len(tokens) - w + 1)]
+        grams = {" ".join(t for t in run if t is not None) for run in runs}
+        return sorted({int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % 1024 for g in grams})
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, t array<string>")
+    for radius in (0, 2):
+        bits = df.select("id", C.hashed_fingerprint(F.col("t"), radius=radius).alias("bits"))
+        assert bits.schema["bits"].dataType.simpleString() == "array<bigint>"
+        assert [r.bits for r in bits.orderBy("id").collect()] == [want(t, radius) for t in rows]
+    # neither a comparator called for every step of a sort nor a slice for every run
+    plan = bits._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "slice(" not in plan and "array_sort(" not in plan
+
+
+
 def test_removing_from_all_labels(spark):
     df = spark.createDataFrame([(i, int(i < 2), float(i)) for i in range(6)], "id int, primary int, value double")
     left = removal.remove_k(df, 3, label=None).select("id").collect()
