@@ -36,6 +36,11 @@ def seeded_key(id_col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string")))
 
 
+def draw_bound(share: float) -> str:
+    """A bound on `seeded_key`, which lets about that share of distinct ids pass."""
+    return f"{min(int(share * (1 << 52)), (1 << 52) - 1):013x}" + ("g" if share >= 1 else "")
+
+
 def sanitize_numeric(values: Column) -> Column:
     """In an array of numbers: NaN to 0, infinities to a large finite number."""
     return F.transform(

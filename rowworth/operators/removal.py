@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowworth.functions.columns import seeded_key
@@ -35,6 +35,20 @@ _ACCURACY = 2000
 _SHARES = [0.002 * 1.3**i for i in range(24)]
 
 
+def _enough(count: int, filled: Column, at: Column) -> Column:
+    """The sketch's answer for the first share whose rows are more than `count` in spite of its error; null if none is."""
+    return F.coalesce(*[F.when(F.lit(share - 2 / _ACCURACY) * filled > count, at[i]) for i, share in enumerate(_SHARES)])
+
+
+def value_bounds(df: DataFrame, count: int, values: Sequence[Column]) -> list[float | None]:
+    """For each column of values a bound that more than `count` of them should not exceed, by a sketch; none if there are too few."""
+    sketches = df.agg(
+        *[F.count(v).alias(f"_n{i}") for i, v in enumerate(values)],
+        *[F.percentile_approx(v, _SHARES, _ACCURACY).alias(f"_at{i}") for i, v in enumerate(values)],
+    )
+    return list(sketches.select(*[_enough(count, F.col(f"_n{i}"), F.col(f"_at{i}")) for i in range(len(values))]).first())
+
+
 def lowest_rows(df: DataFrame, count: int, value: str, id_col: str = "id", by: Sequence[str] = ()) -> DataFrame:
     """The `count` rows of each group with the lowest (value, id); all where there are fewer. Null values come last.
 
@@ -48,9 +62,7 @@ def lowest_rows(df: DataFrame, count: int, value: str, id_col: str = "id", by: S
     sketch = slim.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.count(value).alias("_filled"), F.percentile_approx(value, _SHARES, _ACCURACY).alias("_at")
     )
-    # the first share whose rows are enough in spite of the sketch's error
-    enough = [F.when(F.lit(share - 2 / _ACCURACY) * F.col("_filled") > count, F.col("_at")[i]) for i, share in enumerate(_SHARES)]
-    bounds = settle(sketch.select(*by, "_n", F.coalesce(*enough).alias("_bound")))
+    bounds = settle(sketch.select(*by, "_n", _enough(count, F.col("_filled"), F.col("_at")).alias("_bound")))
     near = attach_totals(slim, bounds, by).where(F.col("_bound").isNull() | (F.col(value) <= F.col("_bound"))).select(*by, id_col, value)
     order = [F.col(value).asc_nulls_last(), id_col]
     taken = settle(rank_rows(near, order, by, "_rank").where(F.col("_rank") <= count).select(*by, id_col, value))

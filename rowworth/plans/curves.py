@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowworth.functions.blocks import matrix
-from rowworth.functions.columns import acq_greedy, acq_ucb, seeded_key
+from rowworth.functions.columns import acq_greedy, acq_ucb, draw_bound, seeded_key
 from rowworth.operators.boosting import fit_boosters, pool_values_mvs
 from rowworth.operators.many_logistic import fit_many, self_influence
 from rowworth.operators.ordering import rank_rows
 from rowworth.operators.pairs import similarity
-from rowworth.operators.removal import lowest_rows
+from rowworth.operators.removal import lowest_rows, value_bounds
 from rowworth.operators.sums import add_up
 from rowworth.session import broadcast_if_small, settle
 
@@ -88,7 +89,8 @@ def active_learning_curves(
 
     One slim table `(curve, id, round)` grows; a row's pools are an array beside its features. Each
     round values all pools, fits all surrogates and scores the rest in scans that all curves
-    share, and one grouped order takes the lowest rows of each curve.
+    share, and one grouped order takes the lowest rows of each curve. Known values do not change
+    from round to round, so all rounds of their curves share one order.
     """
     methods = methods or METHODS
     for curve in curves:
@@ -102,29 +104,108 @@ def active_learning_curves(
         "id", F.col(label).alias("y"), *([] if "features" not in train.columns else ["features"]),
         *[c.cast("double").alias(f"_known_{n}") for n, c in columns.items()],
     )
-    sampled = _first_pools(train, curves, step_share)
+    batch = int(total * step_share)
+    fitted = [c for c in curves if c.surrogate != "known"]
+    known = [c for c in curves if c.surrogate == "known"]
+    found = []
+    if fitted:
+        sampled = _first_pools(train, fitted, step_share, total)
+        for step in range(1, steps + 1):
+            marked = rows.join(_members(sampled), "id", "left").withColumn("_pools", F.array(*_in_pools(fitted, "double"))).drop("_in")
+            scores = _scores(marked, fitted, methods, explore, landmarks, seed)
+            slim = settle(marked.select("id", "_pools", scores.alias("_scores")))
+            long = slim.select("id", F.posexplode(F.arrays_zip("_pools", "_scores")).alias("curve", "_c")).where("_c._pools = 0")
+            long = long.select("curve", "id", F.col("_c._scores").alias("acquisition"))
+            taken = lowest_rows(long, batch, "acquisition", "id", ["curve"])
+            sampled = settle(sampled.unionByName(taken.select("curve", "id", F.lit(step).alias("round"))))
+        found.append(_found(train, sampled, fitted, label))
+    if known:
+        first = _first_pools(train, known, step_share, total)
+        later = _known_rounds(rows, first, known, batch, steps, int(np.ceil(total * step_share)), explore)
+        found.append(_found(train, first.unionByName(later), known, label))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _members(sampled: DataFrame) -> DataFrame:
+    """Each pooled id with the curves `_in` whose pools have it."""
+    return broadcast_if_small(settle(sampled.groupBy("id").agg(F.collect_list("curve").alias("_in"))))
+
+
+def _in_pools(curves: list[Curve], kind: str) -> list[Column]:
+    """For each curve whether its pool has the row, after a left join with the members."""
+    inside = F.coalesce("_in", F.array().cast("array<int>"))
+    return [F.array_contains(inside, i).cast(kind) for i in range(len(curves))]
+
+
+def _known_rounds(
+    rows: DataFrame, first: DataFrame, curves: list[Curve], batch: int, steps: int, pooled: int, explore: int
+) -> DataFrame:
+    """`(curve, id, round)` beyond the first pools, of `pooled` rows each, where no value depends on a pool.
+
+    The batches of all rounds are pieces of one order by value. Sketches bound the values of the rows that any
+    round can take; only those are looked up in the first pools and put in order. If ids repeat among
+    them, a batch takes copies out of later rounds, so these rows go round by round.
+    """
+    wanted = batch * steps
+    if wanted <= 0:
+        return first.limit(0)
+    values = [_acquisition(F.col(f"_known_{c.method}"), F.lit(0.0), c, explore) for c in curves]
+    bounds = value_bounds(rows, wanted + pooled, values)
+    members = _members(first)
+    while True:
+        # an unbounded curve needs all rows, also those without a value
+        low = [F.lit(True) if bound is None else F.coalesce(v <= bound, F.lit(False)) for v, bound in zip(values, bounds)]
+        near = rows.where(reduce(Column.__or__, low)).select("id", F.array(*values).alias("_scores"), F.array(*low).alias("_low"))
+        opened = F.array(*[F.get("_low", F.lit(i)) & ~taken for i, taken in enumerate(_in_pools(curves, "boolean"))])
+        near = settle(near.join(members, "id", "left").select("id", "_scores", opened.alias("_open")))
+        copies = near.groupBy("id").agg(*[F.count_if(F.col("_open")[i]).alias(f"_c{i}") for i in range(len(curves))])
+        sizes = copies.agg(
+            *[F.coalesce(F.sum(f"_c{i}"), F.lit(0)) for i in range(len(curves))],
+            *[F.count_if(F.col("id").isNotNull() & (F.col(f"_c{i}") > 0)) for i in range(len(curves))],
+        ).first()
+        n_rows, n_ids = sizes[: len(curves)], sizes[len(curves) :]
+        # each round takes no more ids than rows, so that many ids last for all rounds
+        short = [bound is not None and n < wanted for n, bound in zip(n_ids, bounds)]
+        if not any(short):
+            break
+        bounds = [None if s else bound for s, bound in zip(short, bounds)]
+    entries = [
+        F.when(F.col("_open")[i], F.struct(F.lit(i).alias("curve"), F.col("_scores")[i].alias("acquisition"))) for i in range(len(curves))
+    ]
+    rest = near.select("id", F.explode(F.array(*entries)).alias("_e")).where("_e IS NOT NULL").select("_e.curve", "id", "_e.acquisition")
+    if n_rows == n_ids:
+        ranked = rank_rows(rest, [F.col("acquisition").asc_nulls_last(), "id"], ["curve"], "_rank").where(F.col("_rank") <= wanted)
+        return settle(ranked.select("curve", "id", F.ceil(F.col("_rank") / batch).cast("int").alias("round")))
+    taken = first.limit(0)
     for step in range(1, steps + 1):
-        members = broadcast_if_small(settle(sampled.groupBy("id").agg(F.collect_list("curve").alias("_in"))))
-        inside = F.coalesce("_in", F.array().cast("array<int>"))
-        marked = rows.join(members, "id", "left").withColumn(
-            "_pools", F.array(*[F.array_contains(inside, i).cast("double") for i in range(len(curves))])
-        ).drop("_in")
-        scores = _scores(marked, curves, methods, explore, landmarks, seed)
-        slim = settle(marked.select("id", "_pools", scores.alias("_scores")))
-        long = slim.select("id", F.posexplode(F.arrays_zip("_pools", "_scores")).alias("curve", "_c")).where("_c._pools = 0")
-        long = long.select("curve", "id", F.col("_c._scores").alias("acquisition"))
-        batch = lowest_rows(long, int(total * step_share), "acquisition", "id", ["curve"])
-        sampled = settle(sampled.unionByName(batch.select("curve", "id", F.lit(step).alias("round"))))
-    return _found(train, sampled, curves, label)
-
-
-def _first_pools(train: DataFrame, curves: list[Curve], share: float) -> DataFrame:
-    """The seeded first sample of each replicate, for each of its curves."""
+        lowest = settle(lowest_rows(rest, batch, "acquisition", "id", ["curve"]).select("curve", "id"))
+        taken = taken.unionByName(lowest.withColumn("round", F.lit(step)))
+        # rows without an id are in no pool
+        rest = settle(rest.join(lowest.distinct(), ["curve", "id"], "left_anti"))
+    return settle(taken)
+
+
+def _first_pools(train: DataFrame, curves: list[Curve], share: float, total: int) -> DataFrame:
+    """The seeded first sample of each replicate, for each of its curves.
+
+    Draws are evenly spread, so a bound on them lets little more than the sample pass, and only that is put in order; if it
+    lets less pass, as where ids repeat, it is raised.
+    """
     seeds = sorted({c.replicate for c in curves})
-    draws = F.explode(F.array(*[F.struct(F.lit(s).alias("replicate"), seeded_key(F.col("id"), s).alias("_draw")) for s in seeds]))
-    drawn = train.select("id", draws.alias("d")).select("id", "d.*")
-    n = train.count()
-    placed = rank_rows(drawn, ["_draw", "id"], ["replicate"], "_rank").where(F.col("_rank") <= int(np.ceil(n * share)))
+    size = int(np.ceil(total * share))
+    keys = {s: seeded_key(F.col("id"), s) for s in seeds}
+    slack = size + 10 * int(size**0.5) + 20
+    while True:
+        bound = draw_bound(slack / max(total, 1))
+        # rows without an id have no draw and come first
+        early = {s: F.lit(True) if slack >= total else F.coalesce(key <= bound, F.lit(True)) for s, key in keys.items()}
+        draws = [F.when(early[s], F.struct(F.lit(s).alias("replicate"), key.alias("_draw"))) for s, key in keys.items()]
+        some = train.where(reduce(Column.__or__, early.values()))
+        drawn = settle(some.select("id", F.explode(F.array(*draws)).alias("d")).where("d IS NOT NULL").select("id", "d.*"))
+        placed = settle(rank_rows(drawn, ["_draw", "id"], ["replicate"], "_rank").where(F.col("_rank") <= size))
+        if slack >= total or placed.count() >= min(size, total) * len(seeds):
+            break
+        slack *= 10
     mine = F.element_at(
         F.create_map(*[x for s in seeds for x in (F.lit(s), F.array(*[F.lit(i) for i, c in enumerate(curves) if c.replicate == s]))]),
         F.col("replicate"),
@@ -132,31 +213,22 @@ def _first_pools(train: DataFrame, curves: list[Curve], share: float) -> DataFra
     return settle(placed.select(F.explode(mine).alias("curve"), "id", F.lit(0).alias("round")))
 
 
+def _acquisition(mean: Column, variance: Column, curve: Curve, explore: int) -> Column:
+    return acq_ucb(mean, variance, explore=explore) if curve.acquisition == "ucb" else acq_greedy(mean)
+
+
 def _scores(marked: DataFrame, curves: list[Curve], methods: dict, explore: int, landmarks: int, seed: int) -> Column:
     """An array: each curve's acquisition of the row."""
-    fitted = [i for i, c in enumerate(curves) if c.surrogate != "known"]
-    models: dict[int, _Fitted] = {}
-    if fitted:
-        pool = settle(marked.where(F.exists("_pools", lambda p: p > 0)))
-        valued = _valued(pool, curves, methods, fitted)
-        models = _fit_surrogates(valued, curves, fitted, landmarks, seed)
-    predicted = _predicted(models, F.col("features")) if models else None
-    out = []
-    for i, curve in enumerate(curves):
-        if curve.surrogate == "known":
-            mean, variance = F.col(f"_known_{curve.method}"), F.lit(0.0)
-        else:
-            place = fitted.index(i)
-            mean, variance = predicted["mean"][place], predicted["variance"][place]
-        out.append(acq_ucb(mean, variance, explore=explore) if curve.acquisition == "ucb" else acq_greedy(mean))
-    return F.array(*out)
+    pool = settle(marked.where(F.exists("_pools", lambda p: p > 0)))
+    predicted = _predicted(_fit_surrogates(_valued(pool, curves, methods), curves, landmarks, seed), F.col("features"))
+    return F.array(*[_acquisition(predicted["mean"][i], predicted["variance"][i], c, explore) for i, c in enumerate(curves)])
 
 
-def _valued(pool: DataFrame, curves: list[Curve], methods: dict, fitted: list[int]) -> DataFrame:
-    """Pool rows with `_values`, an array by fitted curve: z-scores within the pool, null outside it."""
+def _valued(pool: DataFrame, curves: list[Curve], methods: dict) -> DataFrame:
+    """Pool rows with `_values`, an array by curve: z-scores within the pool, null outside it."""
     valued, place = pool, {}
-    for number, name in enumerate(sorted({curves[i].method for i in fitted})):
-        mine = [i for i in fitted if curves[i].method == name]
+    for number, name in enumerate(sorted({c.method for c in curves})):
+        mine = [i for i, c in enumerate(curves) if c.method == name]
         if isinstance(methods[name], Column):
             column = F.array(*[F.col(f"_known_{name}") for _ in mine])
         else:
@@ -165,11 +237,11 @@ def _valued(pool: DataFrame, curves: list[Curve], methods: dict, fitted: list[in
             column = methods[name](pool, member)
         valued = valued.withColumn(f"_v_{number}", column)
         place |= {i: (number, k) for k, i in enumerate(mine)}
-    values = [F.when(F.col("_pools")[i] > 0, F.col(f"_v_{place[i][0]}")[place[i][1]]) for i in fitted]
+    values = [F.when(F.col("_pools")[i] > 0, F.col(f"_v_{place[i][0]}")[place[i][1]]) for i in range(len(curves))]
     valued = settle(valued.select("id", "features", F.array(*values).alias("_values")))
-    moments = valued.agg(*[f(F.col("_values")[k]) for k in range(len(fitted)) for f in (F.avg, F.stddev_pop)]).first()
+    moments = valued.agg(*[f(F.col("_values")[k]) for k in range(len(curves)) for f in (F.avg, F.stddev_pop)]).first()
     scaled = []
-    for k in range(len(fitted)):
+    for k in range(len(curves)):
         mean, std = moments[2 * k] or 0.0, moments[2 * k + 1] or 0.0
         scaled.append((F.col("_values")[k] - F.lit(mean)) / F.lit(std if std > 0 else 1.0))
     return valued.select("id", "features", F.array(*scaled).alias("_values"))
@@ -186,8 +258,7 @@ def _landmark_rows(valued: DataFrame, count: int, places: int, seed: int) -> lis
     slack = count + 10 * int(count**0.5) + 20
     while True:
         bounds = [1.0 if slack >= n else slack / n for n in sizes]
-        hex_bounds = [f"{min(int(b * (1 << 52)), (1 << 52) - 1):013x}" + ("g" if b >= 1 else "") for b in bounds]
-        keep = [F.col("_values")[k].isNotNull() & ((F.col("_draw") <= bound) | F.lit(bounds[k] >= 1)) for k, bound in enumerate(hex_bounds)]
+        keep = [F.col("_values")[k].isNotNull() & ((F.col("_draw") <= draw_bound(b)) | F.lit(b >= 1)) for k, b in enumerate(bounds)]
         picked = drawn.select("id", "_draw", "features", F.array(*keep).alias("_keep")).where(F.exists("_keep", lambda x: x))
         got = picked.orderBy("_draw", "id").toArrow()
         chosen = np.array(got["_keep"].to_pylist(), dtype=bool).reshape(-1, places)
@@ -197,8 +268,8 @@ def _landmark_rows(valued: DataFrame, count: int, places: int, seed: int) -> lis
         slack *= 2
 
 
-def _fit_surrogates(valued: DataFrame, curves: list[Curve], fitted: list[int], count: int, seed: int) -> dict[int, _Fitted]:
-    landmarks = _landmark_rows(valued, count, len(fitted), seed)
+def _fit_surrogates(valued: DataFrame, curves: list[Curve], count: int, seed: int) -> list[_Fitted]:
+    landmarks = _landmark_rows(valued, count, len(curves), seed)
 
     def partial(batches):
         sums = [np.zeros((len(z), len(z) + 1)) for z in landmarks]
@@ -213,28 +284,27 @@ def _fit_surrogates(valued: DataFrame, curves: list[Curve], fitted: list[int], c
         yield from enumerate(sums)
 
     sums = add_up(valued.select("features", "_values"), partial)
-    out = {}
-    for k, i in enumerate(fitted):
+    out = []
+    for k, curve in enumerate(curves):
         z, size = landmarks[k], len(landmarks[k])
         full = sums[k].reshape(size, size + 1)
         gram, target = full[:, :-1], full[:, -1]
         kernel = similarity(z, z, "tanimoto") + _JITTER * np.eye(size)
-        if curves[i].surrogate == "ridge":
-            out[i] = _Fitted(z, np.linalg.solve(gram + kernel, target), None)
+        if curve.surrogate == "ridge":
+            out.append(_Fitted(z, np.linalg.solve(gram + kernel, target), None))
         else:
             posterior = np.linalg.inv(kernel + gram)
-            out[i] = _Fitted(z, posterior @ target, np.linalg.inv(kernel) - posterior)
+            out.append(_Fitted(z, posterior @ target, np.linalg.inv(kernel) - posterior))
     return out
 
 
-def _predicted(models: dict[int, _Fitted], features: Column) -> Column:
-    """A struct of two arrays, mean and variance by fitted curve."""
-    fitted = list(models.values())
+def _predicted(models: list[_Fitted], features: Column) -> Column:
+    """A struct of two arrays, mean and variance by curve."""
 
     @F.arrow_udf("struct<mean: array<double>, variance: array<double>>")
     def run(x: pa.Array) -> pa.Array:
         rows = matrix(x)
-        found = [m.predict(rows) if len(x) else (np.zeros(0), np.zeros(0)) for m in fitted]
+        found = [m.predict(rows) if len(x) else (np.zeros(0), np.zeros(0)) for m in models]
         both = [pa.array(np.stack(part, axis=1).tolist(), pa.list_(pa.float64())) for part in zip(*found)]
         return pa.StructArray.from_arrays(both, names=["mean", "variance"])
 

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rowworth import registry
 from rowworth.operators import logistic as L
-from rowworth.operators import boosting, pairs, removal, stumps, surrogate
+from rowworth.operators import boosting, ordering, pairs, removal, stumps, surrogate
 from rowworth.operators.bit_pairs import fingerprint_classes, similar_pairs
 from rowworth.operators.features import encode_tokens, vocabulary
 from rowworth.operators.knn_shapley import value_knn_shapley
@@ -325,6 +326,67 @@ def test_grid_takes_the_lowest_of_each_curve(spark):
         C.active_learning_curves(df, [C.Curve("mvs", "known", "greedy", 0)])
 
 
+def brute_known_curve(rows, value, replicate, share, steps):
+    """(n_sampled, found) after each step, a round at a time."""
+    draw = lambda i: "" if i is None else hashlib.md5(f"{replicate}:{i}".encode()).hexdigest()
+    place = lambda i: -1 if i is None else i
+    taken = sorted((r[0] for r in rows), key=lambda i: (draw(i), place(i)))[: math.ceil(len(rows) * share)]
+    out = []
+    for step in range(steps + 1):
+        if step:
+            pool = set(taken) - {None}
+            rest = sorted((value(r) is None, value(r) or 0.0, place(r[0])) for r in rows if r[0] not in pool)
+            taken += [i if i >= 0 else None for _, _, i in rest[: int(len(rows) * share)]]
+        met = [r[1] for i in taken for r in rows if i is not None and r[0] == i]
+        out.append((len(met), sum(met)))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["plain", "copies", "no ids", "mostly copies", "one id", "few values"])
+def test_known_curves_are_those_of_single_rounds(spark, kind):
+    rng = np.random.default_rng(31)
+    rows = [(i, int(rng.random() < 0.3), float(rng.integers(0, 40)), float(rng.normal())) for i in range(300)]
+    if kind == "copies":
+        rows += [(i, y, a + i % 3, b) for i, y, a, b in rows[::7]]
+    if kind == "no ids":
+        rows = [(None if i % 9 == 0 else i, *r) for i, *r in rows]
+    if kind == "mostly copies":
+        rows = [(i % 45, *r) for i, *r in rows]
+    if kind == "one id":
+        rows = [(5, *r) for _, *r in rows]
+    if kind == "few values":
+        rows = [(i, y, a if i % 20 == 0 else None, float(i % 2)) for i, y, a, _ in rows]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double").repartition(3)
+    methods = {"a": F.col("a"), "b": -F.col("b")}
+    curves = C.grid_curves(methods, ["known"], ["greedy", "ucb"], 2)
+    got = C.active_learning_curves(df, curves, methods, step_share=0.04, steps=5).collect()
+    values = {"a": lambda r: r[2], "b": lambda r: -r[3]}
+    for c in curves:
+        mine = sorted((r["step"], r["n_sampled"], r["found"]) for r in got if r["method"] == c.name and r["replicate"] == c.replicate)
+        expected = brute_known_curve(rows, values[c.method], c.replicate, 0.04, 5)
+        # a step that adds nothing has no row
+        assert [(n, k) for _, n, k in mine] == [expected[s] for s, _, _ in mine]
+        assert {s for s, _, _ in mine} >= {s for s in range(6) if expected[s] != (expected[s - 1] if s else (0, 0))}
+
+
+def test_known_curves_write_few_rows(spark, monkeypatch):
+    """Not every row for every curve and round."""
+    written = []
+
+    def counting(df):
+        df = settle(df)
+        written.append(df.count())
+        return df
+
+    for module in (C, removal, ordering):
+        monkeypatch.setattr(module, "settle", counting)
+    df = spark.range(0, 20000, 1, 4).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), (F.hash("id") % 1000).alias("a"))
+    curves = C.grid_curves({"a": None}, ["known"], ["greedy", "ucb"], 2)
+    got = C.active_learning_curves(df, curves, {"a": F.col("a")}).collect()
+    assert len(got) == 28 and all(r["n_sampled"] == 200 * (r["step"] + 1) for r in got)
+    assert sum(written) < 3 * 20000
+
+
 def test_one_curve_of_the_grid_is_the_single_loop(spark):
     rows, _ = points(200, 23)
     df = settle(spark.createDataFrame([(i, int(x[0] > 2.2), x) for i, _, x in rows], SCHEMA))
