@@ -114,9 +114,7 @@ def active_learning_curves(
             marked = rows.join(_members(sampled), "id", "left").withColumn("_pools", F.array(*_in_pools(fitted, "double"))).drop("_in")
             scores = _scores(marked, fitted, methods, explore, landmarks, seed)
             slim = settle(marked.select("id", "_pools", scores.alias("_scores")))
-            long = slim.select("id", F.posexplode(F.arrays_zip("_pools", "_scores")).alias("curve", "_c")).where("_c._pools = 0")
-            long = long.select("curve", "id", F.col("_c._scores").alias("acquisition"))
-            taken = lowest_rows(long, batch, "acquisition", "id", ["curve"])
+            taken = _lowest_outside(slim, len(fitted), batch)
             sampled = settle(sampled.unionByName(taken.select("curve", "id", F.lit(step).alias("round"))))
         found.append(_found(train, sampled, fitted, label))
     if known:
@@ -137,6 +135,42 @@ def _in_pools(curves: list[Curve], kind: str) -> list[Column]:
     return [F.array_contains(inside, i).cast(kind) for i in range(len(curves))]
 
 
+def _below(values: list[Column], bounds: list[float | None]) -> list[Column]:
+    """Whether each value is within its bound; without a bound all are, also missing ones."""
+    return [F.lit(True) if bound is None else F.coalesce(v <= bound, F.lit(False)) for v, bound in zip(values, bounds)]
+
+
+def _entries(near: DataFrame, curves: int) -> DataFrame:
+    """`(curve, id, acquisition)` of the curves that a row is `_open` for."""
+    entries = [F.when(F.col("_open")[i], F.struct(F.lit(i).alias("curve"), F.col("_scores")[i].alias("acquisition"))) for i in range(curves)]
+    exploded = near.select("id", F.explode(F.array(*entries)).alias("_e")).where("_e IS NOT NULL")
+    return exploded.select("_e.curve", "id", "_e.acquisition")
+
+
+def _ranked(entries: DataFrame) -> DataFrame:
+    """Add `_rank`, from 1 for the lowest of each curve; missing values come last."""
+    return rank_rows(entries, [F.col("acquisition").asc_nulls_last(), "id"], ["curve"], "_rank")
+
+
+def _lowest_outside(slim: DataFrame, curves: int, batch: int) -> DataFrame:
+    """`(curve, id)` of the `batch` lowest rows outside each pool; all where there are fewer.
+
+    Only rows under a sketched bound become rows by curve; a curve that gets too few of them takes all its rows.
+    """
+    outside = [F.col("_pools")[i] == 0 for i in range(curves)]
+    scores = [F.when(out, F.col("_scores")[i]) for i, out in enumerate(outside)]
+    bounds = value_bounds(slim, batch, scores)
+    while True:
+        opened = [out & low for out, low in zip(outside, _below(scores, bounds))]
+        near = slim.where(reduce(Column.__or__, opened)).select("id", "_scores", F.array(*opened).alias("_open"))
+        taken = settle(_ranked(_entries(near, curves)).where(F.col("_rank") <= batch).select("curve", "id"))
+        got = {r["curve"]: r["count"] for r in taken.groupBy("curve").count().collect()}
+        short = [bound is not None and got.get(i, 0) < batch for i, bound in enumerate(bounds)]
+        if not any(short):
+            return taken
+        bounds = [None if s else bound for s, bound in zip(short, bounds)]
+
+
 def _known_rounds(
     rows: DataFrame, first: DataFrame, curves: list[Curve], batch: int, steps: int, pooled: int, explore: int
 ) -> DataFrame:
@@ -153,8 +187,7 @@ def _known_rounds(
     bounds = value_bounds(rows, wanted + pooled, values)
     members = _members(first)
     while True:
-        # an unbounded curve needs all rows, also those without a value
-        low = [F.lit(True) if bound is None else F.coalesce(v <= bound, F.lit(False)) for v, bound in zip(values, bounds)]
+        low = _below(values, bounds)
         near = rows.where(reduce(Column.__or__, low)).select("id", F.array(*values).alias("_scores"), F.array(*low).alias("_low"))
         opened = F.array(*[F.get("_low", F.lit(i)) & ~taken for i, taken in enumerate(_in_pools(curves, "boolean"))])
         near = settle(near.join(members, "id", "left").select("id", "_scores", opened.alias("_open")))
@@ -169,12 +202,9 @@ def _known_rounds(
         if not any(short):
             break
         bounds = [None if s else bound for s, bound in zip(short, bounds)]
-    entries = [
-        F.when(F.col("_open")[i], F.struct(F.lit(i).alias("curve"), F.col("_scores")[i].alias("acquisition"))) for i in range(len(curves))
-    ]
-    rest = near.select("id", F.explode(F.array(*entries)).alias("_e")).where("_e IS NOT NULL").select("_e.curve", "id", "_e.acquisition")
+    rest = _entries(near, len(curves))
     if n_rows == n_ids:
-        ranked = rank_rows(rest, [F.col("acquisition").asc_nulls_last(), "id"], ["curve"], "_rank").where(F.col("_rank") <= wanted)
+        ranked = _ranked(rest).where(F.col("_rank") <= wanted)
         return settle(ranked.select("curve", "id", F.ceil(F.col("_rank") / batch).cast("int").alias("round")))
     taken = first.limit(0)
     for step in range(1, steps + 1):
