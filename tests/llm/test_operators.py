@@ -181,6 +181,31 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(frame_.limit(0)).count() == 0
 
 
+def test_near_vectors_write_a_vector_once(spark, monkeypatch):
+    # no clusters, so that all vectors lie near all cells, in many pieces; groups of near and of equal vectors
+    rng = np.random.RandomState(6)
+    x = rng.normal(size=(400, 6))
+    x[300:340] = x[0] + rng.normal(size=(40, 6)) * 0.05
+    x[340:] = x[rng.randint(0, 30, 60)]
+    settled = []
+
+    def settle(df):
+        out = df.checkpoint()
+        settled.append((df._jdf.queryExecution().executedPlan().toString(), out))
+        return out
+
+    monkeypatch.setattr(near_vectors, "settle", settle)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = near_vectors.near_vectors(rows.repartition(5), block=4).collect()
+    cosine = x @ x.T / np.linalg.norm(x, axis=1) / np.linalg.norm(x, axis=1)[:, None]
+    assert {r.vec_id: r.n_links for r in found} == dict(enumerate(((cosine >= 0.93).sum(axis=1) - 1).tolist()))
+    pieces = [out for _, out in settled if "vectors" in out.columns]
+    assert len(pieces) == 1 and pieces[0].count() > 20
+    members = pieces[0].selectExpr("sum(octet_length(nodes) div 8)", "sum(octet_length(vectors))").first()
+    assert tuple(members) == (340, 340 * 6 * 8)
+    assert [plan for plan, _ in settled if "CartesianProduct" in plan and "Exchange" not in plan]
+
+
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
