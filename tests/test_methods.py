@@ -58,3 +58,24 @@ def test_large_catalogues_are_no_deep_expression(spark):
     texts = spark.range(3).select("id", F.concat(F.lit("w"), F.col("id")).alias("text"))
     rules = [(str(i), f"^w{i}$") for i in range(2000)]
     assert [r.alerts for r in rule_alerts(texts, rules).collect()] == [1, 1, 1]
+
+
+def test_named_shapley_reads_training_rows_a_few_times(vectors, monkeypatch):
+    from rowworth.operators import knn_shapley
+
+    train, val = vectors
+    n_val, wanted = val.count(), {r.id: r.value for r in methods.values_by_name("shapley", train, val, k=3, cell_rows=20).collect()}
+    settled = []
+
+    def settle(df):
+        settled.append(df.checkpoint())
+        return settled[-1]
+
+    monkeypatch.setattr(knn_shapley, "settle", settle)
+    # one order at a time
+    monkeypatch.setattr(knn_shapley, "_HELD", 1)
+    rows = methods.compare_values(train, val.coalesce(1), ["random", "shapley"], options={"shapley": {"k": 3}}).collect()
+    found = {r.id: r.value for r in rows if r.method == "shapley"}
+    assert found.keys() == wanted.keys() and max(abs(found[i] - wanted[i]) for i in wanted) < 1e-12
+    blocks = [df for df in settled if "rows" in df.columns and df.selectExpr("sum(octet_length(rows) div 8)").first()[0] == n_val]
+    assert len(blocks) == 1 and blocks[0].count() < n_val / 4
